@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import pii, simhash
 from .common import table
 
 
@@ -12,5 +12,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_simhash": op9_simhash}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.query(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op9_simhash": op9_simhash,
+    "op10_pii": op10_pii,
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -57,12 +57,19 @@ def segments(bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _variants(bits: int) -> list:
     """One key for each bit of the fingerprint: that bit's segment with the bit taken out, and the bit's place."""
     keys = []
     for shift, width in segments(bits):
-        part = F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1))
-        keys += [F.shiftleft(part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << i))), 6).bitwiseOR(F.lit(shift + i)) for i in range(width)]
+        part = F.shiftrightunsigned(F.col("fp"), shift)
+        for i in range(width):
+            left = part.bitwiseAND(F.lit(_signed(((1 << width) - 1) & ~(1 << i))))
+            # a hash may join two keys, which costs a comparison and changes nothing
+            keys.append(F.xxhash64(left, F.lit(shift + i)) if width > 57 else F.shiftleft(left, 6).bitwiseOR(F.lit(shift + i)))
     return keys
 
 
