@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, simhash
+from . import pii, sentencepiece_wfst, simhash
 from .common import table
 
+#: Folder of public tokenizer files.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str, path: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    return sentencepiece_wfst.encode(table(spark, sf_dir, "documents"), sentencepiece_wfst.read_model(path))
+
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
@@ -17,6 +24,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
 }
