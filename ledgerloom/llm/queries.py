@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, sentencepiece_wfst, simhash
+from . import mixing, pii, sentencepiece_wfst, simhash, toxicity
 from .common import table
 
 #: Folder of public tokenizer files.
@@ -15,6 +15,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, path: str = f"{TOKENIZER
     return sentencepiece_wfst.encode(table(spark, sf_dir, "documents"), sentencepiece_wfst.read_model(path))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.query(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
@@ -25,6 +33,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op5_mixing": op5_mixing,
+    "op7_toxicity": op7_toxicity,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
 }
