@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -37,6 +38,11 @@ def features(token: str) -> list[str]:
     return out
 
 
+def damped(n_tokens: int) -> float:
+    """What a feature's count is multiplied by: between counts and shares, so that neither length nor a few words decide alone."""
+    return 10.0 / math.sqrt(n_tokens)
+
+
 def _sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -133,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
                         if x in at:
                             n[at[x]] = n.get(at[x], 0) + 1
                 cols.append(sorted(n))
-                xs.append([100.0 * n[i] / len(tokens) for i in sorted(n)])
+                xs.append([n[i] * damped(len(tokens)) for i in sorted(n)])
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cols, pa.list_(pa.int32())), pa.array(xs, pa.list_(pa.float64()))], ["doc_id", "toxic", "cols", "xs"])
 
         return f
@@ -176,7 +182,7 @@ def _scorer(model: Model):
         s = np.zeros(len(texts))
         for i, text in enumerate(texts):
             if text and (tokens := text.split()):
-                s[i] = 100.0 * sum(map(weights.__getitem__, tokens)) / len(tokens)
+                s[i] = sum(map(weights.__getitem__, tokens)) * damped(len(tokens))
         return model.grades(s)
 
     return score
