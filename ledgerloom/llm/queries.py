@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, sentencepiece_wfst, simhash, toxicity
+from . import mixing, pii, sentencepiece_wfst, simhash, toxicity, url_filter, warc
 from .common import table
 
 #: Folder of public tokenizer files.
@@ -15,6 +15,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, path: str = f"{TOKENIZER
     return sentencepiece_wfst.encode(table(spark, sf_dir, "documents"), sentencepiece_wfst.read_model(path))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.query(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(table(spark, sf_dir, "documents"))
 
@@ -33,9 +41,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_warc": op2_warc,
+    "op3_url_filters": op3_url_filters,
     "op5_mixing": op5_mixing,
     "op7_toxicity": op7_toxicity,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": url_filter.ORACLE_SQL}
