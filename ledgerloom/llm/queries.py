@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, sentencepiece_wfst, simhash, toxicity, url_filter, warc
+from . import fertility, mixing, pii, sentencepiece_wfst, simhash, toxicity, url_filter, warc
 from .common import table
 
 #: Folder of public tokenizer files.
@@ -23,6 +23,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.query(table(spark, sf_dir, "pages"))
 
 
+def op4_fertility(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
+    return fertility.query(table(spark, sf_dir, "documents"), folder)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_warc": op2_warc,
     "op3_url_filters": op3_url_filters,
+    "op4_fertility": op4_fertility,
     "op5_mixing": op5_mixing,
     "op7_toxicity": op7_toxicity,
     "op9_simhash": op9_simhash,
