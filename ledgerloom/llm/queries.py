@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, mixing, pii, sentencepiece_wfst, simhash, toxicity, url_filter, warc
+from . import fertility, lattice_lm, mixing, pii, sentencepiece_wfst, simhash, toxicity, url_filter, warc
 from .common import table
 
 #: Folder of public tokenizer files.
@@ -31,6 +31,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(table(spark, sf_dir, "documents"))
 
 
+def op6_lattice(spark: SparkSession, sf_dir: str, path: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents"), sentencepiece_wfst.read_model(path))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_fertility": op4_fertility,
     "op5_mixing": op5_mixing,
+    "op6_lattice": op6_lattice,
     "op7_toxicity": op7_toxicity,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
