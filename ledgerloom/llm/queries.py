@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, lattice_lm, mixing, pii, sentencepiece_wfst, simhash, toxicity, url_filter, warc
+from . import fertility, lattice_lm, mixing, pii, sentencepiece_wfst, simhash, spotsigs, toxicity, url_filter, warc
 from .common import table
 
 #: Folder of public tokenizer files.
@@ -39,6 +39,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.query(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_lattice": op6_lattice,
     "op7_toxicity": op7_toxicity,
+    "op8_spotsigs": op8_spotsigs,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
 }
