@@ -188,14 +188,15 @@ def repeated(docs: DataFrame, seed: int = 42) -> DataFrame:
     taken = mix(docs, seed=seed)
     per = cut(taken.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")), "copies")
     per = per.select(*(F.col(c).alias(f"__{c}") for c in per.columns))
+    side = per.hint("shuffle_hash")  # grows with the documents, so it is never broadcast, and texts needn't be sorted
     on = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source"))
     if not per.groupBy("__doc_id", "__source").agg(F.sum("__n").alias("n")).where("n > 1").limit(1).count():
-        out = docs.join(per, on).withColumn("__times", F.col("__copies").cast("int"))
+        out = docs.join(side, on).withColumn("__times", F.col("__copies").cast("int"))
     else:
         sized = docs.withColumn("__words", F.udf(lambda t: len(words(t)), "long")("text"))
         rank = F.row_number().over(Window.partitionBy("doc_id", "source", "__words").orderBy(F.xxhash64("text")))
         share = F.floor(F.col("__copies") / F.col("__n")) + (F.col("__rank") <= F.col("__copies") % F.col("__n")).cast("long")
-        out = sized.withColumn("__rank", rank).join(per, on & (F.col("__words") == F.col("__size"))).withColumn("__times", share.cast("int"))
+        out = sized.withColumn("__rank", rank).join(side, on & (F.col("__words") == F.col("__size"))).withColumn("__times", share.cast("int"))
     return out.where("__times > 0").withColumn("__i", F.explode(F.expr("sequence(1, __times)"))).select(*docs.columns)
 
 
