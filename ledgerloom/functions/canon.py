@@ -141,11 +141,10 @@ def state_leaf(kind: str, id: str, rev: str, deleted: bool = False, namespace: s
 
 
 def unsigned(record: dict, domain: str, namespace: str = NAMESPACE) -> str:
-    """What a decision, an envelope or a checkpoint has signed: its hash without signatures."""
-    out = {k: v for k, v in record.items() if k != "signature"}
-    if domain == "decision" and "deciders" in out:
-        out["deciders"] = [{k: v for k, v in d.items() if k != "signature"} for d in out["deciders"]]
-    return hash_value(domain, out, namespace)
+    """What is signed of a decision (subject, context, verdict and time), an envelope or a checkpoint (all but signatures)."""
+    if domain == "decision":
+        return hash_value(domain, {k: record[k] for k in ("subject", "policy_context", "verdict", "timestamp")}, namespace)
+    return hash_value(domain, {k: v for k, v in record.items() if k != "signature"}, namespace)
 
 
 # the same as columns, for shapes that are known beforehand

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 KEY = ["kind", "id"]
 PAYLOAD = ["type", "from_ref", "to_ref", "subject", "term", "basis", "content_hash", "attributes", "rev"]
 WRITES = ("create", "update")
+VERBS = ("create", "update", "delete", "redact-document", "redact-operation")
 
 
 def position() -> Column:
@@ -98,6 +99,7 @@ def key_violations(ops: DataFrame) -> DataFrame:
         DataFrame.unionByName,
         [
             _violation(h.where((F.col("verb") == "create") & F.col("known")), "op", "create of existing object", F.col("id")),
+            _violation(h.where(~F.col("verb").isin(*VERBS) | F.col("verb").isNull()), "op", "unsupported operation", F.col("verb")),
             _violation(h.where(change & F.col("prior").isNull()), "op", "needs prior", F.col("verb")),
             _violation(h.where((change | (F.col("verb") == "redact-document")) & ~F.col("known")), "op", "unknown object", F.col("verb")),
             _violation(h.where(change & F.col("known") & F.col("prior").isNotNull() & stale), "op", "prior-revision mismatch", F.col("prior")),

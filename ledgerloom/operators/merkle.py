@@ -59,18 +59,38 @@ def root(level: DataFrame, domain: str = "state-node", namespace: str = canon.NA
     return now.select(F.col("leaf").alias("root"))
 
 
-def paths(level: DataFrame, domain: str = "state-node", namespace: str = canon.NAMESPACE) -> DataFrame:
-    """(idx, leaf, proof): for every leaf its siblings up to the root, each with whether it stands on the left; an equi-join a level."""
-    size = level.count()
-    out = level.select("idx", "leaf", F.col("idx").alias("at"), F.array().cast("array<struct<sibling:string,left:boolean>>").alias("proof"))
-    now = level.select("idx", "leaf")
-    while size > 1:
-        side = now.select(F.col("idx").alias("s"), F.col("leaf").alias("sibling"))
-        joined = out.withColumn("s", F.col("at").bitwiseXOR(F.lit(1))).join(side, "s", "left")
-        step = F.struct("sibling", (F.col("at") % 2 == 1).alias("left"))
-        out = joined.select("idx", "leaf", F.shiftright("at", 1).alias("at"), F.when(F.col("sibling").isNull(), F.col("proof")).otherwise(F.array_append("proof", step)).alias("proof"))
-        now, size = next_level(now, domain, namespace), (size + 1) // 2
-    return out.select("idx", "leaf", "proof")
+def paths(level: DataFrame, domain: str = "state-node", namespace: str = canon.NAMESPACE, block: int = 4096) -> DataFrame:
+    """(idx, leaf, proof): for every leaf its siblings up to the root, each with whether it stands on the left.
+
+    A block of leaves has its part of the paths alone; the blocks' roots are the
+    leaves of the next round, whose proofs are joined on by block.
+    """
+
+    def of_block(key, table):
+        import pyarrow as pa
+
+        t = table.sort_by("idx")
+        leaves, rows = t["leaf"].to_pylist(), t["idx"].to_pylist()
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            now = levels[-1]
+            levels.append([canon.merkle_root(now[i : i + 2], domain, namespace) for i in range(0, len(now), 2)])
+        proofs = []
+        for i in range(len(leaves)):
+            steps = [(lv, i >> k) for k, lv in enumerate(levels[:-1])]
+            proofs.append([{"sibling": lv[at ^ 1], "left": bool(at & 1)} for lv, at in steps if at ^ 1 < len(lv)])
+        step = pa.list_(pa.struct([("sibling", pa.string()), ("left", pa.bool_())]))
+        return pa.table({"idx": rows, "leaf": leaves, "b": [key[0].as_py()] * len(rows), "top": levels[-1] * len(rows), "inner": pa.array(proofs, step)})
+
+    start = level.select(F.col("idx").cast("long").alias("idx"), "leaf").withColumn("b", F.floor(F.col("idx") / block).cast("long"))
+    kind = "array<struct<sibling:string,left:boolean>>"
+    found = start.groupBy("b").applyInArrow(of_block, f"idx long, leaf string, b long, top string, inner {kind}")
+    if level.limit(block + 1).count() <= block:
+        return found.select("idx", "leaf", F.col("inner").alias("proof"))
+    found = saved(found, "paths")
+    tops = found.groupBy("b").agg(F.first("top").alias("leaf")).select(F.col("b").alias("idx"), "leaf")
+    outer = paths(saved(tops, "tops"), domain, namespace, block).select(F.col("idx").alias("b"), "proof")
+    return found.join(outer, "b").select("idx", "leaf", F.concat("inner", "proof").alias("proof"))
 
 
 def check_paths(proofs: DataFrame, root_hash: str, domain: str = "state-node", namespace: str = canon.NAMESPACE) -> DataFrame:

@@ -165,7 +165,7 @@ def _parsed(files: DataFrame, make, schema: str) -> DataFrame:
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of every YAML file below a path, one row a file."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.y*ml").option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.y*ml")
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
