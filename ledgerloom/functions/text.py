@@ -13,17 +13,17 @@ DEFINING = ["meta/EntityType", "meta/EdgeType", "meta/Struct"]
 BASE_TYPES = ["string", "int", "float", "decimal", "bool", "timestamp", "date", "duration", "bytes", "node-ref", "edge-ref", "document-ref", "external-ref", "selector"]
 LANGUAGES = {
     "rs": "rust",
-    "py": "python",
     "ts": "typescript",
     "tsx": "typescript",
     "js": "javascript",
     "jsx": "javascript",
-    "go": "go",
-    "java": "java",
-    "c": "c",
-    "h": "c",
-    "rb": "ruby",
+    "py": "python",
+    "toml": "toml",
+    "yaml": "yaml",
+    "yml": "yaml",
+    "md": "markdown",
     "sh": "shell",
+    "json": "json",
 }
 
 
@@ -61,11 +61,9 @@ def glob_match(pattern: str, text: str) -> bool:
 
 
 def language_col(path: Column) -> Column:
-    """Language by the extension of a path's last segment; null for others."""
-    name = F.substring_index(path, "/", -1)
-    ext = F.when(F.instr(name, ".") > 0, F.substring_index(name, ".", -1))
+    """Language by what follows a path's last dot (the whole path without one); null for others."""
     table = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    return F.try_element_at(table, ext)
+    return F.try_element_at(table, F.substring_index(path, ".", -1))
 
 
 def kind_col(ref: Column) -> Column:
@@ -108,23 +106,46 @@ def type_expr_errors(expr: str, structs: set[str] = frozenset()) -> list[str]:
     return [f"map type needs key and value: {expr}"]
 
 
-# Fixed value: how items of source files begin, with their kind.
-ITEM = re.compile(r"^ {0,4}(?:pub(?:\([^)]*\))? )?(?:async )?(?:unsafe )?(fn|struct|enum|trait|type) +([A-Za-z_][A-Za-z0-9_]*)")
-ITEM_KINDS = {"fn": "function", "struct": "struct", "enum": "enum", "trait": "trait", "type": "type"}
+# How items of source files begin, and how far they may be indented.
+ITEM = re.compile(r"(?:(?:pub |pub\(crate\) )?(fn)|(?:pub )?(struct|enum|trait)) (\w+)")
+INDENT = 4
+_MARK = re.compile("[{};]")
 
 
 def items(text: str) -> list[tuple[str, str, int, int, str]]:
-    """(kind, name, first line, last line, body) of each item; lines from 1; the body is what follows the first line."""
-    lines, out = text.split("\n"), []
-    for i, line in enumerate(lines):
-        if not (m := ITEM.match(line)):
+    """(kind, name, first line, last line, body) of each item; lines from 1; the body is what follows the first line.
+
+    An item ends on the line where its braces close, or at a semicolon before
+    any brace; one that never ends goes on to the last line.
+    """
+    lines = [x.removesuffix("\r") for x in text.split("\n")]
+    if lines and not lines[-1]:
+        lines.pop()
+    marks = [(n, m[0]) for n, line in enumerate(lines) for m in _MARK.finditer(line)]
+    first = {}
+    for k, (n, _) in enumerate(marks):
+        first.setdefault(n, k)
+    out, at = [], len(marks)
+    for n in range(len(lines) - 1, -1, -1):
+        at = first.get(n, at)
+        bare_line = lines[n].lstrip()
+        m = ITEM.match(bare_line)
+        if m and len(lines[n]) - len(bare_line) <= INDENT:
+            end = _end(marks, at, len(lines) - 1)
+            out.append((m[1] or m[2], m[3], n + 1, end + 1, "\n".join(lines[n + 1 : end + 1])))
+    return out[::-1]
+
+
+def _end(marks: list[tuple[int, str]], at: int, last: int) -> int:
+    depth, opened, closed = 0, False, None
+    for n, c in marks[at:]:
+        if closed is not None and n != closed:
+            return closed
+        if c == ";":
+            if not opened and not depth:
+                return n
             continue
-        depth, opened, end = 0, False, i
-        for j in range(i, len(lines)):
-            depth += lines[j].count("{") - lines[j].count("}")
-            opened = opened or "{" in lines[j]
-            end = j
-            if (opened and depth <= 0) or (not opened and lines[j].rstrip().endswith(";")):
-                break
-        out.append((ITEM_KINDS[m[1]], m[2], i + 1, end + 1, "\n".join(lines[i + 1 : end + 1])))
-    return out
+        depth += 1 if c == "{" else -1
+        opened = opened or c == "{"
+        closed = n if opened and depth <= 0 else None
+    return last if closed is None else closed

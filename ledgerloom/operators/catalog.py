@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import saved
 from ..functions.text import META_TYPES, bare
 
 MAX_HOPS = 32
@@ -174,6 +175,25 @@ def closure(edges: DataFrame, child: str, parent: str, hops: int | None = None)
     """)
 
 
+def reach(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node, ancestor, depth) as closure() has them, but for depth 0, for hierarchies as large as the data.
+
+    Paths are composed with themselves, so a round doubles what they span and
+    the number of rounds is the logarithm of the depth; each round is saved, and
+    keeps one row for a pair, so cycles end.
+    """
+    now = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node is not null and ancestor is not null").distinct()
+    now, seen = saved(now.withColumn("depth", F.lit(1).cast("long")), "reach"), None
+    while True:
+        size = now.agg(F.count("*"), F.sum("depth")).first()
+        if size == seen:
+            return now
+        seen = size
+        far = now.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("a2"), F.col("depth").alias("d2"))
+        both = now.join(far, "ancestor").select("node", F.col("a2").alias("ancestor"), (F.col("depth") + F.col("d2")).alias("depth"))
+        now = saved(now.unionByName(both).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "reach")
+
+
 def cycles(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(node): every node that is its own ancestor by one step or more."""
     up = closure(edges, child, parent)

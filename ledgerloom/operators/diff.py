@@ -29,7 +29,7 @@ def references(texts: DataFrame, names: DataFrame, pattern: str = r"([A-Za-z_][A
 
 def references_within(texts: DataFrame, names: DataFrame) -> DataFrame:
     """references(), where a name also counts inside a longer word: every end of a called word is tried."""
-    called = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9_]+)\("), F.lit(1)))).alias("word"))
+    called = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)\("), F.lit(1)))).alias("word"))
     ends = called.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.col("word"), i, F.length("word")))).alias("word"))
     return ends.join(names.select(F.col("name").alias("word")).distinct(), "word").select("id", F.col("word").alias("name")).distinct()
 

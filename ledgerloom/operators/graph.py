@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bare_col
-from .catalog import closure
+from .catalog import reach
 from .fold import live, with_ref
 from .policy import regions
 
@@ -45,7 +45,7 @@ def inbound(edges: DataFrame, names: DataFrame, target: str = "to_ref", source:
 
 def lineage(derived: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """(node, ancestor, depth): everything that a claim rests on, however far."""
-    return closure(derived, child, parent).where("depth > 0")
+    return reach(derived, child, parent)
 
 
 def in_region(state: DataFrame, terms: DataFrame, region: str) -> DataFrame:

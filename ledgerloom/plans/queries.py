@@ -38,9 +38,11 @@ def fold_latest_state(spark, sf_dir):
     return fold.latest_state(lens.event_ops(spark, sf_dir)).select("kind", "id", "type", "rev", "deleted", "last_seq")
 
 
-@query(f"WITH {EVENT_OPS.replace('FROM events)', 'FROM events WHERE event_id <= 400)')}, {_LATEST} SELECT kind, id, rev, deleted FROM folded")
+@query(f"WITH {EVENT_OPS.replace('FROM events)', 'FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events))')}, {_LATEST} SELECT kind, id, rev, deleted FROM folded")
 def fold_to_prefix(spark, sf_dir):
-    return fold.fold_to(lens.event_ops(spark, sf_dir), 400).select("kind", "id", "rev", "deleted")
+    """The state as it stood half way."""
+    half = table(spark, sf_dir, "events").agg(F.floor(F.max("event_id") / 2)).first()[0]
+    return fold.fold_to(lens.event_ops(spark, sf_dir), half).select("kind", "id", "rev", "deleted")
 
 
 @query(f"WITH {EVENT_OPS}, {_LATEST} SELECT id, rev, last_seq FROM folded WHERE deleted")
@@ -182,13 +184,13 @@ def inherited_attrs(spark, sf_dir):
     return catalog.inherited(attrs, anc)
 
 
-_RING = "SELECT n_nationkey AS a, (n_nationkey * 7) % 25 AS b FROM nation WHERE n_nationkey % 4 <> 3"
+_RING = "SELECT n_nationkey AS a, (n_nationkey * n_nationkey + 3) % 25 AS b FROM nation"
 
 
 @query(f"WITH RECURSIVE e AS ({_RING}), up(n, a) AS (SELECT a, b FROM e UNION SELECT n, b FROM up JOIN e ON e.a = up.a) SELECT DISTINCT n::VARCHAR AS node FROM up WHERE n = a")
 def taxonomy_cycles(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").where("n_nationkey % 4 <> 3")
-    return catalog.cycles(n.select(F.col("n_nationkey").cast("string").alias("a"), (F.col("n_nationkey") * 7 % 25).cast("string").alias("b")), "a", "b")
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    return catalog.cycles(n.select(k.cast("string").alias("a"), ((k * k + 3) % 25).cast("string").alias("b")), "a", "b")
 
 
 @query("SELECT lower(c_mktsegment) AS term, array_to_string(list_sort(list_distinct(list(n_name))), ',') AS parents FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
@@ -486,9 +488,9 @@ def entity_context_counts(spark, sf_dir):
     return graph.entity_context(lens.state(spark, sf_dir)).select("ref", "n_out", "n_in", F.array_join("terms", ",").alias("terms"))
 
 
-@query("SELECT 'supplier-' || l_suppkey AS ref, array_to_string(list_sort(list_distinct(list('part-' || l_partkey))), ',') AS callers FROM lineitem WHERE l_partkey % 50 = 0 GROUP BY 1")
+@query("SELECT 'supplier-' || l_suppkey AS ref, array_to_string(list_sort(list_distinct(list('part-' || l_partkey))), ',') AS callers FROM lineitem GROUP BY 1")
 def inbound_callers(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_partkey % 50 = 0")
+    li = table(spark, sf_dir, "lineitem")
     edges = li.select(F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("from_ref"), F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")).alias("to_ref"))
     names = edges.select(F.col("from_ref").alias("ref"), F.col("from_ref").alias("name")).distinct()
     return graph.inbound(edges, names).select("ref", F.array_join("callers", ",").alias("callers"))
@@ -500,8 +502,8 @@ def classified_regions(spark, sf_dir):
     return policy.regions(cls, catalog.closure(lens.terms(spark), "term", "parent")).select("ref", F.array_join("regions", ",").alias("regions"))
 
 
-_CODE = """f AS (SELECT 'file-' || page_id AS id, url AS path FROM pages), decl AS (SELECT 'file-' || page_id AS f, 'item-' || item_id AS item FROM pages JOIN benchmark ON item_id = page_id % 40), t AS (
-  SELECT 'file-' || page_id AS id, 'building' AS term FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT 'item-' || item_id, 'furniture' FROM benchmark WHERE item_id % 3 = 0)"""
+_CODE = """f AS (SELECT 'file-' || page_id AS id, url AS path FROM pages), decl AS (SELECT 'file-' || page_id AS f, 'item-' || item_id AS item FROM pages JOIN benchmark ON item_id = page_id % 200), t AS (
+  SELECT 'file-' || page_id AS id, 'building' AS term FROM pages WHERE starts_with(url, 'https') UNION ALL SELECT 'item-' || item_id, 'furniture' FROM benchmark WHERE length(text) > 300)"""
 
 
 @query(
@@ -509,7 +511,7 @@ _CODE = """f AS (SELECT 'file-' || page_id AS id, url AS path FROM pages), decl
     " SELECT path, coalesce(array_to_string(list_sort(list_distinct(list(ancestor) FILTER (ancestor IS NOT NULL))), ','), '') AS regions FROM (SELECT DISTINCT path FROM f) LEFT JOIN r USING (path) GROUP BY path"
 )
 def region_reach(spark, sf_dir):
-    pages, items = table(spark, sf_dir, "pages"), table(spark, sf_dir, "benchmark").where("item_id < 40")
+    pages, items = table(spark, sf_dir, "pages"), table(spark, sf_dir, "benchmark")
     no, page = F.lit(None).cast("string"), F.col("page_id").cast("string")
     cols = ["kind", "id", "type", "from_ref", "to_ref", "subject", "term", "attributes", "deleted"]
 
@@ -517,19 +519,19 @@ def region_reach(spark, sf_dir):
         return df.select(*(c.alias(n) for c, n in zip((F.lit(kind), id_, type_, a, b, subject, term, attributes, F.lit(False)), cols)))
 
     item = F.col("item_id").cast("string")
-    target = F.concat(F.lit("node:item-"), (F.col("page_id") % 40).cast("string"))
+    target = F.concat(F.lit("node:item-"), (F.col("page_id") % 200).cast("string"))
     s = rows(pages, "node", F.concat(F.lit("file-"), page), F.lit("code/SourceFile@1"), attributes=F.to_json(F.struct(F.col("url").alias("path"))))
     s = s.unionByName(rows(items, "node", F.concat(F.lit("item-"), item), F.lit("code/Function")))
     s = s.unionByName(rows(pages, "edge", F.concat(F.lit("d-"), page), F.lit("code/declares@1"), F.concat(F.lit("node:file-"), page), target))
-    s = s.unionByName(rows(pages.where("page_id % 5 = 0"), "classification", F.concat(F.lit("c-"), page), subject=F.concat(F.lit("node:file-"), page), term=F.lit("building@1")))
-    s = s.unionByName(rows(items.where("item_id % 3 = 0"), "classification", F.concat(F.lit("i-"), item), subject=F.concat(F.lit("node:item-"), item), term=F.lit("furniture")))
+    s = s.unionByName(rows(pages.where("url like 'https%'"), "classification", F.concat(F.lit("c-"), page), subject=F.concat(F.lit("node:file-"), page), term=F.lit("building@1")))
+    s = s.unionByName(rows(items.where("length(text) > 300"), "classification", F.concat(F.lit("i-"), item), subject=F.concat(F.lit("node:item-"), item), term=F.lit("furniture")))
     return graph.path_regions(s, catalog.closure(lens.terms(spark), "term", "parent")).select("path", F.array_join("regions", ",").alias("regions"))
 
 
-@query("WITH RECURSIVE up(node, ancestor, depth) AS (SELECT event_id, event_id // 3, 1 FROM events WHERE event_id > 0 AND event_id < 900 UNION ALL SELECT node, ancestor // 3, depth + 1 FROM up WHERE ancestor > 0) SELECT node, ancestor, min(depth) AS depth FROM up WHERE node <> ancestor GROUP BY 1, 2")
+@query("WITH RECURSIVE up(node, ancestor, depth) AS (SELECT event_id, event_id // 5, 1 FROM events WHERE event_id > 0 UNION ALL SELECT node, ancestor // 5, depth + 1 FROM up WHERE ancestor > 0) SELECT node, ancestor, depth::BIGINT AS depth FROM up")
 def lineage_transitive(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id > 0 and event_id < 900")
-    return graph.lineage(e.select(F.col("event_id").alias("child"), F.floor(F.col("event_id") / 3).alias("parent")))
+    e = table(spark, sf_dir, "events").where("event_id > 0")
+    return graph.lineage(e.select(F.col("event_id").alias("child"), F.floor(F.col("event_id") / 5).alias("parent")))
 
 
 _SCOPE = f"""{STATE}, {CLOSURE}, n AS (SELECT DISTINCT 'node:' || x.id AS ref, x.id FROM live x JOIN live c ON c.subject = 'node:' || x.id JOIN closure ON node = split_part(c.term, '@', 1) WHERE x.kind = 'node' AND ancestor = 'industry')"""
@@ -579,13 +581,13 @@ _CUT = "'1998-01-01'"
 
 
 @query(
-    f"WITH a AS (SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderdate >= {_CUT}), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE o_orderpriority END AS o_orderpriority, o_totalprice FROM orders WHERE o_orderkey % 4 <> 1)"
+    f"WITH a AS (SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderdate >= {_CUT}), b AS (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'x' ELSE o_orderpriority END AS o_orderpriority, o_totalprice FROM orders WHERE o_orderstatus <> 'P')"
     " SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'create' WHEN a.o_orderkey IS NULL THEN 'delete' ELSE 'update' END AS verb FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderpriority <> b.o_orderpriority"
 )
 def snapshot_diff(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate")
     new = o.where(f"o_orderdate >= {_CUT}")
-    old = o.where("o_orderkey % 4 <> 1").withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, "x").otherwise(F.col("o_orderpriority")))
+    old = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").withColumn("o_orderpriority", F.when(F.col("o_totalprice") > 300000, "x").otherwise(F.col("o_orderpriority")))
     return diff.snapshot_diff(new, old, ["o_orderkey"], ["o_orderpriority", "o_totalprice"])
 
 
@@ -622,7 +624,7 @@ def first_definition(spark, sf_dir):
 _EXT = ", ".join(f"('{k}', '{v}')" for k, v in text.LANGUAGES.items())
 
 
-@query(f"WITH ext(e, l) AS (VALUES {_EXT}), p AS (SELECT event_id, event_type || '/a.b/' || user_id || CASE event_id % 5 WHEN 0 THEN '.rs' WHEN 1 THEN '.py' WHEN 2 THEN '.tsx' WHEN 3 THEN '' ELSE '.html' END AS path FROM events) SELECT event_id, l AS language FROM p LEFT JOIN ext ON contains(split_part(path, '/', -1), '.') AND split_part(path, '.', -1) = e")
+@query(f"WITH ext(e, l) AS (VALUES {_EXT}), p AS (SELECT event_id, event_type || '/a.b/' || user_id || CASE event_id % 5 WHEN 0 THEN '.rs' WHEN 1 THEN '.py' WHEN 2 THEN '.tsx' WHEN 3 THEN '' ELSE '.html' END AS path FROM events) SELECT event_id, l AS language FROM p LEFT JOIN ext ON split_part(path, '.', -1) = e")
 def language_of(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     ext = F.element_at(F.array(*map(F.lit, (".rs", ".py", ".tsx", "", ".html"))), (F.col("event_id") % 5 + 1).cast("int"))
@@ -641,11 +643,11 @@ def schema_epoch(spark, sf_dir):
     return with_epochs(c, ["conv_id"], "turn").select("conv_id", "turn", F.col("position").cast("long").alias("position"), "epoch")
 
 
-@query("WITH x AS (SELECT conv_id, turn FROM conversations WHERE conv_id < 200) SELECT conv_id, turn, (SELECT count(*) FROM x y WHERE y.conv_id = x.conv_id AND y.turn <= x.turn) AS position FROM x")
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations")
 def chain_order(spark, sf_dir):
     from ..sources.log import chain
 
-    c = table(spark, sf_dir, "conversations").where("conv_id < 200")
+    c = table(spark, sf_dir, "conversations")
     key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     before = F.when(F.col("turn") > 0, F.array(F.concat_ws("/", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string")))).otherwise(F.array().cast("array<string>"))
     tree = c.select(F.col("conv_id").cast("string").alias("graph"), "conv_id", "turn", key.alias("hash"), before.alias("parents"))

@@ -8,7 +8,7 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ITEM_KINDS, items, language_col
+from ..functions.text import items, language_col
 from ..operators import diff
 
 
@@ -83,7 +83,7 @@ def code_items(files: DataFrame) -> DataFrame:
 
 def calls(found: DataFrame) -> DataFrame:
     """(path, caller, target_path, callee): functions whose body has "name(" of another item; equal names mean the first definition."""
-    fns = found.where(F.col("kind") == ITEM_KINDS["fn"])
+    fns = found.where("kind = 'fn'")
     bodies = fns.select(F.struct("path", "name").alias("id"), F.col("body").alias("text"))
     named = diff.references_within(bodies, fns.select("name"))
     target = diff.first_definition(fns.select("name", "path", "kind")).select(F.col("name").alias("callee"), F.col("path").alias("target_path"))

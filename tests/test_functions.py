@@ -95,14 +95,15 @@ def test_type_expressions():
 
 
 def test_source_items():
-    src = "pub fn a() {\n  b();\n}\n\n    pub(crate) async fn b() { c() }\nstruct S;\ntrait T {\n  fn inner();\n}\n        fn deep() {}\n"
+    src = "pub fn a() {\n  b();\n}\n\n    pub(crate) fn b() { c() }\nstruct S;\npub trait T {\n  fn inner();\n}\n     fn deep() {}\nasync fn no() {}\nfn open() {\r\n  x\n"
     got = [(k, n, s, e) for k, n, s, e, _ in text.items(src)]
-    assert got == [("function", "a", 1, 3), ("function", "b", 5, 5), ("struct", "S", 6, 6), ("trait", "T", 7, 9), ("function", "inner", 8, 8)]
-    assert text.items(src)[1][4] == ""
+    assert got == [("fn", "a", 1, 3), ("fn", "b", 5, 5), ("struct", "S", 6, 6), ("trait", "T", 7, 9), ("fn", "inner", 8, 8), ("fn", "open", 12, 13)]
+    assert text.items(src)[0][4] == "  b();\n}" and text.items(src)[1][4] == ""
+    assert text.items("") == [] and text.items("fn f() { {\n} }\nfn g() -> X\n{\n}")[1][2:4] == (3, 5)
 
 
 def test_paths(spark):
-    rows = ["a/b.rs", "x.y/z", "q.tsx", "none", "a.b/c.PY", None]
+    rows = ["a/b.rs", "x.y/z", "q.tsx", "none", "a.b/c.PY", None, "md"]
     got = spark.createDataFrame([(r,) for r in rows], "p string").select(text.language_col(F.col("p")).alias("l")).collect()
-    assert [r.l for r in got] == ["rust", None, "typescript", None, None, None]
+    assert [r.l for r in got] == ["rust", None, "typescript", None, None, None, "markdown"]
     assert text.folder_name("a b/ü") == "a-b--"
