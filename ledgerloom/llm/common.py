@@ -65,7 +65,18 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             if batch.num_rows and (out := f(batch)) is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where a plain scan has fewer (a small table in one file).
+
+    Only the number of tasks changes; large tables are left as they are, and
+    so is anything that has been shuffled.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if "AdaptiveSparkPlan" in plan or df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
 def words(text: str | None) -> list[bytes]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut
+from .common import SPACE, cut, spread
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -199,7 +199,7 @@ def measure(docs: DataFrame, piece_model: bytes, byte_ranks: bytes, pattern: str
 
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
-    return narrow.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, lang string, {COUNTS}")
+    return spread(narrow).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, lang string, {COUNTS}")
 
 
 def _medians(measured: DataFrame, key: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lowered_words
+from .common import cut, lowered_words, spread
 
 MARK = "▁"
 #: Distinct words that a task counts before it passes them on.
@@ -63,7 +63,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         if counts:
             yield flush()
 
-    return rows.select("text", "held_out").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return spread(rows.select("text", "held_out")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def piece_counts(words: DataFrame, model: bytes) -> DataFrame:
@@ -166,7 +166,7 @@ def _split(rows: DataFrame, id_type: str, head: dict[bytes, int], c: np.ndarray,
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["uid", "doc_id", "held_out", "word", "n", "n_known", "base", "score"]
-    return rows.mapInArrow(run, f"uid long, doc_id {id_type}, held_out boolean, word string, n long, n_known long, base double, score double")
+    return spread(rows).mapInArrow(run, f"uid long, doc_id {id_type}, held_out boolean, word string, n long, n_known long, base double, score double")
 
 
 def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

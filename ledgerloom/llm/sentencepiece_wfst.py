@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 MARK = "▁"
 # The kinds of pieces and models in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -365,7 +367,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(sizes), pa.array(n_bytes.astype(np.int64)), pa.array(same)], ["doc_id", "ids", "n_tokens", "n_byte_tokens", "round_trip"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>, n_tokens long, n_byte_tokens long, round_trip boolean")
+    return spread(narrow).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>, n_tokens long, n_byte_tokens long, round_trip boolean")
 
 
 def decode(tokens: DataFrame, model: bytes, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

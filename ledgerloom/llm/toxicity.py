@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
+from .common import cut, map_batches, spread
 
 #: The classifier is fitted on so many labelled documents of each class at most; everything else sees all rows.
 FIT_ROWS = 2000
@@ -221,7 +221,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", reject_at:
             if batch.num_rows:
                 yield batch.filter(pa.array(scorer(batch.column(at).to_pylist())[:, 0] > 1 - reject_at))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
