@@ -131,7 +131,10 @@ def dangling_violations(ops: DataFrame) -> DataFrame:
     for side in ("from_ref", "to_ref"):
         hit = edges.join(died.withColumnRenamed("ref", side), side).where((F.col("since") <= F.col("seq")) & (F.col("until").isNull() | (F.col("until") > F.col("seq"))))
         parts.append(_violation(hit, "dangling", f"dangling {side}", F.col(side)))
-    return parts[0].unionByName(parts[1])
+    hidden = ops.where((F.col("kind") == "edge") & (F.col("verb") == "redact-document")).select("kind", "id", "seq", "op_idx")
+    hidden = hidden.join(gone, "id", "left").where(F.col("until").isNull() | (F.col("until") > F.col("seq")))
+    parts.append(_violation(hidden, "dangling", "dangling from_ref", F.lit("redacted")))  # a redaction takes a live edge's ends
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def violations(ops: DataFrame) -> DataFrame:

@@ -314,6 +314,22 @@ class Graph:
         row = principals(state).where(F.col("name") == ref.removeprefix("principal:")).first()
         return row and {"kind": row.kind, "id": row.id, "keys": json.loads(row.attributes).get("keys") or []}
 
+    def object(self, kind: str, id_: str) -> dict | None:
+        """A live object's payload and rev."""
+        row = fold.live(self.state()).where((F.col("kind") == kind) & (F.col("id") == id_)).first()
+        return row and {k: v for k, v in row.asDict().items() if v is not None}
+
+    def log(self) -> DataFrame:
+        """(seq, hash, author, n_ops, intent) of every changeset."""
+        rows = [(n, c["hash"], c["author"]["principal"], len(c["operations"]), c.get("intent")) for n, c in enumerate(self.chain(), 1)]
+        return self.spark.createDataFrame(rows, "seq long, hash string, author string, n_ops int, intent string")
+
+    def view(self) -> DataFrame:
+        """(kind, id, type, label, rev) of live objects."""
+        from ..operators.graph import label_col
+
+        return fold.live(self.state()).select("kind", "id", "type", label_col(F.col("attributes")).alias("label"), "rev")
+
     # transactions
 
     def build(self, author: str, seed: bytes, intent: str, ops: list[dict]) -> dict:

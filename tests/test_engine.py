@@ -77,6 +77,9 @@ def test_admit_hold_decide_verify(graph):
     assert all((r.integrity, r.authorship, r.governance) == ("verified",) * 3 for r in report)
     assert graph.state(upto=first.hash).where("kind = 'node'").count() == graph.state().where("kind = 'node'").count() - 1
     assert graph.read_ops().count() == graph.ops().count()
+    assert [(r.n_ops, r.intent) for r in graph.log().where("seq > 1").collect()] == [(2, "scratch"), (2, "preference")]
+    assert graph.object("node", "p1")["type"] == "memory/Preference" and graph.object("node", "zz") is None
+    assert graph.view().where("label = 'tea'").first().id == "p1"
     cp = graph.checkpoint("anna", ANNA)
     assert cp["state_hash"] == graph.state_hash() == canon.merkle_root([canon.state_leaf(**e) for e in cp["state"]], "state-node")
     assert sign.verify(sign.public_key(ANNA).hex(), canon.unsigned(cp, "checkpoint"), cp["signature"])
@@ -101,9 +104,10 @@ def test_rejections(graph):
         ("edge end", [note("i"), E.create_edge("e2", "memory/about", "node:anna", "node:anna")]),
         ("grounded", [E.create_node("j", "memory/Preference", {"content": "tea"})]),
         ("unsupported", [{"resolve": {"kind": "node", "id": "anna"}}]),
-        ("", [note("k"), E.create_edge("e3", "memory/about", "node:k", "node:bot")]),
+        ("", [note("k"), E.create_edge("e3", "memory/about", "node:k", "node:bot"), note("m"), E.create_edge("e4", "memory/about", "node:m", "node:bot")]),
         ("dangling from_ref", [E.delete("node", "k", canon.revision_hash(note("k")["create"]))]),
         ("create of existing", [note("k")]),
+        ("dangling from_ref", [{"redact-document": {"kind": "edge", "id": "e4"}}]),
         ("unknown object kind", [{"create": {"kind": "thing", "id": "l"}}]),
     ]
     before, found = graph.head(), {}
