@@ -1,7 +1,6 @@
 import re
 
 import duckdb
-from pyspark.sql import functions as F
 
 from ledgerloom.llm import url_filter
 
