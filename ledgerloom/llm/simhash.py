@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import resemblance
 from .common import cut, lowered_words, map_batches
 from .components import roots
 
@@ -185,19 +186,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id", "root_fp")
 
 
-def keep_one(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 4, bits: int = 4, likeness: float | None = None) -> DataFrame:
     """docs with one row left of each group of near-duplicates, the one of least doc_id; all columns stay.
 
+    With a likeness the groups are those of the exact Jaccard likeness of the
+    texts' shingles (resemblance.near_duplicates), and bits is not used.
     A row without doc_id stays only if its group has no row with one; rows that
     agree in doc_id and group count as one.
     """
-    found = cut(near_duplicates(docs, width=width, bits=bits), "groups")
+    if likeness is None:
+        found, digest = near_duplicates(docs, width=width, bits=bits), lambda t: fingerprint(t, width)
+    else:
+        found, digest = resemblance.near_duplicates(docs, width=width, likeness=likeness), lambda t: resemblance.set_id(resemblance.shingles(t, width)) & (1 << 64) - 1
+    found = cut(found, "groups")
     gone = cut(found.where("not (doc_id <=> component_id)").select("doc_id").distinct(), "gone")
     rest = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
     again = found.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not again:
         return rest
-    fp = F.udf(lambda t: f"{fingerprint(t, width):016x}", "string")
+    fp = F.udf(lambda t: f"{digest(t):016x}", "string")
     return rest.withColumn("__fp", fp("text")).dropDuplicates(["doc_id", "__fp"]).drop("__fp")
 
 
