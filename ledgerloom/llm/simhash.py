@@ -191,21 +191,29 @@ def keep_one(docs: DataFrame, width: int = 4, bits: int = 4, likeness: float | N
 
     With a likeness the groups are those of the exact Jaccard likeness of the
     texts' shingles (resemblance.near_duplicates), and bits is not used.
-    A row without doc_id stays only if its group has no row with one; rows that
-    agree in doc_id and group count as one.
+    Rows are told apart by doc_id and text: a row without doc_id stays only if
+    its group has no row with one, and an id may stay in one group and go from
+    another.  Rows that agree in doc_id and group count as one.
     """
     if likeness is None:
-        found, digest = near_duplicates(docs, width=width, bits=bits), lambda t: fingerprint(t, width)
+        found, digest = near_duplicates(docs, width=width, bits=bits), lambda t: _signed(fingerprint(t, width))
     else:
-        found, digest = resemblance.near_duplicates(docs, width=width, likeness=likeness), lambda t: resemblance.set_id(resemblance.shingles(t, width)) & (1 << 64) - 1
+        found, digest = resemblance.near_duplicates(docs, width=width, likeness=likeness), lambda t: resemblance.set_id(resemblance.shingles(t, width))
     found = cut(found, "groups")
-    gone = cut(found.where("not (doc_id <=> component_id)").select("doc_id").distinct(), "gone")
-    rest = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    again = found.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not again:
+    head = found.where("doc_id <=> component_id").groupBy("root_fp").agg(F.first("doc_id").alias("doc_id"), F.min("fp").alias("fp")).select("doc_id", "fp")
+    # most ids belong to one row, whose verdict is the id's; only the rows of the others are told apart by their texts
+    rows = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count(F.when(F.expr("doc_id <=> component_id"), 1)).alias("heads"))
+    ids = cut(rows.where("doc_id is not null and not (rows = 1 and heads = 1)").select("doc_id", (F.col("heads") > 0).alias("mixed")), "ids")
+    head = cut(head.join(ids.where("mixed").select("doc_id"), "doc_id", "left_semi").unionByName(head.where("doc_id is null")), "heads")
+    rest = docs.where("doc_id is not null").join(ids.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    if not head.limit(1).count():
         return rest
-    fp = F.udf(lambda t: f"{digest(t):016x}", "string")
-    return rest.withColumn("__fp", fp("text")).dropDuplicates(["doc_id", "__fp"]).drop("__fp")
+    fp = F.udf(digest, "long")
+    mixed = docs.where("doc_id is not null").join(ids.where("mixed").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    mixed = mixed.unionByName(docs.where("doc_id is null")).withColumn("__fp", fp("text"))
+    named = head.select(F.col("fp").alias("__fp"), F.col("doc_id").alias("__id"))
+    mixed = mixed.join(named, (mixed["__fp"] == named["__fp"]) & mixed["doc_id"].eqNullSafe(named["__id"]), "left_semi")
+    return rest.unionByName(mixed.dropDuplicates(["doc_id", "__fp"]).drop("__fp"))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -98,3 +98,26 @@ def test_whole_small_table(spark):
     fps = [plain(r.text) for r in rows]
     want = sorted((r.doc_id, f"{f:016x}", c) for r, f, c in zip(rows, fps, classes(fps, [r.doc_id for r in rows])))
     assert sorted(map(tuple, simhash.query(docs).collect())) == want
+
+
+@pytest.mark.parametrize("rule", [{}, {"width": 5, "likeness": 0.8}])
+def test_rows_are_told_apart_by_id_and_text(spark, rule):
+    def text(x):
+        return " ".join(f"{x}{i}" for i in range(40))
+
+    rows = [
+        (1, text("a")),
+        (None, text("a")),  # a copy
+        (None, text("b")),  # alone
+        (None, text("c")),
+        (None, text("c")),
+        (2, text("d")),
+        (2, text("a")),  # an id on two texts: head of one group, a copy in another
+        (3, text("d")),
+        (4, text("e")),
+        (4, text("e")),
+        (4, text("f")),
+    ]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), **rule).collect()
+    want = [(1, text("a")), (None, text("b")), (None, text("c")), (2, text("d")), (4, text("e")), (4, text("f"))]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
