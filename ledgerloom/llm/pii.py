@@ -82,13 +82,17 @@ def _any(words) -> str:
 #: Symbols in brackets stand for themselves anywhere; bare words only in an address that has an at and a dot and ends in a known domain.
 _BRACKET_AT = re.compile(rf"[ ]?{_OPEN}[ ]?(?:@|{_any(AT)})[ ]?{_SHUT}[ ]?", re.I)
 _BRACKET_DOT = re.compile(rf"[ ]?{_OPEN}[ ]?(?:\.|{_any(DOT)})[ ]?{_SHUT}[ ]?", re.I)
-_BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: {_any(DOT)} [A-Za-z0-9_%+-]+)*( ?@ ?| {_any(AT)} )[A-Za-z0-9-]+(?:(?: {_any(DOT)} |\.)[A-Za-z0-9-]+)*(?: {_any(DOT)} |\.){_any(TLD)}(?![A-Za-z0-9-])", re.I)
+_BARE_TAIL = rf"( ?@ ?| {_any(AT)} )[A-Za-z0-9-]+(?:(?: {_any(DOT)} |\.)[A-Za-z0-9-]+)*(?: {_any(DOT)} |\.){_any(TLD)}(?![A-Za-z0-9-])"
+_BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: {_any(DOT)} [A-Za-z0-9_%+-]+)*{_BARE_TAIL}", re.I)
 _BARE_DOT = re.compile(rf" {_any(DOT)} ", re.I)
 #: At least three spelled digits in a row, or among digits.
 _SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:{_WORD}|[0-9]+)[ -]){{2,}}(?:{_WORD}|[0-9]+)(?!\w)", re.I)
 _SPELLED_ONE = re.compile(rf"({_WORD})(?:[ -](?=(?:{_WORD}|[0-9])))?|([0-9]+)[ -](?={_WORD})", re.I)
-_HINT_WORD = re.compile(rf"{_any(DOT)}|{_OPEN}", re.I)
-_HINT_DIGIT = re.compile(rf"(?<!\w)(?:{_WORD})[ -](?:{_WORD}|[0-9]+)[ -]", re.I)
+#: What a text must have for a rule to fit: cheaper to look for, and never missing where the rule fits.
+_HINT_BRACKET = re.compile(_OPEN)
+_HINT_BARE = re.compile(_BARE_TAIL, re.I)
+_HINT_DIGIT = re.compile(rf"(?<!\w)(?:{_WORD})[ -](?:{_WORD}|[0-9])", re.I)
+_HINT_LAST_DIGIT = re.compile(rf"[0-9][ -](?:{_WORD})(?!\w)", re.I)
 _LOOKALIKE = re.compile("[" + "".join(HOMOGLYPHS) + "！-～​‌‍⁠­﻿٠-٩۰-۹]")
 _GONE = "​‌‍⁠­﻿"
 
@@ -162,16 +166,17 @@ def normalise(text: str) -> Mapped:
     m = Mapped(text)
     if not text.isascii():
         m = m.rewrite([(x.start(), x.end(), _plain(x[0])) for x in _LOOKALIKE.finditer(m.text)])
-    if _HINT_WORD.search(m.text):
+    if _HINT_BRACKET.search(m.text):
         m = m.rewrite([(x.start(), x.end(), "@") for x in _BRACKET_AT.finditer(m.text)])
         m = m.rewrite([(x.start(), x.end(), ".") for x in _BRACKET_DOT.finditer(m.text)])
+    if _HINT_BARE.search(m.text):
         edits = []
         for x in _BARE.finditer(m.text):
             if "@" not in x[1] or _BARE_DOT.search(x[0]):
                 dots = [(x.start() + d.start(), x.start() + d.end(), ".") for d in _BARE_DOT.finditer(x[0])]
                 edits += sorted([*dots, (*x.span(1), "@")])
         m = m.rewrite(edits)
-    if _HINT_DIGIT.search(m.text):
+    if _HINT_DIGIT.search(m.text) or _HINT_LAST_DIGIT.search(m.text):
         edits = []
         for x in _SPELLED_RUN.finditer(m.text):
             for d in _SPELLED_ONE.finditer(x[0]):

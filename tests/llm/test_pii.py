@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -90,3 +91,27 @@ def test_whole_small_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r.base_sha256 for r in pii.query(docs).collect()}
     assert got == {r.doc_id: hashlib.sha256(pii.joined(plain(r.text)).encode()).hexdigest() for r in docs.collect()}
+
+
+def test_verdicts_do_not_hang_on_far_away_characters():
+    for text, kind, span in [
+        ("mail jane at example.com today", "email", "jane at example.com"),
+        ("pay 4111 1111 1111 111 one now", "card", "4111 1111 1111 111 one"),
+        ("ring +49 30 1234 five six.", "phone", "+49 30 1234 five six"),
+    ]:
+        for around in ("", " (", " point"):
+            found = pii.spans(text + around)[1]
+            assert [(text + around)[s:e] for s, e in found[kind]] == [span]
+
+
+PARTS = ["jane", "example", "com", ".", ".com", " at ", " AT ", "@", " @ ", " dot ", " Punkt ", "[at]", " (dot) ", "<", " ", "-", "+49", "4111", "7", "five", "Six", "un", "neuf", "x", "ät", " ät ", "point", "\uff11"]
+
+
+@given(st.lists(st.sampled_from(PARTS), max_size=14).map("".join))
+@settings(max_examples=3000, deadline=None)
+def test_hints_change_no_span(text):
+    with pytest.MonkeyPatch.context() as m:
+        for hint in ("_HINT_BRACKET", "_HINT_BARE", "_HINT_DIGIT"):
+            m.setattr(pii, hint, re.compile(""))
+        want = pii.spans(text)
+    assert pii.spans(text) == want
