@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, spread
+from .common import SPACE, spread
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -24,33 +24,44 @@ KEPT = 400_000
 class Band:
     """What a text may measure; limits count as inside.
 
-    low and high are multiples of the median letters per token of all texts of
-    the text's language or script, for either vocabulary.
+    low and high are letters per token, of the pieces and of the byte-level
+    vocabulary.
     """
 
-    low: float = 0.82
-    high: float = 1.8
+    low: tuple[float, float]
+    high: tuple[float, float] = (6.3, 6.3)
     byte_share: float = 0.10
     entropy: float = 0.40
 
 
-#: By language, else by script, else "other".
+# Letters per token of both vocabularies.  en, de, fr, es: medians of every third sf0.1 text that passes the base rules.
+PROSE = {"en": (2.151, 2.173), "de": (2.185, 1.980), "fr": (1.918, 1.791), "es": (1.879, 1.712)}
+# The same of article 1 of the Universal Declaration of Human Rights (English: 4.088 and 4.212, 1.5 times which is the upper limit of Latin script).
+ARTICLE = {
+    "cyrillic": (2.180, 0.773),
+    "greek": (0.846, 0.757),
+    "hebrew": (0.806, 0.671),
+    "arabic": (0.876, 0.814),
+    "indic": (0.783, 0.527),
+    "thai": (0.963, 0.494),
+    "hangul": (0.733, 0.335),
+    "kana": (0.923, 0.718),
+    "han": (0.977, 0.494),
+}
+_SHARES = {"cyrillic": 0.15, "greek": 0.15, "hebrew": 0.25, "arabic": 0.25, "indic": 0.95, "thai": 0.95, "hangul": 0.9, "kana": 0.6, "han": 0.9}
+
+
+def _times(k: float, of: tuple[float, float]) -> tuple[float, float]:
+    return k * of[0], k * of[1]
+
+
+#: By language, else by script, else "other".  Latin script has the least limits of its languages; one short text is a rough measure, so other scripts have wide ones.
 BANDS = {
-    "latin": Band(),
-    "greek": Band(byte_share=0.15),
-    "cyrillic": Band(byte_share=0.15),
-    "arabic": Band(byte_share=0.25),
-    "hebrew": Band(byte_share=0.25),
-    "indic": Band(0.6, 2.5, 0.95),
-    "thai": Band(0.6, 2.5, 0.95),
-    "hangul": Band(0.6, 2.5, 0.9),
-    "kana": Band(0.6, 2.5, 0.6),
-    "han": Band(0.6, 2.5, 0.9),
-    "other": Band(0.0, 10.0, 1.0, 0.0),
+    **{k: Band(_times(0.82, v)) for k, v in PROSE.items()},
+    "latin": Band(_times(0.82, PROSE["es"])),
+    **{k: Band(_times(0.6, v), _times(2.5, v), _SHARES[k]) for k, v in ARTICLE.items()},
+    "other": Band((0.0, 0.0), (10.0, 10.0), 1.0, 0.0),
 }
-#: A language with fewer texts that pass the base rules is judged by its script's median, and that by nothing.
-MIN_TEXTS = 50
-BROADCAST_GROUPS = 100_000
 NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
 # Ranges of code points by script; kana comes before han, as Japanese has both.
 SCRIPTS = {
@@ -202,38 +213,24 @@ def measure(docs: DataFrame, piece_model: bytes, byte_ranks: bytes, pattern: str
     return spread(narrow).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, lang string, {COUNTS}")
 
 
-def _medians(measured: DataFrame, key: str) -> DataFrame:
-    """Median letters per token of both vocabularies for each language or script with enough texts; over all rows."""
-    per = [F.percentile_approx(F.col("n_letters") / F.col(n), 0.5, 1000).alias(f"{key}_{n}") for n in ("n_tokens", "n_level_tokens")]
-    got = measured.where(f"not base_failed and n_letters > 0 and {key} is not null").groupBy(F.col(key).alias(f"{key}_key")).agg(F.count("*").alias("n"), *per)
-    return got.where(F.col("n") >= MIN_TEXTS).drop("n")
-
-
 def rate(docs: DataFrame, piece_model: bytes, byte_ranks: bytes, pattern: str, bands: dict[str, Band] = BANDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """measure() with chars_per_token (letters), its median, and kept, for each row of docs.
+    """measure() with chars_per_token (letters) and kept, for each row of docs.
 
-    Bands follow the medians of all texts of the row's language, or of its
-    script where the language is null or rare; where both are rare only byte
-    share and entropy count.  Nulls and repeated rows stay as they are; a text
-    without words or tokens is not kept.
+    Bands are those of the row's language, of its script where the language is
+    null or has none, or of "other"; they are fixed, so no text's verdict hangs
+    on other rows.  Nulls and repeated rows stay as they are; a text without
+    words or tokens is not kept.
     """
-    found = cut(measure(docs, piece_model, byte_ranks, pattern, id_col, text_col, lang_col), "measures")
-    out = found
-    for key in ("lang", "script"):
-        side = _medians(found, key)
-        side = F.broadcast(side) if side.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else side
-        out = out.join(side, F.col(key) == F.col(f"{key}_key"), "left").drop(f"{key}_key")
+    out = measure(docs, piece_model, byte_ranks, pattern, id_col, text_col, lang_col)
     ok = F.lit(False)
     for name, band in bands.items():
-        here = F.col("band") == name
         inside = (F.col("byte_share") <= band.byte_share) & (F.col("entropy") >= band.entropy)
-        for n in ("n_tokens", "n_level_tokens"):
-            ratio = F.col("n_letters") / F.col(n) / F.coalesce(F.col(f"lang_{n}"), F.col(f"script_{n}"))
-            inside = inside & F.coalesce(ratio.between(band.low, band.high), F.lit(True))
-        ok = ok | (here & inside)
+        for n, low, high in zip(("n_tokens", "n_level_tokens"), band.low, band.high):
+            inside = inside & F.col("n_letters").between(low * F.col(n), high * F.col(n))
+        ok = ok | ((F.col("band") == name) & inside)
     known = list(bands)
     out = out.withColumn("band", F.when(F.col("lang").isin(known), F.col("lang")).when(F.col("script").isin(known), F.col("script")).otherwise("other"))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_tokens") > 0) & ok)
+    out = out.withColumn("kept", F.coalesce(~F.col("base_failed") & (F.col("n_tokens") > 0) & ok, F.lit(False)))
     names = [x.split()[0] for x in COUNTS.split(", ")]
     return out.select("doc_id", *names[:6], "kept", *names[6:], F.when(F.col("n_tokens") > 0, F.col("n_letters") / F.col("n_tokens")).otherwise(0.0).alias("chars_per_token"))
 

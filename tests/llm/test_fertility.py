@@ -73,3 +73,14 @@ def test_whole_small_table(spark):
     good = [rows[i].kept for i, q in labels.items() if q == 1 and not rows[i].base_failed]
     bad = [rows[i].kept for i, q in labels.items() if q == 0]
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.4
+
+
+def test_verdicts_do_not_hang_on_other_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    whole = {r.doc_id: r.kept for r in fertility.query(docs, TOKENIZERS).collect()}
+    few = fertility.query(docs.where("lang = 'es'").limit(30), TOKENIZERS).collect()
+    assert len(few) == 30 and all(r.kept == whole[r.doc_id] for r in few)
+    junk = " ".join(f"xq{a}zv{b}k{a}w" for a in "bcdfghj" for b in "klmnpqr")
+    greek = " ".join(f"{a}\u0384\u1f4d{b}\u1fb7\u1f77" for a in "\u03be\u03c8\u03b6\u03c7\u03c6" for b in "\u1f96\u1fa5\u1f87\u1fe2\u1f6f")
+    rows = [(1, junk, "zz"), (2, junk, None), (3, greek, "el")]
+    assert not any(r.kept for r in fertility.query(spark.createDataFrame(rows, "doc_id long, text string, lang string"), TOKENIZERS).collect())
