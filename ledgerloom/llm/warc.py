@@ -264,6 +264,12 @@ def unresolved(found: DataFrame) -> DataFrame:
     return found.where("record_type = 'revisit'").join(heads, ["refers_to", "payload_digest", "payload_bytes"], "left_anti")
 
 
+def training_rows(pages: DataFrame) -> list[bytes]:
+    """The starts of the pages that the dictionary is trained on: the first by a hash of page_id, over the whole table."""
+    rows = pages.where("html is not null").select(F.xxhash64("page_id").alias("at"), F.xxhash64("html").alias("tie"), F.encode(F.substring("html", 1, DICT_CUT), "utf-8").alias("start"))
+    return [bytes(r.start) for r in rows.orderBy("at", "tie").limit(DICT_ROWS).collect()]
+
+
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Writes an archive of pages to path (by default to the shared folder) and reads it again.
 
@@ -272,8 +278,7 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
-    rows = pages.where("html is not null").limit(DICT_ROWS).select(F.encode(F.substring("html", 1, DICT_CUT), "utf-8")).collect()
-    write(decide(pages), path, train_dictionary([bytes(r[0]) for r in rows]))
+    write(decide(pages), path, train_dictionary(training_rows(pages)))
     return read(spark, path)
 
 

@@ -4,6 +4,8 @@ import struct
 import pytest
 import zstandard
 
+from pyspark.sql import functions as F
+
 from ledgerloom.llm import warc
 
 
@@ -91,3 +93,12 @@ def test_whole_small_table(spark):
         head = want[r.payload_digest] if r.payload_bytes >= 1000 else r.page_id
         assert r.record_type == ("response" if head == r.page_id else "revisit")
         assert r.refers_to == (None if head == r.page_id else head)
+
+
+def test_training_rows_do_not_hang_on_the_order(spark, monkeypatch):
+    monkeypatch.setattr(warc, "DICT_ROWS", 20)
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>") for i in range(200)], "page_id long, url string, html string")
+    one, two = (warc.training_rows(pages.coalesce(1).orderBy(by)) for by in (F.asc("page_id"), F.desc("page_id")))
+    assert one == two and len(one) == 20
+    with_all = warc.training_rows(pages.where("page_id < 20"))
+    assert sorted(one) != sorted(with_all)
