@@ -267,7 +267,12 @@ def unresolved(found: DataFrame) -> DataFrame:
 def training_rows(pages: DataFrame) -> list[bytes]:
     """The starts of the pages that the dictionary is trained on: the first by a hash of page_id, over the whole table."""
     rows = pages.where("html is not null").select(F.xxhash64("page_id").alias("at"), F.xxhash64("html").alias("tie"), F.encode(F.substring("html", 1, DICT_CUT), "utf-8").alias("start"))
-    return [bytes(r.start) for r in rows.orderBy("at", "tie").limit(DICT_ROWS).collect()]
+    least = rows.select("at", "tie").distinct().orderBy("at", "tie").limit(DICT_ROWS).collect()  # hashes only, as every task sends as many
+    if not least:
+        return []
+    at, tie = least[-1]
+    found = rows.where((F.col("at") < at) | ((F.col("at") == at) & (F.col("tie") <= tie))).dropDuplicates(["at", "tie"])
+    return [bytes(r.start) for r in sorted(found.collect(), key=lambda r: (r.at, r.tie))]
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
