@@ -1,5 +1,5 @@
 import corpus_pipeline
-from ledgerloom.llm import pii, simhash, toxicity
+from ledgerloom.llm import pii, resemblance, toxicity
 
 
 def test_stages(spark):
@@ -16,7 +16,7 @@ def test_stages(spark):
     left = {r.doc_id for r in clean.collect()}
     assert sum(i in left for i, t in labels.items() if not t) >= 0.99 * sum(not t for t in labels.values())
     assert sum(i in left for i, t in labels.items() if t) <= 0.2 * sum(t for t in labels.values())
-    found = simhash.near_duplicates(clean).collect()
+    found = resemblance.near_duplicates(clean).collect()
     assert {r.doc_id for r in single.collect()} == {r.component_id for r in found}
     assert all(not any(pii.base_spans(r.text).values()) for r in redacted.collect())
     assert all(r.n_chars == len(r.text) for r in redacted.collect())

@@ -4,7 +4,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerloom.llm import simhash
+from ledgerloom.llm import simhash, simhash_index
 
 BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon " * 6
 DOCS = "doc_id long, text string, fp string, component_id int"
@@ -46,7 +46,7 @@ def test_fingerprint_equals_the_definition(text):
 
 @pytest.mark.parametrize("bits", [0, 1, 3, 4, 5])
 def test_links_connect_what_all_pairs_connect(spark, bits, monkeypatch):
-    monkeypatch.setattr(simhash, "SHIFTS", 4)
+    monkeypatch.setattr(simhash_index, "SHIFTS", 4)
     rng = np.random.default_rng(bits)
     centre = rng.integers(0, 2**63, 12, dtype=np.uint64)
     fps = [int(c) for c in centre]
@@ -58,7 +58,7 @@ def test_links_connect_what_all_pairs_connect(spark, bits, monkeypatch):
             fps.append(x)
     fps = sorted(set(fps))
     signed = np.array(fps, dtype=np.uint64).view(np.int64).tolist()
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), bits).collect()
+    edges = simhash_index.links(spark.createDataFrame([(x,) for x in signed], "fp long"), bits).collect()
     assert all(((a ^ b) & (2**64 - 1)).bit_count() <= bits for a, b in edges)
     at = {x: i for i, x in enumerate(signed)}
     up = list(range(len(fps)))
