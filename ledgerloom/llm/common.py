@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named."""
+    """The shared folder that the cluster names; where none is named a temporary one of a local session, elsewhere an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="loom-scratch-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -57,17 +58,24 @@ def drop_scratch(df: DataFrame) -> None:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """mapInArrow with a function that is built once for each task; bounded by one batch."""
+    """mapInArrow with a function that is built once for each task and sees a few rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None and out.num_rows:
+        for batch in sliced(batches):
+            if (out := f(batch)) is not None and out.num_rows:
                 yield out
 
     return spread(df).mapInArrow(run, schema)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts are Python objects at a time; empty ones are left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as there are cores, where a plain scan has fewer (a small table in one file).
 
@@ -86,9 +94,3 @@ def words(text: str | None) -> list[bytes]:
 
 def lowered_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
-
-
-def chunked(it, n: int):
-    it = iter(it)
-    while part := list(itertools.islice(it, n)):
-        yield part

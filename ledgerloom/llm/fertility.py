@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, spread
+from .common import SPACE, sliced, spread
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -195,7 +195,7 @@ def measure(docs: DataFrame, piece_model: bytes, byte_ranks: bytes, pattern: str
 
     def run(batches):
         tokens = _built(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 text = text or ""
