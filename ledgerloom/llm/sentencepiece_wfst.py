@@ -1,14 +1,23 @@
 """SentencePiece encoding and decoding as shortest paths of weighted transducers (operator 1).
 
-A model is compiled to three transducers: the normaliser N (character map,
-white space, dummy prefix), the pieces P (a trie whose arcs weigh minus the
-piece's score) and the byte fallback B (a character that no piece spells, as
-its bytes).  Encoding composes a text with N o (P + B)* and takes the shortest
-path of the tropical semiring.  For a BPE model the pieces weigh nothing and P
-is composed with a filter that lets one piece follow another only if merging
-their joint text gives back just these two; what passes is exactly the
-encoding that merging gives, and every prefix has one such path, so the search
-keeps one state for each position.
+A model is compiled to transducers.  N, the normaliser, is a trie of the
+character map's rules, taken by longest match, followed by the white space
+machine.  P, the pieces, is a trie whose states that end a piece have an arc
+back to the start that reads nothing, writes the piece's id and weighs minus
+its score.  B, the byte fallback, has an arc from the start for every character
+that is no piece; it writes the ids of its bytes.  F, a filter over pieces,
+says which piece may follow which: for a unigram model any (one state); for a
+BPE model, whose pieces weigh nothing, only one such that merging the joint
+text gives back just the two, so the state is the last piece.  What F lets
+through is exactly the encoding that merging gives.
+
+Encoding composes N(text) with (P + B)* o F, arc by arc as the search reaches
+them, and takes the shortest path of the tropical semiring.  All arcs lead
+forward in the text.  Without a filter the only states are positions, settled
+in their order.  With the BPE filter all paths weigh the same, so the first
+complete one is a shortest; arcs are tried longest first, and as the path to a
+position is that prefix's only one, a position from which none leads on is
+dead whatever came before.  Either way time grows with the text's length.
 
 No piece crosses certain cuts (before a space mark that follows other text,
 around characters that stand alone in the vocabulary), so paths are searched
@@ -17,6 +26,7 @@ between cuts and kept by their text; the sum over a text is the same path.
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
 from dataclasses import dataclass, field
@@ -26,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import sliced, spread
 
 MARK = "▁"
 # The kinds of pieces and models in a model file.
@@ -34,7 +44,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNK_PENALTY = 10.0
 #: Texts between cuts whose paths a task keeps; beyond it the memory is emptied.
-KEPT = 700_000
+KEPT = 400_000
+#: Pairs of pieces whose verdict a task keeps.
+KEPT_PAIRS = 1_000_000
 
 
 def _fields(data: bytes):
@@ -125,38 +137,61 @@ class Model:
         return m
 
 
+class Trie:
+    """A transducer over symbols: ``arcs[state]`` has the state that each symbol leads to, ``leave[state]`` what the arc back to the start writes."""
+
+    def __init__(self):
+        self.arcs: list[dict] = [{}]
+        self.leave: list = [None]
+
+    def add(self, symbols, output) -> None:
+        at = 0
+        for x in symbols:
+            to = self.arcs[at].get(x)
+            if to is None:
+                to = self.arcs[at][x] = len(self.arcs)
+                self.arcs.append({})
+                self.leave.append(None)
+            at = to
+        self.leave[at] = output
+
+
 class Transducer:
     """A compiled model: normalise, encode (to 32-bit ids) and decode."""
 
+    START, FALLBACK = -2, -1
+
     def __init__(self, model: Model, kept: int = KEPT):
         self.model, self.kept = model, kept
         if model.type not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are transducers of this kind")
+        self.bpe = model.type == BPE
         named = {p: i for i, p in enumerate(model.pieces)}
         self.unk = model.kinds.index(UNKNOWN)
-        self.arcs = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k == NORMAL and p}
+        self.ids = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k == NORMAL and p}
         self.named = named
-        self.user = [p for p, k in zip(model.pieces, model.kinds) if k == USER and p]
         self.bytes = [named.get(f"<0x{b:02X}>") for b in range(256)] if model.byte_fallback else None
-        self.longest = max(map(len, self.arcs), default=1)
-        self.lowest = min((model.scores[i] for i in self.arcs.values()), default=0.0) - UNK_PENALTY
-        self.bpe = model.type == BPE
+        self.rules, self.pieces = Trie(), Trie()
+        for source, target in model.rules.items():
+            self.rules.add(source, target)
+        for p, i in self.ids.items():
+            self.pieces.add(p, (i, 0.0 if self.bpe else -model.scores[i]))
+        lowest = min((model.scores[i] for i in self.ids.values()), default=0.0)
+        self.fallback = 1.0 if self.bpe else UNK_PENALTY - lowest
         self.out = [self._surface(i) for i in range(len(model.pieces))]
         self.is_byte = np.array([k == BYTE for k in model.kinds])
         self.pairs: dict[int, bool] = {}
-        #: For each piece the longest piece, or single character, that starts it and is shorter.
-        self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 1, -1) if p[:n] in self.arcs), p[:1]) for p in self.arcs if len(p) > 1}
         self.paths: dict[str, bytes] = {}
-        self._longest_rule = max(map(len, model.rules), default=0)
-        inner = {c for p in self.arcs if len(p) > 1 for c in p}
+        inner = {c for p in self.ids if len(p) > 1 for c in p}
         alone = "".join(c for c in "\n\t\r\x0b\x0c" if c not in inner)
-        crossing = any(MARK in p.lstrip(MARK) for p in self.arcs)
+        crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         alone = re.escape(alone)
         body = f"[^{MARK}{alone}]"
         #: What lies between cuts; None where pieces may cross them.
         self.between = None if crossing else re.compile(f"{MARK}+{body}*|{body}+" + (f"|[{alone}]" if alone else ""))
         #: Pieces that a user has fixed stand for themselves wherever they occur.
-        self.fixed = re.compile("(" + "|".join(re.escape(p) for p in sorted(self.user, key=len, reverse=True)) + ")") if self.user else None
+        user = sorted((p for p, k in zip(model.pieces, model.kinds) if k == USER and p), key=len, reverse=True)
+        self.fixed = re.compile("(" + "|".join(map(re.escape, user)) + ")") if user else None
 
     def _surface(self, i: int) -> bytes:
         m = self.model
@@ -166,114 +201,141 @@ class Transducer:
             return b""
         return " ⁇ ".encode() if m.kinds[i] == UNKNOWN else m.pieces[i].replace(MARK, " ").encode("utf-8", "surrogateescape")
 
-    # normaliser
+    # N
 
     def _map(self, text: str) -> str:
-        data, out, at, rules = text.encode("utf-8", "surrogatepass"), [], 0, self.model.rules
+        """The rules' trie: the longest rule that starts at a byte is written, else the character."""
+        data, out, at, arcs, leave = text.encode("utf-8", "surrogatepass"), [], 0, self.rules.arcs, self.rules.leave
         while at < len(data):
-            for n in range(min(self._longest_rule, len(data) - at), 0, -1):
-                if (to := rules.get(data[at : at + n])) is not None:
-                    out.append(to)
-                    at += n
-                    break
-            else:
-                n = 1 if data[at] < 128 else 2 if data[at] < 224 else 3 if data[at] < 240 else 4
-                out.append(data[at : at + n])
-                at += n
+            state, to, found, end = 0, at, None, at
+            while to < len(data) and (state := arcs[state].get(data[to])) is not None:
+                to += 1
+                if leave[state] is not None:
+                    found, end = leave[state], to
+            if found is None:
+                end = at + (1 if data[at] < 128 else 2 if data[at] < 224 else 3 if data[at] < 240 else 4)
+                found = data[at:end]
+            out.append(found)
+            at = end
         return b"".join(out).decode("utf-8", "replace")
 
     def normalise(self, text: str) -> str:
+        """The text that N writes.
+
+        The white space machine has three states: before any text, in text, and
+        after spaces that follow text.  It writes the dummy prefix when it
+        leaves the first, one mark for a run of spaces when it leaves the
+        third, and nothing for spaces at either end; without squeezing every
+        space writes a mark and only the first state differs.  Runs of text
+        write themselves, so they are copied whole.
+        """
         m = self.model
         if m.rules:
             text = self._map(text)
-        if m.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        text = " " + text if m.dummy_prefix else text
-        return text.replace(" ", MARK) if m.escape else text
+        mark = MARK if m.escape else " "
+        out = mark.join(x for x in text.split(" ") if x) if m.squeeze else text.replace(" ", mark)
+        return mark + out if out and m.dummy_prefix else out
 
-    # search
+    # F
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives, by the definition: the best pair first, the leftmost of equals."""
-        parts = list(text)
-        scores, arcs = self.model.scores, self.arcs
-        while len(parts) > 1:
-            best = None
-            for k in range(len(parts) - 1):
-                i = arcs.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or scores[i] > best[0]):
-                    best = (scores[i], k)
-            if best is None:
-                break
-            k = best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
-
-    def _bpe_path(self, text: str) -> list[int]:
-        """The one path that the filter lets through, found depth first with the longest arcs tried first.
-
-        What leads to a position is that prefix's only path, so a position from
-        which no arc leads on is dead whatever comes before it.
+        scores, ids, n = self.model.scores, self.ids, len(text)
+        size, left, heap = [1] * n, list(range(-1, n - 1)), []  # sizes by start, 0 where a part has been taken
+
+        def offer(a: int, b: int):
+            i = ids.get(text[a : b + size[b]])
+            if i is not None:
+                heapq.heappush(heap, (-scores[i], a, b, b + size[b]))
+
+        for a in range(n - 1):
+            offer(a, a + 1)
+        while heap:
+            _, a, b, end = heapq.heappop(heap)
+            if not size[a] or not size[b] or a + size[a] != b or b + size[b] != end:
+                continue  # one of the two has been merged since
+            size[a], size[b] = end - a, 0
+            if end < n:
+                left[end] = a
+                offer(a, end)
+            if left[a] >= 0:
+                offer(left[a], a)
+        return [text[a : a + size[a]] for a in range(n) if size[a]]
+
+    def follows(self, state: int, piece: int) -> bool:
+        """Whether F has an arc for the piece in a state, which for BPE is the last piece."""
+        if not self.bpe or state == self.FALLBACK or piece == self.FALLBACK:
+            return True
+        key = state << 32 | piece if state >= 0 else -piece
+        ok = self.pairs.get(key)
+        if ok is None:
+            text = self.model.pieces
+            both = [text[state], text[piece]] if state >= 0 else [text[piece]]
+            if len(self.pairs) >= KEPT_PAIRS:
+                self.pairs.clear()
+            ok = self.pairs[key] = self.merged("".join(both)) == both
+        return ok
+
+    # composition and search
+
+    def arcs_from(self, text: str, at: int) -> list[tuple[int, int, float]]:
+        """(end, piece, weight) of the arcs that (P + B)*, at its start, has for what the text reads from ``at``, shortest first."""
+        arcs, leave = self.pieces.arcs, self.pieces.leave
+        out, state, to, n = [], 0, at, len(text)
+        while to < n and (state := arcs[state].get(text[to])) is not None:
+            to += 1
+            if leave[state] is not None:
+                out.append((to, *leave[state]))
+        if not out or out[0][0] > at + 1:
+            out.insert(0, (at + 1, self.FALLBACK, self.fallback))
+        return out
+
+    def path(self, text: str) -> list[int]:
+        """What the shortest path writes for a text without cuts.
+
+        Where equal scores leave a BPE text without a path, merging itself tells.
         """
-        arcs, pairs, shorter, n = self.arcs, self.pairs, self.shorter, len(text)
-        path: list[tuple[str, int]] = []
-        dead: set[int] = set()
-        at, before, longest = 0, -2, self.longest
-        piece: str | None = None
-        fresh = True
-        while at < n:
-            if fresh:
-                size = min(longest, n - at)
-                while size > 1 and text[at : at + size] not in arcs:
-                    size -= 1
-                piece = text[at : at + size]
-            while piece:
-                i = arcs.get(piece, -1)
-                if at + len(piece) not in dead:
-                    if i < 0 or before == -1:
-                        break
-                    key = before << 32 | i if before >= 0 else i
-                    ok = pairs.get(key)
-                    if ok is None:
-                        left = [path[-1][0]] if before >= 0 else []
-                        ok = pairs[key] = self.merged("".join(left) + piece) == [*left, piece]
-                    if ok:
-                        break
-                piece = shorter.get(piece, "")
-            if piece:
-                path.append((piece, i))
-                at, before, fresh = at + len(piece), i, True
-                continue
-            dead.add(at)
-            if not path:  # equal scores can leave a text without such a path: then by the definition
-                path = [(p, arcs.get(p, -1)) for p in self.merged(text)]
-                break
-            piece, _ = path.pop()
-            at -= len(piece)
-            before, fresh = path[-1][1] if path else -2, False
-            piece = shorter.get(piece, "")
-        return [x for piece, i in path for x in self._ids(piece, i)]
-
-    def _unigram_path(self, text: str) -> list[int]:
-        arcs, scores, n = self.arcs, self.model.scores, len(text)
-        best = [0.0] + [float("inf")] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        for start in range(n):
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                i = arcs.get(text[start:end], -1)
-                if i < 0 and end > start + 1:
-                    continue
-                cost = best[start] - (scores[i] if i >= 0 else self.lowest)
-                if cost < best[end]:
-                    best[end], back[end] = cost, (start, i)
-        path, at = [], n
+        found = self._first(text) if self.bpe else self._shortest(text)
+        if found is None:
+            found = [(p, self.ids.get(p, self.FALLBACK)) for p in self.merged(text)]
+        return [x for p, i in found for x in self._ids(p, i)]
+
+    def _shortest(self, text: str) -> list[tuple[str, int]]:
+        n = len(text)
+        best, back = [0.0] + [float("inf")] * n, [(0, 0)] * (n + 1)
+        for at in range(n):
+            cost = best[at]
+            for end, piece, weight in self.arcs_from(text, at):
+                if cost + weight < best[end]:
+                    best[end], back[end] = cost + weight, (at, piece)
+        out, at = [], n
         while at:
-            start, i = back[at]
-            path.append((text[start:at], i))
+            start, piece = back[at]
+            out.append((text[start:at], piece))
             at = start
-        return [x for piece, i in reversed(path) for x in self._ids(piece, i)]
+        return out[::-1]
+
+    def _first(self, text: str) -> list[tuple[str, int]] | None:
+        n, follows, pairs, dead = len(text), self.follows, self.pairs, set()
+        at, state, left, stack = 0, self.START, self.arcs_from(text, 0), []
+        while at < n:
+            while left:
+                end, piece, _ = left.pop()
+                if end in dead:
+                    continue
+                ok = pairs.get(state << 32 | piece) if state >= 0 and piece >= 0 else None
+                if ok or (ok is None and follows(state, piece)):
+                    stack.append((at, state, left))
+                    at, state, left = end, piece, self.arcs_from(text, end) if end < n else []
+                    break
+            else:
+                dead.add(at)
+                if not stack:
+                    return None
+                at, state, left = stack.pop()
+        starts = [*(x[0] for x in stack), n]
+        pieces = [*(x[1] for x in stack[1:]), state]
+        return [(text[a:b], i) for a, b, i in zip(starts, starts[1:], pieces)]
 
     def _ids(self, piece: str, i: int):
         if i >= 0:
@@ -282,9 +344,6 @@ class Transducer:
             return [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
         return (self.unk,)
 
-    def path(self, text: str) -> list[int]:
-        return self._bpe_path(text) if self.bpe else self._unigram_path(text)
-
     def encode(self, text: str | None) -> np.ndarray:
         if not text or not (norm := self.normalise(text)):
             return np.zeros(0, np.int32)
@@ -318,7 +377,10 @@ class Transducer:
 
     def decode(self, ids) -> str:
         out = self.out
-        data = b"".join([out[i] for i in ids])
+        try:
+            data = b"".join([out[i] for i in ids])
+        except IndexError:
+            data = b"".join([out[i] if 0 <= i < len(out) else out[self.unk] for i in ids])
         if self.model.dummy_prefix and data[:1] == b" ":
             data = data[1:]
         return data.decode("utf-8", "replace")
@@ -351,27 +413,25 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         t = _built(shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found, same = [], []
-                for text in part.column(1).to_pylist():
-                    ids = t.encode(text)
-                    found.append(ids)
-                    same.append(t.decode(ids.tolist()) == t.canonical(text))
-                sizes = np.array([len(x) for x in found], np.int64)
-                flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-                marks = np.r_[0, np.cumsum(sizes)]
-                n_bytes = np.diff(np.r_[0, np.cumsum(t.is_byte[flat])][marks])
-                lists = pa.ListArray.from_arrays(pa.array(marks.astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(sizes), pa.array(n_bytes.astype(np.int64)), pa.array(same)], ["doc_id", "ids", "n_tokens", "n_byte_tokens", "round_trip"])
+        for part in sliced(batches, 256):
+            found, same = [], []
+            for text in part.column(1).to_pylist():
+                ids = t.encode(text)
+                found.append(ids)
+                same.append(t.decode(ids.tolist()) == t.canonical(text))
+            sizes = np.array([len(x) for x in found], np.int64)
+            flat = np.concatenate(found)
+            marks = np.r_[0, np.cumsum(sizes)]
+            n_bytes = np.diff(np.r_[0, np.cumsum(t.is_byte[flat])][marks])
+            lists = pa.ListArray.from_arrays(pa.array(marks.astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(sizes), pa.array(n_bytes.astype(np.int64)), pa.array(same)], ["doc_id", "ids", "n_tokens", "n_byte_tokens", "round_trip"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return spread(narrow).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>, n_tokens long, n_byte_tokens long, round_trip boolean")
 
 
 def decode(tokens: DataFrame, model: bytes, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """tokens with the text of its ids added; null ids give null, ids out of range fail the row's task."""
+    """tokens with the text of its ids added; null ids give null, ids out of range are unknown pieces."""
     shared = tokens.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")

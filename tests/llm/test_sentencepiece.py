@@ -56,8 +56,8 @@ def test_unigram_path_is_the_best_of_all():
                     if i == len(norm) or cuts >> (i - 1) & 1:
                         parts.append(norm[at:i])
                         at = i
-                if all(p in t.arcs for p in parts):
-                    best = min(best, -sum(m.scores[t.arcs[p]] for p in parts))
+                if all(p in t.ids for p in parts):
+                    best = min(best, -sum(m.scores[t.ids[p]] for p in parts))
             if norm:
                 assert -sum(m.scores[i] for i in t.encode(text).tolist()) == pytest.approx(best)
                 assert t.decode(t.encode(text).tolist()) == t.canonical(text)
@@ -90,3 +90,17 @@ def test_rows(spark):
     back = {r.doc_id: r.decoded for r in W.decode(out, model).collect()}
     assert back[4] == "ß中" and back[3] == "word " * 50000 and back[1] == ""
     assert W.encode(df.where("false"), model).count() == 0
+
+
+def test_long_texts_without_cuts_and_ids_out_of_range(pair):
+    t, sp = pair
+    for text in ("ab" * 100_000, "9" * 100_000, "中" * 50_000):
+        assert t.encode(text).tolist() == sp.encode(text)
+    assert t.decode([10**6, -5]) == t.decode([t.unk, t.unk])
+    assert t.merged("▁hello") == sp.encode("hello", out_type=str) and "".join(t.merged("zq" * 5000)) == "zq" * 5000
+
+
+def test_character_map_takes_the_longest_rule():
+    m = W.Model(["<unk>", "▁", "x"], [0.0, -1.0, -1.0], [W.UNKNOWN, W.NORMAL, W.NORMAL], rules={b"a": b"x", b"ab": b"xx", "é".encode(): b""})
+    t = W.Transducer(m)
+    assert t.normalise(" ab  aé c ") == "▁xx▁x▁c"
