@@ -29,17 +29,26 @@ def with_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
     return df.withColumn("host", F.translate(host, UPPER, LOWER)).withColumn("path", path)
 
 
+def _count(column: str, mark: str):
+    return F.length(column) - F.length(F.translate(column, mark, ""))
+
+
 def _digest(host, start):
     return F.sha2(F.concat(host, F.lit("\n"), start), 256)
 
 
-def expressions(urls: DataFrame) -> DataFrame:
-    """urls(host, path) with a row for each pair of a host suffix (whole labels) and a path start (up to a slash, or empty)."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
-    steps = F.split("path", "/")
-    starts = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.when(i > 1, F.concat(F.array_join(F.slice(steps, 1, i - 1), "/"), F.lit("/"))).otherwise(""))
-    out = urls.withColumn("suffix", F.explode(F.array_distinct(suffixes))).withColumn("start", F.explode(starts))
+def expressions(urls: DataFrame, labels: int, steps: int) -> DataFrame:
+    """urls(host, path) with a row for each pair of a host suffix (whole labels) and a path start (up to a slash, or empty).
+
+    No suffix has more than ``labels`` labels and no start more than ``steps``
+    slashes, which are the most that a rule has, so a long url has no more
+    pairs than a rule can fit.
+    """
+    suffixes = F.transform(F.sequence(F.lit(1), F.lit(max(labels, 1))), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.when(i > 0, F.call_function("substring_index", F.col("path"), F.lit("/"), i)).otherwise(""))
+    whole = F.filter(starts, lambda x: (x == "") | (x != F.col("path")))
+    whole = F.transform(whole, lambda x, i: F.when(i > 0, F.concat(x, F.lit("/"))).otherwise(x))
+    out = urls.withColumn("suffix", F.explode(F.array_distinct(suffixes))).withColumn("start", F.explode(F.array_distinct(whole)))
     digest = _digest(F.col("suffix"), F.col("start"))
     return out.withColumn("digest", digest).withColumn("short", F.substring("digest", 1, PREFIX))
 
@@ -59,12 +68,15 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     the rule's; the longest host and path win, then the longer host, then block.
     Distinct hosts and paths are expanded, so copies of an url cost nothing
     more.  A null url has neither host nor path and gets the default, as does an
-    empty rule table; repeated rows and null ids stay as they are.
+    empty rule table; repeated rows and null ids stay as they are, other columns
+    are not looked at, and an url of any length costs as much as the deepest
+    rule lets it.
     """
     rows = with_parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))).drop("url")
     keyed = keyed_rules(rules)
-    keyed = F.broadcast(keyed) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else keyed
-    hit = expressions(rows.select("host", "path").distinct()).join(keyed, "short")
+    n, labels, steps = keyed.agg(F.count("*"), F.max(_count("rule_host", ".") + 1), F.max(_count("rule_path", "/"))).first()
+    keyed = F.broadcast(keyed) if n <= BROADCAST_RULES else keyed
+    hit = expressions(rows.select("host", "path").distinct(), labels or 0, steps or 0).join(keyed, "short")
     hit = hit.where((F.col("digest") == F.col("rule_digest")) & (F.col("suffix") == F.col("rule_host")) & F.col("path").startswith(F.col("rule_path")))
     order = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), "rule_verdict")
     best = hit.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict"), order).alias("best"))

@@ -45,3 +45,10 @@ def test_sql(spark):
     assert sorted(map(tuple, out.select("page_id", "host", "path", "rule", "verdict").collect())) == want
     assert len({w[3] for w in want}) > 2
     assert "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_long_urls(spark):
+    urls = ["http://x.net" + "/" * 1_000_000, "http://" + "a." * 300_000 + "net/", "http://b.org/fr/" + "p/" * 300_000, "x" * 1_000_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.query(df).collect()}
+    assert got == {i: plain(u) for i, u in enumerate(urls)}
