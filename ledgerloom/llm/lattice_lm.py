@@ -1,9 +1,10 @@
 """Document probability over all subword segmentations (operator 6).
 
-A public vocabulary's pieces get unigram probabilities from the training
-documents; a word's probability is the sum over all its segmentations, by a
-forward recursion in log space, and a text's the product over its words and
-its end.  Every distinct word is scored once.
+A public vocabulary's pieces and the end of a text share one unigram
+distribution, from the training documents.  A word's probability is the sum
+over all its segmentations, by a forward recursion in log space, and a text's
+the product over its words and its end, so all texts together have at most 1.
+Every distinct word is scored once.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lowered_words, spread
+from .common import cut, lowered_words, sliced, spread
 
 MARK = "▁"
+#: Stands for a mark inside a word, which is spelled by its bytes, so that no two words are spelled alike; no text has it.
+INNER = "\ud800"
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 300_000
 #: Words with a share of the training tokens of at least one in HEAD are broadcast: there are at most HEAD.
@@ -51,7 +54,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
             counts.clear()
             return out
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if held:
                     for w in set(lowered_words(text)):
@@ -90,12 +93,12 @@ def piece_counts(words: DataFrame, model: bytes) -> DataFrame:
 class Lattice:
     """Log probabilities of words over all segmentations into pieces; characters that no piece spells are their bytes."""
 
-    def __init__(self, pieces: dict[str, float], bytes_: list[float]):
-        self.pieces, self.bytes = pieces, bytes_
+    def __init__(self, pieces: dict[str, float], bytes_: list[float], end: float = 0.0):
+        self.pieces, self.bytes, self.end = pieces, bytes_, end
         self.longest = max(map(len, pieces), default=1)
 
     def word(self, word: str) -> float:
-        text, pieces, longest = MARK + word.replace(MARK, " ").replace(" ", MARK), self.pieces, self.longest
+        text, pieces, longest = MARK + word.replace(MARK, INNER), self.pieces, self.longest
         n, exp, log = len(text), math.exp, math.log
         a = [-math.inf] * (n + 1)
         a[0] = 0.0
@@ -106,21 +109,22 @@ class Lattice:
                 if p is not None:
                     terms.append(a[start] + p)
             if text[end - 1] not in pieces:
-                terms.append(a[end - 1] + sum(self.bytes[b] for b in text[end - 1].encode("utf-8", "surrogatepass")))
+                c = MARK if text[end - 1] == INNER else text[end - 1]
+                terms.append(a[end - 1] + sum(self.bytes[b] for b in c.encode("utf-8", "surrogatepass")))
             top = max(terms)
             a[end] = top if len(terms) == 1 else top + log(sum([exp(t - top) for t in terms]))
         return a[n]
 
     @classmethod
-    def from_counts(cls, model: bytes, counts: dict[int, int]) -> Lattice:
-        """Unigram probabilities of the model's pieces from their counts in training."""
+    def from_counts(cls, model: bytes, counts: dict[int, int], ends: int) -> Lattice:
+        """Unigram probabilities of the model's pieces and of the end of a text, from their counts in training."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        total = math.log(sum(counts.values()) + SMOOTH * sp.get_piece_size())
+        total = math.log(sum(counts.values()) + ends + SMOOTH * (sp.get_piece_size() + 1))
         log_p = [math.log(counts.get(i, 0) + SMOOTH) - total for i in range(sp.get_piece_size())]
         pieces = {sp.id_to_piece(i): log_p[i] for i in range(len(log_p)) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
-        return cls(pieces, [log_p[sp.piece_to_id(f"<0x{b:02X}>")] for b in range(256)])
+        return cls(pieces, [log_p[sp.piece_to_id(f"<0x{b:02X}>")] for b in range(256)], math.log(ends + SMOOTH) - total)
 
 
 def word_scores(words: DataFrame, lattice: Lattice) -> DataFrame:
@@ -143,7 +147,7 @@ def _split(rows: DataFrame, id_type: str, head: dict[bytes, int], c: np.ndarray,
     def run(batches):
         index, log_c, known, lp = shared.value
         uid = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in sliced(batches):
             uids, tokens, base, n_known, score, tails = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 ws = lowered_words(text)
@@ -173,7 +177,8 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     A null text is empty: its only token is its end.  Nulls and repeated rows
-    stay as they are.  Frequent words, a number with a proven bound, are looked
+    stay as they are, an empty table gives none, other columns are not looked
+    at, and a very long text costs what its words cost.  Frequent words, a number with a proven bound, are looked
     up; all others are joined, so no word gathers many rows.
     """
     rows = _narrow(docs, id_col, text_col)
@@ -181,7 +186,8 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     n_docs = rows.where("not held_out").count()
     n_words, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     counts = {r.piece: r.n for r in piece_counts(words, model).collect()}  # one row for each piece at most
-    scored = cut(word_scores(words, Lattice.from_counts(model, counts)), "word-scores")
+    lattice = Lattice.from_counts(model, counts, n_docs)
+    scored = cut(word_scores(words, lattice), "word-scores")
     train_tokens, vocabulary = n_words + n_docs, distinct + bool(n_docs)
 
     least = max(1, -(-n_words // HEAD))
@@ -193,7 +199,7 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     n, c = F.col("n"), F.col("c")
     tails = tails.groupBy("uid").agg(F.sum(n * F.log10(c + 0.5)).alias("t_base"), F.sum(F.when(c > 0, n).otherwise(0)).alias("t_known"), F.sum(n * F.col("lp")).alias("t_score"))
     total = math.log10(train_tokens + 0.5 * (vocabulary + 1))
-    end_base, end_score = math.log10(n_docs + 0.5), math.log10((n_docs + SMOOTH) / (train_tokens + SMOOTH))
+    end_base, end_score = math.log10(n_docs + 0.5), lattice.end / math.log(10)
     out = mixed.where("word is null").join(tails, "uid", "left")
 
     def both(a, b):

@@ -1,3 +1,4 @@
+import itertools
 import math
 import re
 import zlib
@@ -44,7 +45,7 @@ def all_ways(text, pieces, bytes_):
 def test_forward_recursion_sums_all_segmentations():
     pieces = {p: -0.3 * i - 1 for i, p in enumerate(["▁", "a", "b", "ab", "▁a", "bab", "aba", "▁ab"])}
     lattice = lattice_lm.Lattice(pieces, [-5.0 - b / 100 for b in range(256)])
-    for word in ["a", "abab", "é", "aébab", "▁", "abababab"]:
+    for word in ["a", "abab", "é", "aébab", "abababab"]:
         assert lattice.word(word) == pytest.approx(math.log(all_ways("▁" + word, pieces, lattice.bytes)))
     assert math.isfinite(lattice.word("ab" * 20_000))
 
@@ -71,7 +72,30 @@ def test_whole_small_table(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, n, k, t)
         assert r.base_score == pytest.approx(b, rel=1e-9)
     texts = dict(rows)
-    flat = lattice_lm.Lattice.from_counts(MODEL, {})  # untrained: all pieces alike
+    flat = lattice_lm.Lattice.from_counts(MODEL, {}, 0)  # untrained: all pieces alike
     for r in got.values():
         if r.held_out and r.n_tokens > 50:
             assert r.score > sum(flat.word(w) for w in tokens(texts[r.doc_id])) / math.log(10)
+
+
+def test_texts_have_at_most_one_together():
+    """All texts of up to three words over two letters, beside all else that the pieces spell."""
+    names = ["▁", "a", "▁a", "b", "ab"]
+    p = math.log(1 / (len(names) + 257))
+    lattice = lattice_lm.Lattice(dict.fromkeys(names, p), [p] * 256, p)
+    words = ["".join(w) for n in range(1, 7) for w in itertools.product("ab", repeat=n)]
+    one = sum(math.exp(lattice.word(w)) for w in words)
+    assert math.exp(lattice.end) * sum(one**k for k in range(4)) < 1
+    # with no bytes and every piece a word's start, the words of all lengths and the end make up the whole
+    lattice = lattice_lm.Lattice({"▁a": math.log(0.5), "▁b": math.log(0.25)}, [-math.inf] * 256, math.log(0.25))
+    assert math.exp(lattice.end) / (1 - sum(math.exp(lattice.word(w)) for w in "ab")) == pytest.approx(1)
+
+
+def test_a_mark_inside_a_word_is_spelled_by_bytes():
+    lattice = lattice_lm.Lattice({"▁": -1.0, "a": -1.0, "▁a": -1.0}, [-2.0] * 256, -1.0)
+    assert lattice.word("a▁a") == pytest.approx(lattice.word("a") - 6 - 1)
+
+
+def test_trained_pieces_and_the_end_share_one_distribution():
+    lattice = lattice_lm.Lattice.from_counts(MODEL, {300: 50, 400: 7}, 12)
+    assert sum(map(math.exp, [*lattice.pieces.values(), *lattice.bytes, lattice.end])) < 1
