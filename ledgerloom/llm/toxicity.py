@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, spread
+from .common import cut, map_batches, sliced, spread
 
 #: The classifier is fitted on so many labelled documents of each class at most; everything else sees all rows.
 FIT_ROWS = 2000
@@ -24,7 +24,7 @@ MIN_SHARE = 0.02
 STEMS = (4, 5)
 GRADES = 3
 #: Distinct tokens whose weight a task keeps.
-KEPT = 500_000
+KEPT = 200_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -86,15 +86,16 @@ def fit_cumulative(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, y: np.ndar
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """Texts of at most ``rows`` labelled documents of each class, by the hash of their id."""
+    """At most ``rows`` texts of labelled documents of each class, by the hash of their id; of rows that share an id one text, by its hash."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = [marks.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for c in ("toxic > 0", "toxic <= 0")]
     chosen = F.broadcast(ids[0].unionByName(ids[1]))  # 2 * rows at most
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """A model from documents (doc_id, text) and labels (doc_id, toxic).
+    """A model from documents (doc_id, text) and labels (doc_id, toxic), of 2 * rows texts at most.
 
     Labels tell toxic from clean only, so the grades above clean are the thirds
     of the toxic sample by the share of words that the labels single out.  With
@@ -217,9 +218,8 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", reject_at:
 
     def run(batches):
         scorer = _scorer(shared.value)
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(scorer(batch.column(at).to_pylist())[:, 0] > 1 - reject_at))
+        for batch in sliced(batches):
+            yield batch.filter(pa.array(scorer(batch.column(at).to_pylist())[:, 0] > 1 - reject_at))
 
     return spread(docs).mapInArrow(run, docs.schema)
 

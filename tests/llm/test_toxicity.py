@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -48,3 +50,24 @@ def test_held_out_accuracy(spark):
     clean = [g.expected_severity for t, g in rows if not t]
     assert np.mean(toxic) > 1 > np.mean(clean) + 0.7
     assert len({g.grade for t, g in rows if t}) >= 3
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(600)] + [(None, "x"), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (2, 0), (5, 0)], "doc_id long, toxic int")
+    rows = toxicity._sample(docs, labels, 10).collect()
+    assert sorted((r.doc_id, r.toxic) for r in rows) == [(0, 1), (1, 0), (2, 0), (5, 0)]
+    assert toxicity._sample(docs, labels, 1).count() == 2
+    assert toxicity.query(docs, labels).count() == 602
+
+
+def test_scores_equal_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    for r in docs.join(toxicity.score(docs, model), "doc_id").collect():
+        tokens = r.text.split()
+        s = sum(model.weights.get(x, 0.0) for t in tokens for x in toxicity.features(t)) * 10 / max(1, len(tokens)) ** 0.5
+        below = [1 / (1 + math.exp(s - c)) for c in model.cuts]
+        p = [b - a for a, b in zip([0.0, *below], [*below, 1.0])]
+        assert r.grade == p.index(max(p)) and r.expected_severity == pytest.approx(sum(k * x for k, x in enumerate(p)))
+        assert r.rejected == (1 - p[0] >= 0.5)
