@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, spread
+from .common import map_batches, sliced, spread
 
 KINDS = ("email", "ip", "card", "phone")
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match can only start where a run of digits does, which the look behind says, so that long runs are read once.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -83,10 +84,13 @@ def _any(words) -> str:
 _BRACKET_AT = re.compile(rf"[ ]?{_OPEN}[ ]?(?:@|{_any(AT)})[ ]?{_SHUT}[ ]?", re.I)
 _BRACKET_DOT = re.compile(rf"[ ]?{_OPEN}[ ]?(?:\.|{_any(DOT)})[ ]?{_SHUT}[ ]?", re.I)
 _BARE_TAIL = rf"( ?@ ?| {_any(AT)} )[A-Za-z0-9-]+(?:(?: {_any(DOT)} |\.)[A-Za-z0-9-]+)*(?: {_any(DOT)} |\.){_any(TLD)}(?![A-Za-z0-9-])"
-_BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: {_any(DOT)} [A-Za-z0-9_%+-]+)*{_BARE_TAIL}", re.I)
+_BARE_AT = re.compile(rf" ?@ ?| (?={_any(AT)} )", re.I)
+_BARE_REST = re.compile(_BARE_TAIL, re.I)
 _BARE_DOT = re.compile(rf" {_any(DOT)} ", re.I)
+_BARE_BEFORE = re.compile(rf" {_any(DOT)} $", re.I)
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: At least three spelled digits in a row, or among digits.
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:{_WORD}|[0-9]+)[ -]){{2,}}(?:{_WORD}|[0-9]+)(?!\w)", re.I)
+_SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:{_WORD}|[0-9]++)[ -]){{2,}}(?:{_WORD}|[0-9]++)(?!\w)", re.I)
 _SPELLED_ONE = re.compile(rf"({_WORD})(?:[ -](?=(?:{_WORD}|[0-9])))?|([0-9]+)[ -](?={_WORD})", re.I)
 #: What a text must have for a rule to fit: cheaper to look for, and never missing where the rule fits.
 _HINT_BRACKET = re.compile(_OPEN)
@@ -161,6 +165,27 @@ class Mapped:
         return (a + s - self.starts[i] if same_a else a), (c + e - self.starts[j] if same_d else d)
 
 
+def _bare(text: str):
+    """(start, match of the at sign and what follows) of addresses in bare words; tried at each at only, so long texts are read once."""
+    end = 0
+    for at in _BARE_AT.finditer(text):
+        rest = _BARE_REST.match(text, at.start()) if at.start() >= end else None
+        if rest is None:
+            continue
+        start = at.start()
+        while True:
+            to = start
+            while start > end and text[start - 1] in _NAME:
+                start -= 1
+            dot = _BARE_BEFORE.search(text, max(end, start - 8), start) if start < to and "." not in text[start:to] else None
+            if dot is None or dot.start() <= end or text[dot.start() - 1] not in _NAME:
+                break
+            start = dot.start()
+        if start < at.start():
+            yield start, rest
+            end = rest.end()
+
+
 def normalise(text: str) -> Mapped:
     """Composes the transducers: lookalikes, then at and dot disguises, then spelled digits."""
     m = Mapped(text)
@@ -171,10 +196,10 @@ def normalise(text: str) -> Mapped:
         m = m.rewrite([(x.start(), x.end(), ".") for x in _BRACKET_DOT.finditer(m.text)])
     if _HINT_BARE.search(m.text):
         edits = []
-        for x in _BARE.finditer(m.text):
-            if "@" not in x[1] or _BARE_DOT.search(x[0]):
-                dots = [(x.start() + d.start(), x.start() + d.end(), ".") for d in _BARE_DOT.finditer(x[0])]
-                edits += sorted([*dots, (*x.span(1), "@")])
+        for start, rest in _bare(m.text):
+            dots = [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(m.text, start, rest.end())]
+            if "@" not in rest[1] or dots:
+                edits += sorted([*dots, (*rest.span(1), "@")])
         m = m.rewrite(edits)
     if _HINT_DIGIT.search(m.text) or _HINT_LAST_DIGIT.search(m.text):
         edits = []
@@ -223,7 +248,9 @@ def redact(text: str | None, every: dict | None = None) -> str | None:
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, every): two strings kind:start:end,... for each row, in code points with the end exclusive.
 
-    A null text counts as empty; repeated rows and null ids stay as they are.
+    A null text counts as empty; repeated rows and null ids stay as they are,
+    an empty table gives no rows, other columns are not looked at, and time
+    grows with a text's length, not faster.
     """
 
     def make():
@@ -247,7 +274,7 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         return f
 
-    return spread(docs).mapInArrow(lambda batches, make=make: (f(b) for f in [make()] for b in batches if b.num_rows), docs.schema)
+    return spread(docs).mapInArrow(lambda batches, make=make: (f(b) for f in [make()] for b in sliced(batches)), docs.schema)
 
 
 def length(docs: DataFrame, text_col: str = "text"):

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -115,3 +116,18 @@ def test_hints_change_no_span(text):
             m.setattr(pii, hint, re.compile(""))
         want = pii.spans(text)
     assert pii.spans(text) == want
+
+
+@given(st.lists(st.sampled_from(["a", "b.c", " at ", " dot ", "dot", " @ ", "@", " ", ".", "com", "de", "x-y", " punkt ", "1", " arroba ", "%"]), max_size=24).map("".join))
+@settings(max_examples=3000, deadline=None)
+def test_bare_addresses_equal_one_pattern(text):
+    pattern = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: {pii._any(pii.DOT)} [A-Za-z0-9_%+-]+)*{pii._BARE_TAIL}", re.I)
+    assert [(s, m.end()) for s, m in pii._bare(text)] == [m.span() for m in pattern.finditer(text)]
+
+
+@pytest.mark.parametrize("part", ["9", "9.", "a dot ", "a at ", "a at b dot ", "@", "a@", "+1 ", "1 ", "one ", "one-", "(", "[at] ", "4111 "])
+def test_long_texts_are_read_once(part):
+    text = part * (1_000_000 // len(part))
+    start = time.time()
+    base, every = pii.spans(text + "jane at example dot com")
+    assert base["email"] == [] and time.time() - start < 30
