@@ -63,4 +63,4 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL: dict[str, str] = {"op3_url_filters": url_filter.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL, "op3_url_filters": url_filter.ORACLE_SQL}

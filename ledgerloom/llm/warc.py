@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -27,6 +28,11 @@ SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 DICTIONARY = 0x184D2A5D
 EMPTY_FRAME = struct.pack("<II", 0x184D2A50, 0).decode()
 VERSION = b"WARC/1.1"
+VERSIONS = (b"WARC/1.0", b"WARC/1.1")
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+DIGESTS = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "md5": hashlib.md5}
+#: Headers that a record may have more than once.
+REPEATED = ("warc-concurrent-to",)
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 
@@ -56,7 +62,7 @@ def dictionary_frame(data: bytes) -> bytes:
 
 def record(page_id: int | None, url: str | None, payload: bytes, kind: str, digest: str, refers_to: int | None, full: int) -> bytes:
     """A record's bytes.  A revisit has no block; its digest and X-Payload-Length speak of the full payload."""
-    block = payload if kind == "response" else b""
+    block = HTTP_HEAD + payload if kind == "response" else b""
     sha = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
     head = [
         ("WARC-Type", kind),
@@ -78,9 +84,58 @@ def _name(page_id: int | None) -> str:
     return "<urn:page:none>" if page_id is None else f"<urn:page:{page_id}>"
 
 
-def _page(name: str) -> int | None:
-    tail = name.removeprefix("<urn:page:").removesuffix(">")
-    return None if tail == "none" else int(tail)
+def _page(name: str | None) -> int | None:
+    """The page that a record of this module's archives is named after; null for any other name."""
+    found = re.fullmatch(r"<urn:page:(-?[0-9]+)>", name or "")
+    return int(found[1]) if found else None
+
+
+def _hex(digest: str | None) -> tuple[str | None, str | None]:
+    """Algorithm and hex digits of a labelled digest in base 32 or 16; nulls where it can't be read."""
+    kind, colon, value = (digest or "").partition(":")
+    kind = kind.lower().replace("-", "")
+    if not colon or kind not in DIGESTS:
+        return None, None
+    size = DIGESTS[kind]().digest_size
+    try:
+        raw = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError:
+        return None, None
+    return (kind, raw.hex()) if len(raw) == size else (None, None)
+
+
+def _unchunked(body: bytes) -> bytes:
+    """A body in chunks put together; as it is where it has none."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            n = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            return body
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+    return body
+
+
+def payload(headers: dict[str, str], block: bytes) -> bytes:
+    """What a record is about: an HTTP message's body, else the block.
+
+    Raises ArchiveError if neither the body nor its chunks put together has
+    the digest that the record gives.
+    """
+    http = headers.get("content-type", "").lower().startswith("application/http")
+    end = block.find(b"\r\n\r\n") if http else -4
+    head, body = block[: max(end, 0)], block[end + 4 :] if end >= 0 or not http else b""
+    kind, want = _hex(headers.get("warc-payload-digest"))
+    chunked = re.search(rb"(?im)^transfer-encoding:[^\r\n]*chunked", head)
+    if headers["warc-type"] == "revisit" or kind is None:
+        return _unchunked(body) if chunked else body
+    for found in (body, _unchunked(body)) if chunked else (body,):
+        if DIGESTS[kind](found).hexdigest() == want:
+            return _unchunked(body) if chunked else body
+    raise ArchiveError("the payload doesn't have its digest")
 
 
 def frame_size(data: memoryview, at: int) -> int:
@@ -110,34 +165,39 @@ def frame_size(data: memoryview, at: int) -> int:
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of one record, which must fill ``raw``."""
-    end = raw.find(b"\r\n\r\n")
-    if end < 0 or not raw.startswith(VERSION + b"\r\n"):
+    """Headers (by lower-case name) and block of one record of version 1.0 or 1.1, which must fill ``raw``."""
+    end, first = raw.find(b"\r\n\r\n"), raw[:10].partition(b"\r\n")
+    if end < 0 or first[0] not in VERSIONS or not first[1]:
         raise ArchiveError("no WARC record")
     headers: dict[str, str] = {}
-    for line in raw[len(VERSION) + 2 : end].decode("utf-8").split("\r\n"):
-        key, colon, value = line.partition(":")
-        if not colon or not key.strip():
+    key = ""
+    for line in raw[10:end].decode("utf-8", "replace").split("\r\n"):
+        if line[:1] in (" ", "\t") and key:  # goes on
+            headers[key] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        key = name.strip().lower()
+        if not colon or not key:
             raise ArchiveError(f"bad header line {line[:40]!r}")
-        if key in headers:
+        if key in headers and key not in REPEATED:
             raise ArchiveError(f"header {key} occurs twice")
-        headers[key] = value.strip()
-    if missing := [k for k in REQUIRED if k not in headers]:
+        headers[key] = f"{headers[key]}, {value.strip()}" if key in headers else value.strip()
+    if missing := [k for k in REQUIRED if k.lower() not in headers]:
         raise ArchiveError(f"no header {missing[0]}")
-    if not headers["Content-Length"].isdigit():
+    if not re.fullmatch("[0-9]+", headers["content-length"]):
         raise ArchiveError("bad Content-Length")
     block = raw[end + 4 : -4]
-    if raw[-4:] != b"\r\n\r\n" or len(raw) - end - 8 != int(headers["Content-Length"]):
+    if raw[-4:] != b"\r\n\r\n" or len(raw) - end - 8 != int(headers["content-length"]):
         raise ArchiveError("Content-Length is not the block's")
     return headers, block
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of an archive, each from a frame of its own.
+    """Headers and payload of the records of an archive, each from a frame of its own.
 
     Raises ArchiveError for a bad frame, a dictionary that isn't first, a frame
     with another number of records than one, bad headers or lengths, and a
-    response whose payload doesn't have its digest.
+    payload that doesn't have its digest.
     """
     view, at, first = memoryview(data), 0, True
     reader = zstandard.ZstdDecompressor()
@@ -158,11 +218,7 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             except zstandard.ZstdError as e:
                 raise ArchiveError(f"frame at {at}: {e}") from e
             headers, block = parse(raw)
-            if headers["WARC-Type"] == "response":
-                sha = "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
-                if headers.get("WARC-Payload-Digest", sha) != sha:
-                    raise ArchiveError("the payload doesn't have its digest")
-            yield headers, block
+            yield headers, payload(headers, block)
         at += size
         first = False
 
@@ -218,44 +274,60 @@ def write(decided: DataFrame, path: str, dictionary: bytes) -> None:
     rows.mapInArrow(run, "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", EMPTY_FRAME).text(path)
 
 
+SCHEMA = "record_id string, page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, refers_to_id string"
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the archives below path: headers, payload and what they say."""
+    """One row for each record of the archives below path, of any type and maker: headers, payload and what they say.
+
+    page_id and refers_to are those of archives that write() made, else null;
+    record_id and refers_to_id are the names as they stand.  payload_digest is
+    bare lower-case hex, of the header where there is one that can be read, else
+    the SHA-1 of the payload.  A revisit's payload_bytes are null if it doesn't
+    say them; with_lengths() looks them up.  A task holds one archive, which
+    Spark can read up to 2 GB.
+    """
 
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
-                for at in _groups(records(data.as_py()), 256):
+                for at in _groups(records(data.as_py())):
                     yield _rows(at)
 
-    schema = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
 
 
-def _groups(found, n):
-    group = []
+def _groups(found, rows: int = 256, size: int = 1 << 24):
+    group, held = [], 0
     for x in found:
         group.append(x)
-        if len(group) == n:
+        held += len(x[1])
+        if len(group) == rows or held >= size:
             yield group
-            group = []
+            group, held = [], 0
     if group:
         yield group
 
 
 def _rows(found) -> pa.RecordBatch:
-    pages, urls, kinds, blocks, sizes, digests, refers = [], [], [], [], [], [], []
-    for h, block in found:
-        kind = h["WARC-Type"]
-        pages.append(_page(h["WARC-Record-ID"]))
-        urls.append(h.get("WARC-Target-URI") or None)
-        kinds.append(kind)
-        blocks.append(block)
-        sizes.append(len(block) if kind == "response" else int(h["X-Payload-Length"]))
-        digests.append(base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex())
-        refers.append(_page(h["WARC-Refers-To"]) if kind == "revisit" else None)
-    types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
-    names = ["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"]
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((pages, urls, kinds, blocks, sizes, digests, refers), types)], names)
+    rows = []
+    for h, body in found:
+        kind = h["warc-type"]
+        revisit = kind == "revisit"
+        told = h.get("x-payload-length", "")
+        size = (int(told) if told.isdigit() else None) if revisit else len(body)
+        digest = _hex(h.get("warc-payload-digest"))[1] or (None if revisit else hashlib.sha1(body).hexdigest())
+        of = h.get("warc-refers-to") if revisit else None
+        rows.append((h["warc-record-id"], _page(h["warc-record-id"]), h.get("warc-target-uri") or None, kind, body, size, digest, _page(of), of))
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], [x.split()[0] for x in SCHEMA.split(", ")])
+
+
+def with_lengths(found: DataFrame) -> DataFrame:
+    """read()'s rows with the payload_bytes of revisits that don't say them taken from the record that they name."""
+    heads = found.where("record_type <> 'revisit'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("payload_bytes").alias("__n"))
+    joined = found.join(heads, "refers_to_id", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "__n"))
+    return joined.select(found.columns)
 
 
 def unresolved(found: DataFrame) -> DataFrame:
@@ -279,7 +351,9 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Writes an archive of pages to path (by default to the shared folder) and reads it again.
 
     Null html is an empty payload, repeated rows are records of their own, null
-    ids stay null.
+    ids stay null, an empty table gives no rows, and other columns are not
+    looked at.  A page of any size is one record; an archive holds one
+    partition of the table, which Spark's split size bounds.
     """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
@@ -293,3 +367,15 @@ def query(pages: DataFrame) -> DataFrame:
     if bad:
         raise ArchiveError("a revisit refers to no response")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), h AS (
+  SELECT payload_digest, max(page_id) AS head FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1
+)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN head <> page_id THEN head END AS refers_to
+FROM p LEFT JOIN h ON p.payload_digest = h.payload_digest AND payload_bytes >= 1000
+"""

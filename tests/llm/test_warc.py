@@ -1,6 +1,8 @@
+import base64
 import hashlib
 import struct
 
+import duckdb
 import pytest
 import zstandard
 
@@ -34,7 +36,7 @@ def test_records_and_dictionary():
         data = archive(page(1, "é" * 10), page(None, ""), page(3, "z" * 5000, "revisit"), known=known)
         data = warc.dictionary_frame(words) + data[8 + len(known) :]
         found = list(warc.records(data))
-        assert [h["WARC-Type"] for h, _ in found] == ["response", "response", "revisit"]
+        assert [h["warc-type"] for h, _ in found] == ["response", "response", "revisit"]
         assert found[0][1].decode() == "é" * 10 and found[2][1] == b""
 
 
@@ -43,7 +45,7 @@ def test_records_and_dictionary():
     [
         archive(page(1, "abc"))[:-12],
         b"junk" * 5,
-        archive(page(1, "abc").replace(b"Content-Length: 3", b"Content-Length: 4")),
+        archive(page(1, "abc").replace(b"Content-Length: 62", b"Content-Length: 63")),
         archive(page(1, "abc").replace(b"WARC-Date", b"WARC-Time")),
         archive(page(1, "abc").replace(b"WARC/1.1", b"WARC/9.9")),
         archive(page(1, "abc") + page(2, "abc")),
@@ -102,3 +104,52 @@ def test_training_rows_do_not_hang_on_the_order(spark, monkeypatch):
     assert one == two and len(one) == 20
     with_all = warc.training_rows(pages.where("page_id < 20"))
     assert sorted(one) != sorted(with_all)
+
+
+def foreign(kind, body, *more, version=b"WARC/1.0"):
+    lines = [b"warc-type: " + kind, b"WARC-RECORD-ID: <urn:uuid:" + hashlib.md5(body + kind).hexdigest().encode() + b">", b"WARC-Date: 2020-01-01T00:00:00Z", *more, b"Content-length: " + str(len(body)).encode()]
+    return version + b"\r\n" + b"\r\n".join(lines) + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    http = b"Content-Type: application/http; msgtype=response"
+    text = b"<p>hello</p>"
+    sha = base64.b32encode(hashlib.sha1(text).digest())
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\n<p>h\r\n8;x=1\r\nello</p>\r\n0\r\n\r\n"
+    plain = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + text
+    first = foreign(b"response", plain, http, b"WARC-Target-URI: http://a/", b"WARC-Payload-Digest: sha1:" + sha)
+    name = b"<urn:uuid:" + hashlib.md5(plain + b"response").hexdigest().encode() + b">"
+    raw = [
+        foreign(b"warcinfo", b"software: x\r\n", b"Content-Type: application/warc-fields", b"WARC-Filename: a", b"WARC-Concurrent-To: <a>", b"WARC-Concurrent-To: <b>"),
+        first,
+        foreign(b"response", chunked, http, b"WARC-Payload-Digest: sha1:" + sha, version=b"WARC/1.1"),
+        foreign(b"response", chunked, http, b"WARC-Payload-Digest: sha1:" + hashlib.sha1(chunked.split(b"\r\n\r\n", 1)[1]).hexdigest().encode()),
+        foreign(b"revisit", b"HTTP/1.1 200 OK\r\n\r\n", http, b"WARC-Refers-To: " + name, b"WARC-Payload-Digest: sha1:" + sha),
+        foreign(b"metadata", b"x: y", b"X-Long: a\r\n b"),
+        foreign(b"request", b"GET / HTTP/1.1\r\n\r\n", b"Content-Type: application/http; msgtype=request"),
+    ]
+    (tmp_path / "a.warc.zst").write_bytes(archive(*raw))
+    found = warc.with_lengths(warc.read(spark, str(tmp_path / "a.warc.zst"))).collect()
+    assert sorted(r.record_type for r in found) == ["metadata", "request", "response", "response", "response", "revisit", "warcinfo"]
+    assert all(r.page_id is None and r.record_id.startswith("<urn:uuid:") for r in found)
+    assert [bytes(r.payload) for r in found if r.record_type == "response"] == [text] * 3
+    revisit = next(r for r in found if r.record_type == "revisit")
+    assert revisit.payload_bytes == len(text) and revisit.payload_digest == hashlib.sha1(text).hexdigest() and revisit.refers_to_id == name.decode()
+    assert {r.record_type: bytes(r.payload) for r in found}["metadata"] == b"x: y"
+    bad = archive(foreign(b"response", plain, http, b"WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"?").digest())))
+    with pytest.raises(warc.ArchiveError):
+        list(warc.records(bad))
+
+
+def test_a_very_long_page(spark, tmp_path):
+    df = spark.sql("select 1L as page_id, 'u' as url, repeat('<p>0123456789</p>', 3000000) as html, 'x' as digest, 1 as kind")
+    (row,) = warc.round_trip(df, str(tmp_path / "a")).select("payload_bytes", "record_type").collect()
+    assert tuple(row) == (51_000_000, "response")
+
+
+def test_sql(spark):
+    db = duckdb.connect()
+    db.execute("create view pages as select * from '/root/testdata/sf0.01/pages.parquet'")
+    want = sorted(db.execute(warc.ORACLE_SQL).fetchall(), key=repr)
+    out = warc.query(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    assert sorted(map(tuple, out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=repr) == want
