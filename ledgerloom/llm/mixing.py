@@ -19,27 +19,40 @@ WAIT, WAIT_LAST = 64, 2
 BROADCAST_SOURCES = 100_000
 #: Units that a block passes on at most, about.
 STAY = BLOCK // WAIT + 2
+#: Rows that agree in all that counts are numbered so many at a time.
+COPIES = 1 << 16
 CAP = 3
 EPS = 1e-9
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, pos): the number of words of each row; pos tells rows without an id apart."""
+    """(doc_id, source, size, tie): the number of words of each row, and the hash of its text, which tells rows of one id apart."""
 
     def make():
-        done = 0
-
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nonlocal done
             size = pa.array([len(words(t)) for t in batch.column(2).to_pylist()], pa.int64())
-            pos = pa.array(range(done, done + batch.num_rows), pa.int64())
-            done += batch.num_rows
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, pos], ["doc_id", "source", "size", "pos"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, batch.column(3)], ["doc_id", "source", "size", "tie"])
 
         return f
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(narrow, make, "doc_id long, source string, size long, pos long")
+    text = F.col(text_col).cast("string")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    return map_batches(narrow, make, "doc_id long, source string, size long, tie long")
+
+
+def _running(df: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:
+    """df in the order of ``keys`` (unique) with the sums of columns over all rows before, without a window over all rows.
+
+    Ranges of the order are written once, so that they stay as they are; the
+    only window that isn't cut into ranges runs over one row for each of them.
+    """
+    ranged = cut(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "ranges")
+    total = ranged.groupBy("__range").agg(*(F.sum(c).alias(f"__{c}") for c in sums))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select(F.col("__range"), *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in sums))
+    inner = Window.partitionBy("__range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.select("*", *(F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"__in_{c}") for c in sums)).join(total, "__range")
+    return out.select(*df.columns, *((F.col(f"__{c}") + F.col(f"__in_{c}")).alias(name) for c, name in sums.items()))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = CAP) -> DataFrame:
@@ -47,21 +60,19 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
 
     Sources in code point order, null last, weigh ``weights`` in turn.  Water
     filling in closed form: in order of cap to weight, a source stops at its cap
-    if its share of what is left is no less.  The windows run over one row for
-    each source.
+    if its share of what is left is no less.
     """
     per = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))
-    per = per.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((place - 1) % len(weights) + 1).cast("int")).cast("double"))
-    per = per.withColumn("most", F.col("source_size") * float(cap))
-    every = Window.partitionBy()
-    rank = Window.orderBy(F.col("most") / F.col("w"), F.col("source").isNull(), "source")
-    before, after = rank.rowsBetween(Window.unboundedPreceding, -1), rank.rowsBetween(0, Window.unboundedFollowing)
-    per = per.withColumn("left", F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-    per = per.withColumn("share", F.col("left") / F.sum("w").over(after))
+    per = per.select("*", F.col("source").isNull().alias("last"), F.lit(1).alias("one"), (F.col("source_size") * float(cap)).alias("most"))
+    per = _running(per, ["last", "source"], {"one": "place"})
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("double")
+    per = per.withColumn("w", w).withColumn("ratio", F.col("most") / F.col("w"))
+    per = cut(_running(per, ["ratio", "last", "source"], {"most": "most_before", "w": "w_before"}), "sources")
+    size, weight = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    per = per.withColumn("share", (F.lit(size) - F.col("most_before")) / (F.lit(weight) - F.col("w_before")))
     per = per.withColumn("full", F.col("most") <= F.col("w") * F.col("share"))
-    level = F.max(F.when(~F.col("full"), F.col("share"))).over(every)  # the first one's: shares fall from there on
-    return per.select("source", "n", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.col("w") * level).alias("target"))
+    level = per.agg(F.max(F.when(~F.col("full"), F.col("share")))).first()[0]  # the first one's: shares fall from there on
+    return per.select("source", "n", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.col("w") * F.lit(level).cast("double")).alias("target"))
 
 
 def _step(rng: random.Random, p: list[float], u: list[float]) -> list[float]:
@@ -127,7 +138,7 @@ def _fly(units: DataFrame, level: int, seed: int) -> DataFrame:
         import numpy as np
 
         source, block = (k.as_py() for k in key)
-        t = t.take(pa.array(np.lexsort((t["pos"].to_numpy(), t["order"].to_numpy(), -t["size"].to_numpy()))))
+        t = t.take(pa.array(np.lexsort((t["copy"].to_numpy(), t["order"].to_numpy(), -t["size"].to_numpy()))))
         rng = random.Random(f"{seed}:{level}:{source}:{block}")
         size, last = t["size"].to_pylist(), t["blocks"][0].as_py() == 1
         every = WAIT_LAST if last else WAIT
@@ -140,21 +151,25 @@ def _fly(units: DataFrame, level: int, seed: int) -> DataFrame:
 
 
 def take(sized: DataFrame, per_source: DataFrame, seed: int = 42) -> DataFrame:
-    """(doc_id, source, size, pos, source_size, target, copies): how often the mix takes each row.
+    """(doc_id, source, size, tie, source_size, target, copies): how often the mix takes each row.
 
     A source's ratio of target to size is spent as whole rounds over all its
     rows, and what is left is each row's inclusion chance.  Blocks of a source
     fly apart, the few units that each leaves fly again with those of other
     blocks, and the last flight of a source lands.  Order and chance come from
-    hashes of ids, so reruns agree.
+    hashes of id, text and, for rows that agree in both, a number, so reruns
+    agree on any partitioning and copies spread over all blocks.
     """
+    sized = sized.groupBy("doc_id", "source", "size", "tie").agg(F.count("*").alias("__m"))
+    sized = sized.withColumn("__at", F.explode(F.expr(f"sequence(0L, __m - 1, {COPIES}L)")))
+    sized = sized.withColumn("copy", F.explode(F.expr(f"sequence(__at, least(__m, __at + {COPIES}) - 1)"))).drop("__m", "__at")
     n_sources, largest = per_source.agg(F.count("*"), F.max("n")).first()
     side = F.broadcast(per_source) if n_sources <= BROADCAST_SOURCES else per_source
     side = side.select(F.col("source").alias("src"), "n", "source_size", "target")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(CAP)))).otherwise(0.0)
     rows = sized.join(side, F.col("source").eqNullSafe(F.col("src"))).drop("src").withColumn("ratio", ratio)
     rows = rows.withColumn("rounds", F.floor(F.col("ratio") + EPS)).withColumn("p", F.greatest(F.col("ratio") - F.col("rounds"), F.lit(0.0)))
-    rows = rows.withColumn("order", F.xxhash64(F.coalesce("doc_id", "pos"), F.col("size"), F.lit(seed)))
+    rows = rows.withColumn("order", F.xxhash64("doc_id", "tie", "copy", F.lit(seed)))
     now = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
     done, level = [], 0
     while True:
@@ -170,11 +185,17 @@ def take(sized: DataFrame, per_source: DataFrame, seed: int = 42) -> DataFrame:
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "source", "size", "pos", "source_size", "target", (F.col("rounds") + F.round("p").cast("long")).alias("copies"))
+    return out.select("doc_id", "source", "size", "tie", "source_size", "target", (F.col("rounds") + F.round("p").cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: int = 42) -> DataFrame:
-    """take() for documents.  A null text has size 0, a null source is a source; repeated rows are rows of their own."""
+    """take() for documents.
+
+    A null text has size 0, a null source is a source, rows without an id are
+    told apart by their texts, repeated rows are rows of their own; an empty
+    table gives no rows, other columns are not looked at, and a very long text
+    is one unit.
+    """
     sized = cut(sizes(docs, id_col, text_col, source_col), "sizes")
     return take(sized, cut(targets(sized, weights), "targets"), seed)
 
@@ -182,22 +203,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def repeated(docs: DataFrame, seed: int = 42) -> DataFrame:
     """docs as the mix takes them: each row as often as its copies say, all columns kept.
 
-    Rows that agree in doc_id, source and size are interchangeable: they share
-    the copies that the mix gives them, those of least text hash first.
+    Rows that agree in doc_id, source and text are interchangeable: they share
+    the copies that the mix gives them.  A null text has size 0, which no
+    target counts; an empty table gives no rows, and a very long text is moved
+    once, like any other.
     """
     taken = mix(docs, seed=seed)
-    per = cut(taken.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")), "copies")
-    per = per.select(*(F.col(c).alias(f"__{c}") for c in per.columns))
-    side = per.hint("shuffle_hash")  # grows with the documents, so it is never broadcast, and texts needn't be sorted
-    on = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source"))
-    if not per.groupBy("__doc_id", "__source").agg(F.sum("__n").alias("n")).where("n > 1").limit(1).count():
-        out = docs.join(side, on).withColumn("__times", F.col("__copies").cast("int"))
+    per = cut(taken.groupBy("doc_id", "source", "tie").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")), "copies")
+    side = per.select(*(F.col(c).alias(f"__{c}") for c in per.columns)).hint("merge")  # grows with the documents, so it is never broadcast
+    text = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__text") == F.col("__tie"))
+    out = text.join(side, on)
+    if per.where("n > 1").limit(1).count():
+        rank = F.row_number().over(Window.partitionBy("doc_id", "source", "__text").orderBy(F.lit(0)))
+        again = out.where("__n > 1").withColumn("__times", F.floor(F.col("__copies") / F.col("__n")) + (rank <= F.col("__copies") % F.col("__n")).cast("long"))
+        out = out.where("__n = 1").withColumn("__times", F.col("__copies")).unionByName(again)
     else:
-        sized = docs.withColumn("__words", F.udf(lambda t: len(words(t)), "long")("text"))
-        rank = F.row_number().over(Window.partitionBy("doc_id", "source", "__words").orderBy(F.xxhash64("text")))
-        share = F.floor(F.col("__copies") / F.col("__n")) + (F.col("__rank") <= F.col("__copies") % F.col("__n")).cast("long")
-        out = sized.withColumn("__rank", rank).join(side, on & (F.col("__words") == F.col("__size"))).withColumn("__times", share.cast("int"))
-    return out.where("__times > 0").withColumn("__i", F.explode(F.expr("sequence(1, __times)"))).select(*docs.columns)
+        out = out.withColumn("__times", F.col("__copies"))
+    return out.where("__times > 0").withColumn("__i", F.explode(F.expr("sequence(1L, __times)"))).select(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -65,8 +65,7 @@ def test_targets_and_takes(spark, monkeypatch, block):
         assert all(0 <= r.copies <= 3 for r in mine)
         if size[s] and len(mine) > 50:
             assert abs(sum(r.size * r.copies for r in mine) - want[s]) <= 60
-    known = df.where("doc_id is not null")
-    assert sorted(map(str, mixing.query(known).collect())) == sorted(map(str, mixing.query(known.repartition(7)).collect()))
+    assert sorted(map(str, mixing.query(df).collect())) == sorted(map(str, mixing.query(df.repartition(7)).collect()))
     out = mixing.repeated(df)
     assert out.columns == df.columns
     times = Counter((r.doc_id, r.source, r.text or "") for r in out.collect())
@@ -85,3 +84,29 @@ def test_whole_small_table(spark):
     for s, target in want.items():
         got = sum(r.size * r.copies for r in rows if r.source == s)
         assert abs(got - target) <= max(r.size for r in rows if r.source == s)
+
+
+def test_rows_without_ids_and_copies_spread_over_blocks(spark, monkeypatch):
+    """Reruns on another partitioning agree; a row that is copied many times fills no block alone."""
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    monkeypatch.setattr(mixing, "STAY", 4)
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    rows = [(None, "w " * (i % 40), "ab"[i % 2]) for i in range(1500)] + [(7, "one two", "a")] * 1000 + [(i, "c d e", "c") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (sorted(map(str, mixing.query(df.repartition(n)).collect())) for n in (2, 9))
+    assert one == two and len(one) == len(rows)
+    taken = mixing.mix(df).where("doc_id = 7 and source = 'a'").groupBy("copies").count().collect()
+    assert sum(r["count"] for r in taken) == 1000
+    assert mixing.repeated(df).count() == sum(r.copies for r in mixing.mix(df).collect())
+
+
+def test_many_sources(spark):
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randint(0, 9), f"s{rng.randrange(400):03d}") for i in range(3000)] + [(-1, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    want = plain_targets(size)
+    got = {r.source: r.target for r in mixing.targets(mixing.sizes(df)).collect()}
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
