@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir (a temporary one only where none is set) and read again: fixed rows, no lineage."""
+    """df written to the folder in spark.checkpoint.dir (of a local session without one, a temporary folder) and read again: fixed rows, no lineage."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="loom-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/loom-{name}-{uuid.uuid4().hex}"

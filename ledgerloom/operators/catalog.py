@@ -155,50 +155,35 @@ class Registry:
 
 
 def closure(edges: DataFrame, child: str, parent: str, hops: int | None = None) -> DataFrame:
-    """(node, ancestor, depth): the reflexive, transitive closure with least depths; cycles end.
+    """(node, ancestor, depth): the reflexive, transitive closure with least depths; cycles end."""
+    pairs = edges.select(F.col(child).alias("c"), F.col(parent).alias("p"))
+    far = reach(pairs, "c", "p", hops).where("node <> ancestor")
+    nodes = pairs.select(F.explode(F.array("c", "p")).alias("node")).where("node is not null").distinct()
+    return nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).unionByName(far.select("node", "ancestor", F.col("depth").cast("int").alias("depth")))
 
-    A recursive query that carries its path, so that a cycle stops; recursion
-    only runs over the hierarchy, never over what is classified by it.
-    """
-    spark, name = edges.sparkSession, f"closure_{id(edges):x}"
-    edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct().createOrReplaceTempView(name)
-    limit = f"AND depth < {hops}" if hops is not None else ""
-    return spark.sql(f"""
-        WITH RECURSIVE nodes AS (SELECT c AS n FROM {name} WHERE c IS NOT NULL UNION SELECT p FROM {name} WHERE p IS NOT NULL),
-        up(node, ancestor, depth, path) AS (
-          SELECT n, n, 0, array(n) FROM nodes
-          UNION ALL
-          SELECT up.node, e.p, up.depth + 1, array_append(up.path, e.p) FROM up JOIN {name} e ON e.c = up.ancestor
-          WHERE e.p IS NOT NULL AND NOT array_contains(up.path, e.p) {limit}
-        )
-        SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY node, ancestor
-    """)
-
-
-def reach(edges: DataFrame, child: str, parent: str) -> DataFrame:
-    """(node, ancestor, depth) as closure() has them, but for depth 0, for hierarchies as large as the data.
-
-    Paths are composed with themselves, so a round doubles what they span and
-    the number of rounds is the logarithm of the depth; each round is saved, and
-    keeps one row for a pair, so cycles end.
+
+def reach(edges: DataFrame, child: str, parent: str, hops: int | None = None) -> DataFrame:
+    """(node, ancestor, depth): pairs that one edge or more connect, with least depths, up to ``hops`` where they are given.
+
+    A round doubles what is known: a shortest path of more than n edges and no
+    more than 2 n starts with a shortest path of n, so only the paths of just n
+    edges are composed with all.  The number of rounds is the logarithm of the
+    depth; each is saved and keeps one row for a pair, so cycles end and
+    diamonds cost nothing.
     """
     now = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node is not null and ancestor is not null").distinct()
-    now, seen = saved(now.withColumn("depth", F.lit(1).cast("long")), "reach"), None
-    while True:
-        size = now.agg(F.count("*"), F.sum("depth")).first()
-        if size == seen:
-            return now
-        seen = size
+    now, span = saved(now.withColumn("depth", F.lit(1).cast("long")), "reach"), 1
+    while (hops is None or span < hops) and now.where(F.col("depth") == span).limit(1).count():
         far = now.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("a2"), F.col("depth").alias("d2"))
-        both = now.join(far, "ancestor").select("node", F.col("a2").alias("ancestor"), (F.col("depth") + F.col("d2")).alias("depth"))
+        both = now.where(F.col("depth") == span).join(far, "ancestor").select("node", F.col("a2").alias("ancestor"), (F.col("depth") + F.col("d2")).alias("depth"))
         now = saved(now.unionByName(both).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "reach")
+        span *= 2
+    return now if hops is None else now.where(F.col("depth") <= hops)
 
 
 def cycles(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(node): every node that is its own ancestor by one step or more."""
-    up = closure(edges, child, parent)
-    back = edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c is not null and p is not null")
-    return back.join(up, (F.col("p") == F.col("node")) & (F.col("c") == F.col("ancestor"))).select(F.col("c").alias("node")).distinct()
+    return reach(edges, child, parent).where("node = ancestor").select("node").distinct()
 
 
 def inherited(attrs: DataFrame, ancestors: DataFrame) -> DataFrame:

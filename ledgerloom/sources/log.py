@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import canon
+from ..functions.shared import saved
 
 CHANGESETS = "graph string, hash string, stored string, parents array<string>, author string, author_key string, timestamp string, intent string, intent_hash string, schema_context string, signature string, op_count int, ops_root string"
 OPS = (
@@ -20,31 +21,24 @@ OPS = (
 def chain(changesets: DataFrame, heads: DataFrame) -> DataFrame:
     """(graph, hash, seq): each graph's first-parent chain from its head back to its start, numbered from the start.
 
-    The walk doubles its step in every round, so a chain of n changesets takes
-    log n joins; a hash that recurs ends it.
+    The walk doubles its step in every round, and so does the stretch below
+    the head that is known to lie on the chain: a chain of n changesets takes
+    log n joins, of which a few are planned together.  Changesets off the
+    chain are left out; a hash that recurs ends it.
     """
-    up = changesets.select("graph", "hash", F.try_element_at("parents", F.lit(1)).alias("to"))
-    jump = up.withColumn("n", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long"))
+    jump = changesets.select("graph", "hash", F.try_element_at("parents", F.lit(1)).alias("to"))
+    jump = jump.withColumn("n", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long"))
+    found = heads.select("graph", F.col("head").alias("hash"))
     longest = changesets.groupBy("graph").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(max(1, longest).bit_length()):
+    for k in range(max(1, longest).bit_length()):
+        below = found.join(jump.where("n > 0"), ["graph", "hash"]).select("graph", F.col("to").alias("hash"))
+        found = found.unionByName(below).distinct()
         far = jump.select("graph", F.col("hash").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2"))
         jump = jump.join(far, ["graph", "to"], "left").select("graph", "hash", F.when(F.col("n2") > 0, F.col("to2")).otherwise(F.col("to")).alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))
+        if k % 3 == 2:
+            jump, found = saved(jump, "jumps"), saved(found, "found")
     depth = jump.select("graph", "hash", (F.col("n") + 1).alias("seq"))
-    reach = _reached(up, heads)
-    return reach.join(depth, ["graph", "hash"])
-
-
-def _reached(up: DataFrame, heads: DataFrame) -> DataFrame:
-    """Hashes on the way from each head; off-chain changesets are left out."""
-    spark, name = up.sparkSession, f"up_{id(up):x}"
-    up.createOrReplaceTempView(name)
-    heads.createOrReplaceTempView(f"{name}_h")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(graph, hash) MAX RECURSION LEVEL 10000 AS (
-          SELECT graph, head FROM {name}_h
-          UNION ALL SELECT w.graph, u.to FROM walk w JOIN {name} u ON u.graph = w.graph AND u.hash = w.hash WHERE u.to IS NOT NULL
-        ) SELECT DISTINCT graph, hash FROM walk
-    """)
+    return found.join(depth, ["graph", "hash"])
 
 
 def with_epochs(changesets: DataFrame, graph: list[str], seq: str) -> DataFrame:

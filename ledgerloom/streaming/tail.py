@@ -24,6 +24,12 @@ def _version(spark: SparkSession, path: str) -> int:
     return max(done, default=0)
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The state that the stream has come to."""
     v = _version(spark, path)
@@ -57,12 +63,15 @@ def follow(ops: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQu
     """Folds a stream of operations into versions of a state table below path.
 
     A batch writes a new version from the last one, under the number of the
-    batch, so a repeated batch writes the same version again.
+    batch, so a repeated batch writes the same version again.  Where the
+    version that a batch follows isn't there the stream fails.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.schema(STATE).parquet(f"{path}/v={number}") if number and number <= _version(spark, path) else spark.createDataFrame([], STATE)
+        if number and not _complete(spark, f"{path}/v={number}"):
+            raise RuntimeError(f"no complete version {number} of the state below {path}")
+        old = spark.read.schema(STATE).parquet(f"{path}/v={number}") if number else spark.createDataFrame([], STATE)
         advance(old, batch).write.mode("overwrite").parquet(f"{path}/v={number + 1}")
         late(old, batch).write.mode("overwrite").parquet(f"{path}/late/batch={number}")
 
