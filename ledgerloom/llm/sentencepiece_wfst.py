@@ -44,9 +44,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNK_PENALTY = 10.0
 #: Texts between cuts whose paths a task keeps; beyond it the memory is emptied.
-KEPT = 400_000
+KEPT = 200_000
 #: Pairs of pieces whose verdict a task keeps.
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 500_000
 
 
 def _fields(data: bytes):
@@ -395,7 +395,7 @@ _BUILT: dict[int, Transducer] = {}
 
 
 def _built(data: bytes) -> Transducer:
-    """One transducer for each worker process: its paths serve task after task."""
+    """One compiled model for each worker process."""
     key = hash(data)
     if key not in _BUILT:
         _BUILT.clear()
@@ -425,6 +425,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
             n_bytes = np.diff(np.r_[0, np.cumsum(t.is_byte[flat])][marks])
             lists = pa.ListArray.from_arrays(pa.array(marks.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(sizes), pa.array(n_bytes.astype(np.int64)), pa.array(same)], ["doc_id", "ids", "n_tokens", "n_byte_tokens", "round_trip"])
+        t.paths.clear()  # a task's own; what stays with the worker is the compiled model
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return spread(narrow).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>, n_tokens long, n_byte_tokens long, round_trip boolean")
