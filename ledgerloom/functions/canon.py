@@ -150,6 +150,11 @@ def unsigned(record: dict, domain: str, namespace: str = NAMESPACE) -> str:
 # the same as columns, for shapes that are known beforehand
 
 
+def plain_hash_col(payload: Column) -> Column:
+    """plain_hash() of a string or binary column, as an expression."""
+    return F.concat(F.lit(PREFIX), F.sha2(payload, 256))
+
+
 def domain_hash_col(domain: str, payload: Column, namespace: str = NAMESPACE) -> Column:
     lead = F.lit(f"{namespace}:{domain}:".encode())
     return F.concat(F.lit(PREFIX), F.sha2(F.concat(lead, payload), 256))
@@ -199,4 +204,7 @@ def rev_udf(payload: Column, namespace: str = NAMESPACE) -> Column:
         except ValueError:
             return None
 
-    return F.udf(rev, "string")(payload)
+    def revs(payloads):
+        return payloads.map(rev)
+
+    return F.pandas_udf(revs, "string")(payload)

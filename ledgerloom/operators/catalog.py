@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.shared import saved
 from ..functions.text import META_TYPES, bare
@@ -208,3 +209,26 @@ def meta_nodes(state: DataFrame) -> DataFrame:
 
     kinds = F.substring_index("type", "@", 1)
     return live(state).where((F.col("kind") == "node") & kinds.isin(META_TYPES)).select("id", "type", "attributes").orderBy("id")
+
+
+def union_terms(terms: DataFrame) -> DataFrame:
+    """(term, parents) of terms(term, parent): sorted parents united over all taxonomies; none for a root."""
+    return terms.groupBy("term").agg(F.array_sort(F.collect_set("parent")).alias("parents"))
+
+
+def dependency_order(packages: DataFrame, imports: DataFrame) -> DataFrame:
+    """(package, n_before, order) of packages(package) by imports(package, import): every package after all that it imports.
+
+    What a package rests on is less than what rests on it, so the number of
+    packages that it reaches is such an order; names break ties.  Packages on
+    a cycle have no order.
+    """
+    up = reach(imports, "package", "import")
+    ring = up.where("node = ancestor").select(F.col("node").alias("package"))
+    n = up.join(packages.select(F.col("package").alias("ancestor")), "ancestor", "left_semi").groupBy(F.col("node").alias("package")).agg(F.count("*").alias("n"))
+    out = packages.join(n, "package", "left").select("package", F.coalesce("n", F.lit(0)).alias("n_before"))
+    before = out.groupBy("n_before").agg(F.count("*").alias("__m"))
+    starts = before.select("n_before", F.coalesce(F.sum("__m").over(Window.orderBy("n_before").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
+    rank = F.row_number().over(Window.partitionBy("n_before").orderBy("package"))
+    out = out.withColumn("__r", rank).join(starts, "n_before").join(ring.withColumn("__ring", F.lit(True)), "package", "left")
+    return out.select("package", "n_before", F.when(F.col("__ring").isNull(), F.col("__s") + F.col("__r")).alias("order"))

@@ -37,3 +37,23 @@ def references_within(texts: DataFrame, names: DataFrame) -> DataFrame:
 def first_definition(items: DataFrame) -> DataFrame:
     """(name, path, kind): of items that share a name the first in the order of path and kind."""
     return items.groupBy("name").agg(F.min(F.struct("path", "kind")).alias("d")).select("name", "d.path", "d.kind")
+
+
+def attributes_differ(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """(key...) of objects in both whose attributes (JSON maps) differ in a name or a value; order, spacing and all other columns don't count."""
+
+    def entries(c: str):
+        return F.array_sort(F.map_entries(F.from_json(c, "map<string,string>")))
+
+    joined = old.select(*key, F.col("attributes").alias("__old")).join(new.select(*key, F.col("attributes").alias("__new")), key)
+    return joined.where(~entries("__old").eqNullSafe(entries("__new"))).select(*key)
+
+
+def review_sections(changed: DataFrame, callers: DataFrame, terms: DataFrame) -> DataFrame:
+    """(ref, heading, text) for each changed item (ref, name, verb): what calls it (ref, caller), and its terms (ref, term)."""
+    by = callers.where("caller is not null").groupBy("ref").agg(F.array_sort(F.collect_set("caller")).alias("by"))
+    cls = terms.groupBy("ref").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    n = F.coalesce(F.size("by"), F.lit(0))
+    got = changed.join(by, "ref", "left").join(cls, "ref", "left").withColumn("n", F.when(F.col("by").isNull(), 0).otherwise(n))
+    text = F.concat(F.col("verb"), F.lit("d function "), F.col("name"), F.lit("; "), F.col("n").cast("string"), F.lit(" inbound caller(s): "), F.when(F.col("n") == 0, "none").otherwise(F.array_join("by", ", ")), F.coalesce(F.concat(F.lit("; classified "), F.array_join("terms", ", ")), F.lit("")))
+    return got.select("ref", F.col("name").alias("heading"), text.alias("text"))

@@ -96,3 +96,11 @@ def principals(state: DataFrame) -> DataFrame:
     rows = live(state).where("kind = 'node'").select("id", F.try_element_at(kinds, bare_col(F.col("type"))).alias("k"), "attributes", F.get_json_object("attributes", "$.display_name").alias("name"))
     rows = rows.where("k is not null and name is not null")
     return rows.groupBy("name").agg(F.min_by(F.struct("k", "id", "attributes"), "id").alias("p")).select("name", F.col("p.k").alias("kind"), "p.id", "p.attributes")
+
+
+def resolve(refs: DataFrame, state: DataFrame, ref: str = "ref") -> DataFrame:
+    """refs with kind, id (split at the first colon) and live: whether such an object stands in the state."""
+    at = F.instr(F.col(ref), ":")
+    split = refs.withColumn("kind", F.when(at > 0, F.substring(F.col(ref), F.lit(1), at - 1))).withColumn("id", F.when(at > 0, F.substring(F.col(ref), at + 1, F.length(ref))))
+    known = live(state).select("kind", "id").distinct().withColumn("__live", F.lit(True))
+    return split.join(known, ["kind", "id"], "left").withColumn("live", F.coalesce("__live", F.lit(False))).drop("__live")

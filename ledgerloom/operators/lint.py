@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canon
-from ..functions.text import bare, type_expr_errors
+from ..functions.text import bare, bare_col, type_expr_errors
 from .catalog import Registry
 
 # Vocabularies of the documents.
@@ -204,3 +204,38 @@ def instances(ops: DataFrame) -> DataFrame:
 
 def frame(spark: SparkSession, docs: list[dict]) -> DataFrame:
     return spark.createDataFrame(documents(docs), "document string, issue string")
+
+
+def terms(table: DataFrame) -> DataFrame:
+    """(taxonomy, term, issue) of terms(taxonomy, term, status, parents) as rows: taxonomy()'s checks without the driver."""
+    from .catalog import cycles
+
+    key = ["taxonomy", "term"]
+    many = table.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.format_string("defined %d times", "n").alias("issue"))
+    status = table.where(F.col("status").isNotNull() & ~F.col("status").isin(STATUSES)).select(*key, F.format_string("status '%s' is unknown", "status").alias("issue"))
+    up = table.select(*key, F.explode("parents").alias("raw")).select(*key, bare_col(F.col("raw")).alias("parent"))
+    known = table.select("taxonomy", F.col("term").alias("parent")).distinct()
+    lost = up.join(known, ["taxonomy", "parent"], "left_anti").select(*key, F.format_string("parent '%s' is not defined", "parent").alias("issue"))
+    pairs = up.select(F.struct("taxonomy", "term").alias("c"), F.struct("taxonomy", F.col("parent").alias("term")).alias("p"))
+    ring = cycles(pairs, "c", "p").select("node.taxonomy", "node.term", F.lit("is its own ancestor").alias("issue"))
+    return many.unionByName(status.distinct()).unionByName(lost.distinct()).unionByName(ring)
+
+
+def types(table: DataFrame, attrs: DataFrame) -> DataFrame:
+    """(type, attr, issue) of types(type, parent) with attrs(type, attr, texpr, required) as rows: what extends breaks.
+
+    The nearest ancestor that declares an attribute is what a type's own
+    declaration is held against.
+    """
+    from .catalog import closure
+
+    none = F.lit(None).cast("string")
+    up = table.where("parent is not null").select("type", "parent")
+    lost = up.join(table.select(F.col("type").alias("parent")), "parent", "left_anti").select("type", none.alias("attr"), F.format_string("extends '%s', which does not resolve", "parent").alias("issue"))
+    above = closure(up, "type", "parent").where("depth > 0")
+    old = above.join(attrs.select(F.col("type").alias("ancestor"), "attr", F.col("texpr").alias("__t"), F.col("required").alias("__r")), "ancestor")
+    old = old.groupBy(F.col("node").alias("type"), "attr").agg(F.min_by(F.struct("__t", "__r"), F.struct("depth", "ancestor")).alias("o")).select("type", "attr", "o.*")
+    both = attrs.join(old, ["type", "attr"])
+    changed = both.where(~F.col("texpr").eqNullSafe(F.col("__t"))).select("type", "attr", F.lit("changes the inherited type").alias("issue"))
+    dropped = both.where(F.col("__r") & ~F.coalesce("required", F.lit(False))).select("type", "attr", F.lit("drops an inherited requirement").alias("issue"))
+    return lost.unionByName(changed).unionByName(dropped)

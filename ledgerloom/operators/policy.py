@@ -142,7 +142,12 @@ def unmet_reviewers(checklist: DataFrame, approved: DataFrame, subject: str = "s
 
 def verify_signatures(signed: DataFrame, public: str = "public", message: str = "message", signature: str = "signature") -> DataFrame:
     """signed with ok; equal triples are verified once, as a signature takes milliseconds in plain Python."""
-    ok = F.udf(lambda p, m, s: p is not None and m is not None and s is not None and sign.verify(p, m, s), "boolean")
+    def each(publics, messages, signatures):
+        import pandas as pd
+
+        return pd.Series([None not in t and sign.verify(*t) for t in zip(publics, messages, signatures)], dtype=bool)
+
+    ok = F.pandas_udf(each, "boolean")
     names = [public, message, signature]
     once = signed.select(*names).distinct().withColumn("ok", ok(*names))
     same = [signed[n].eqNullSafe(once[n]) for n in names]
@@ -175,3 +180,26 @@ def git_matches(ops: DataFrame, policy: dict, path_regions: DataFrame | None = N
         named.append(F.when(_fold(parts, True), F.lit(r["name"])))
     hit = F.array_compact(F.array(*named)) if named else F.expr(NONE)
     return ops.select("change", F.explode(hit).alias("rule")).distinct()
+
+
+def pending(proposals: DataFrame, decisions: DataFrame, by: str = "subject") -> DataFrame:
+    """proposals that no decision rejects."""
+    return proposals.join(decisions.where("verdict = 'reject'").select(by), by, "left_anti")
+
+
+def git_verdicts(changes: DataFrame, matched: DataFrame, policy: dict, approved: DataFrame) -> DataFrame:
+    """(change, rules, verdict, unmet): pass where every reviewer that a change's rules ask for has approved it.
+
+    ``matched(change, rule)`` is what git_matches() gives, ``approved(subject,
+    role, have)`` what approvals() does, with changes as subjects.
+    """
+    reviewers, _ = requirements(policy)
+    spark = changes.sparkSession
+    asks = spark.createDataFrame([(r, role, n) for r, need in reviewers.items() for role, n in need], "rule string, role string, quorum int")
+    need = matched.join(F.broadcast(asks), "rule").groupBy("change", "role").agg(F.max("quorum").alias("quorum"))  # a row for each reviewer of a rule
+    have = F.coalesce("have", F.lit(0))
+    lack = need.join(approved.withColumnRenamed("subject", "change"), ["change", "role"], "left").where(have < F.col("quorum"))
+    lack = lack.groupBy("change").agg(F.array_join(F.array_sort(F.collect_list(F.format_string("reviewers: role %s needs quorum %d, have %d", "role", "quorum", have))), "; ").alias("unmet"))
+    rules = matched.groupBy("change").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
+    out = changes.select("change").distinct().join(rules, "change", "left").join(lack, "change", "left")
+    return out.select("change", F.coalesce("rules", F.lit("")).alias("rules"), F.when(F.col("unmet").isNull(), "pass").otherwise("fail").alias("verdict"), F.coalesce("unmet", F.lit("")).alias("unmet"))

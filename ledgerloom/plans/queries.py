@@ -108,12 +108,6 @@ def dangling_edges(spark, sf_dir):
 # hashes
 
 
-@query("SELECT doc_id, 'sha256:' || sha256(text) AS content_hash FROM documents")
-def content_hash_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("content_hash"))
-
-
 @query("SELECT doc_id, 'sha256:' || sha256('graph:intent:' || text) AS intent_hash FROM documents")
 def domain_hash(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -139,24 +133,6 @@ def merkle_level1(spark, sf_dir):
     return merkle.next_level(merkle.indexed(merkle.leaves(lens.state(spark, sf_dir)), ["kind", "id"]).select("idx", "leaf"))
 
 
-@query()
-def state_root(spark, sf_dir):
-    return merkle.root(merkle.indexed(merkle.leaves(lens.state(spark, sf_dir)), ["kind", "id"]))
-
-
-@query()
-def merkle_paths(spark, sf_dir):
-    level = merkle.indexed(merkle.leaves(lens.state(spark, sf_dir)), ["kind", "id"]).select("idx", "leaf")
-    top = merkle.root(level).first()["root"]
-    return merkle.check_paths(merkle.paths(level), top).select("idx", F.size("proof").alias("steps"), "ok")
-
-
-@query()
-def object_rev_cbor(spark, sf_dir):
-    s = lens.state(spark, sf_dir).where("kind = 'node'")
-    return s.select("id", canon.rev_udf(F.to_json(F.struct("kind", "id", "type", F.from_json("attributes", "map<string,string>").alias("attributes")))).alias("rev"))
-
-
 # catalog
 
 
@@ -174,15 +150,6 @@ def type_ancestors(spark, sf_dir):
     return catalog.closure(own.unionByName(fixed), "type", "parent", catalog.MAX_HOPS).withColumnRenamed("node", "type")
 
 
-@query("""WITH anc(type, ancestor, depth) AS (VALUES ('A', 'A', 0), ('A', 'B', 1), ('A', 'C', 2), ('B', 'B', 0), ('B', 'C', 1), ('C', 'C', 0)),
-attrs(type, attr, definition) AS (VALUES ('A', 'x', 'int'), ('B', 'x', 'string'), ('B', 'y', 'bool'), ('C', 'y', 'date'), ('C', 'z', 'string'))
-SELECT anc.type, attr, arg_min(definition, depth) AS definition, arg_min(ancestor, depth) AS declared_by FROM anc JOIN attrs ON attrs.type = ancestor GROUP BY 1, 2""")
-def inherited_attrs(spark, sf_dir):
-    anc = spark.createDataFrame([("A", "A", 0), ("A", "B", 1), ("A", "C", 2), ("B", "B", 0), ("B", "C", 1), ("C", "C", 0)], "type string, ancestor string, depth int")
-    attrs = spark.createDataFrame([("A", "x", "int"), ("B", "x", "string"), ("B", "y", "bool"), ("C", "y", "date"), ("C", "z", "string")], "type string, attr string, definition string")
-    return catalog.inherited(attrs, anc)
-
-
 _RING = "SELECT n_nationkey AS a, (n_nationkey * n_nationkey + 3) % 25 AS b FROM nation"
 
 
@@ -192,13 +159,6 @@ def taxonomy_cycles(spark, sf_dir):
     return catalog.cycles(n.select(k.cast("string").alias("a"), ((k * k + 3) % 25).cast("string").alias("b")), "a", "b")
 
 
-@query("SELECT lower(c_mktsegment) AS term, array_to_string(list_sort(list_distinct(list(n_name))), ',') AS parents FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
-def term_union_parents(spark, sf_dir):
-    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    joined = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.groupBy(F.lower("c_mktsegment").alias("term")).agg(F.array_join(F.array_sort(F.collect_set("n_name")), ",").alias("parents"))
-
-
 _SCHEMA = [
     {"ontology": "crm", "version": 3, "imports": [{"ontology": "core"}], "structs": {"Address": {"city": {"type": "string", "required": True}}}}
     | {
@@ -224,12 +184,6 @@ def _registry() -> catalog.Registry:
     return catalog.Registry.of(_SCHEMA)
 
 
-@query("SELECT 'crm' AS package, 3 AS version, 8::BIGINT AS n_types, 'lives_in,placed_by' AS edges, 'core' AS imports UNION ALL SELECT 'meta', 1, 6, '', ''")
-def schema_describe(spark, sf_dir):
-    d = catalog.describe(_registry(), spark)
-    return d.select("package", "version", F.size("types").cast("long").alias("n_types"), F.array_join("edges", ",").alias("edges"), F.array_join("imports", ",").alias("imports"))
-
-
 # validation
 
 
@@ -655,13 +609,6 @@ def chain_order(spark, sf_dir):
     return walked.join(tree.select("hash", "conv_id", "turn"), "hash").select("conv_id", "turn", F.col("seq").cast("long").alias("position"))
 
 
-@query("SELECT conv_id, count(*) AS n_ops, count(DISTINCT role) AS n_authors, min(substr(sha256(text), 1, 12)) AS first_short FROM conversations GROUP BY 1")
-def log_summary(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    short = text.short_col(F.concat(F.lit("sha256:"), F.sha2("text", 256)))
-    return c.groupBy("conv_id").agg(F.count("*").alias("n_ops"), F.countDistinct("role").alias("n_authors"), F.min(short).alias("first_short"))
-
-
 @query("SELECT p.event_id AS seq, p.user_id, (SELECT max(v.event_id) FROM events v WHERE v.user_id = p.user_id AND v.event_type = 'view' AND v.event_id <= p.event_id) AS key_seq FROM events p WHERE event_type = 'purchase'")
 def author_key_asof(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "user_id", "event_type")
@@ -670,14 +617,4 @@ def author_key_asof(spark, sf_dir):
     return fold.asof_join(left, right, "user_id", "seq", "k", "key_seq")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ")
-def pending_proposals(spark, sf_dir):
-    proposals = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey")
-    rejected = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return proposals.join(rejected, "o_orderkey", "left_anti")
-
-
-@query("SELECT conv_id, bool_and(length(text) % 3 <> 0) AS ok, count(*) FILTER (length(text) % 5 = 0) AS n_degraded FROM conversations GROUP BY 1")
-def verify_rollup(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id").agg(F.bool_and(F.length("text") % 3 != 0).alias("ok"), F.count_if(F.length("text") % 5 == 0).alias("n_degraded"))
+from . import audit_queries  # noqa: E402, F401  (adds its own)

@@ -125,3 +125,9 @@ def decisions(repo: str, commit: str, ref: str = "decisions") -> list[dict]:
 def add_decision(repo: str, commit: str, record: dict, ref: str = "decisions") -> None:
     text = json.dumps([*decisions(repo, commit, ref), record], sort_keys=True)
     _git(repo, "-c", "user.name=graph", "-c", "user.email=graph@localhost", "notes", "--ref", ref, "add", "-f", "-m", text, commit)
+
+
+def op_paths(ops: DataFrame, op: str = "op") -> DataFrame:
+    """ops with a row for each verb and path of its JSON operations {verb: {"id": path}}; what has another form is left out."""
+    found = ops.withColumn("__e", F.explode(F.map_entries(F.from_json(op, "map<string,string>"))))
+    return found.withColumn("verb", F.col("__e.key")).withColumn("path", F.get_json_object(F.col("__e.value"), "$.id")).where("path is not null").drop("__e")

@@ -41,6 +41,21 @@ def chain(changesets: DataFrame, heads: DataFrame) -> DataFrame:
     return found.join(depth, ["graph", "hash"])
 
 
+def touches_meta(ops: DataFrame, by: str = "seq") -> DataFrame:
+    """(by, touches_meta) for each changeset: whether an operation of it is about a schema node."""
+    from ..functions.text import is_meta_col
+
+    return ops.groupBy(by).agg(F.bool_or((F.col("kind") == "node") & F.coalesce(is_meta_col(F.col("type")), F.lit(False))).alias("touches_meta"))
+
+
+def summary(changesets: DataFrame, ops: DataFrame) -> DataFrame:
+    """(graph, hash, short, author, n_ops, intent) of changesets, with the number of their operations."""
+    from ..functions.text import short_col
+
+    n = ops.groupBy("hash").agg(F.count("*").alias("n_ops"))
+    return changesets.join(n, "hash", "left").select("graph", "hash", short_col(F.col("hash")).alias("short"), "author", F.coalesce("n_ops", F.lit(0)).alias("n_ops"), "intent")
+
+
 def with_epochs(changesets: DataFrame, graph: list[str], seq: str) -> DataFrame:
     """changesets with position and epoch: how many of them, up to each, changed the schema."""
     w = Window.partitionBy(*graph).orderBy(seq)
