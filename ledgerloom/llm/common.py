@@ -70,10 +70,19 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that few texts are Python objects at a time; empty ones are left out."""
+    """The batches in slices, so that few texts are Python objects at a time; empty ones are left out.
+
+    Slices are copies, so that a batch is gone when the next one comes, and
+    memory is the system's, which takes back what is freed.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        n = batch.num_rows
+        for at in range(0, n, rows):
+            part = batch.take(pa.array(range(at, min(n, at + rows)), pa.int32()))
+            if at + rows >= n:
+                batch = None
+            yield part
 
 
 def spread(df: DataFrame) -> DataFrame:

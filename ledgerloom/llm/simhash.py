@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -89,9 +88,9 @@ def keep_one(docs: DataFrame, width: int = 4, bits: int = 4, likeness: float | N
     if not head.limit(1).count():
         return rest
 
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return texts.map(name).astype("int64")
+    @F.arrow_udf("long")
+    def fp(texts: pa.Array) -> pa.Array:
+        return pa.array(map(name, texts.to_pylist()), pa.int64())
 
     mixed = docs.where("doc_id is not null").join(ids.where("mixed").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     mixed = mixed.unionByName(docs.where("doc_id is null")).withColumn("__fp", fp("text"))
