@@ -44,7 +44,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNK_PENALTY = 10.0
 #: Texts between cuts whose paths a task keeps; beyond it the memory is emptied.
-KEPT = 200_000
+KEPT = 400_000
 #: Pairs of pieces whose verdict a task keeps.
 KEPT_PAIRS = 500_000
 
@@ -176,6 +176,7 @@ class Transducer:
             self.rules.add(source, target)
         for p, i in self.ids.items():
             self.pieces.add(p, (i, 0.0 if self.bpe else -model.scores[i]))
+        self.known = [-1 if x is None else x[0] for x in self.pieces.leave]
         lowest = min((model.scores[i] for i in self.ids.values()), default=0.0)
         self.fallback = 1.0 if self.bpe else UNK_PENALTY - lowest
         self.out = [self._surface(i) for i in range(len(model.pieces))]
@@ -242,14 +243,10 @@ class Transducer:
         """The pieces that merging gives, by the definition: the best pair first, the leftmost of equals."""
         scores, ids, n = self.model.scores, self.ids, len(text)
         size, left, heap = [1] * n, list(range(-1, n - 1)), []  # sizes by start, 0 where a part has been taken
-
-        def offer(a: int, b: int):
-            i = ids.get(text[a : b + size[b]])
-            if i is not None:
-                heapq.heappush(heap, (-scores[i], a, b, b + size[b]))
-
         for a in range(n - 1):
-            offer(a, a + 1)
+            if (i := ids.get(text[a : a + 2])) is not None:
+                heap.append((-scores[i], a, a + 1, a + 2))
+        heapq.heapify(heap)
         while heap:
             _, a, b, end = heapq.heappop(heap)
             if not size[a] or not size[b] or a + size[a] != b or b + size[b] != end:
@@ -257,9 +254,11 @@ class Transducer:
             size[a], size[b] = end - a, 0
             if end < n:
                 left[end] = a
-                offer(a, end)
-            if left[a] >= 0:
-                offer(left[a], a)
+                to = end + size[end]
+                if (i := ids.get(text[a:to])) is not None:
+                    heapq.heappush(heap, (-scores[i], a, end, to))
+            if (c := left[a]) >= 0 and (i := ids.get(text[c:end])) is not None:
+                heapq.heappush(heap, (-scores[i], c, a, end))
         return [text[a : a + size[a]] for a in range(n) if size[a]]
 
     def follows(self, state: int, piece: int) -> bool:
@@ -316,25 +315,33 @@ class Transducer:
         return out[::-1]
 
     def _first(self, text: str) -> list[tuple[str, int]] | None:
-        n, follows, pairs, dead = len(text), self.follows, self.pairs, set()
-        at, state, left, stack = 0, self.START, self.arcs_from(text, 0), []
+        arcs, known, n, follows, pairs, dead = self.pieces.arcs, self.known, len(text), self.follows, self.pairs, set()
+        at, last, stack, left = 0, self.START, [], None
         while at < n:
+            if left is None:  # arcs_from(), without weights, as they don't matter here
+                left, state, to = [], 0, at
+                while to < n and (state := arcs[state].get(text[to])) is not None:
+                    to += 1
+                    if (piece := known[state]) >= 0:
+                        left.append((to, piece))
+                if not left or left[0][0] > at + 1:
+                    left.insert(0, (at + 1, self.FALLBACK))
             while left:
-                end, piece, _ = left.pop()
-                if end in dead:
+                end, piece = left.pop()
+                if dead and end in dead:
                     continue
-                ok = pairs.get(state << 32 | piece) if state >= 0 and piece >= 0 else None
-                if ok or (ok is None and follows(state, piece)):
-                    stack.append((at, state, left))
-                    at, state, left = end, piece, self.arcs_from(text, end) if end < n else []
+                ok = pairs.get(last << 32 | piece) if last >= 0 and piece >= 0 else None
+                if ok or (ok is None and follows(last, piece)):
+                    stack.append((at, last, left))
+                    at, last, left = end, piece, None
                     break
             else:
                 dead.add(at)
                 if not stack:
                     return None
-                at, state, left = stack.pop()
+                at, last, left = stack.pop()
         starts = [*(x[0] for x in stack), n]
-        pieces = [*(x[1] for x in stack[1:]), state]
+        pieces = [*(x[1] for x in stack[1:]), last]
         return [(text[a:b], i) for a, b, i in zip(starts, starts[1:], pieces)]
 
     def _ids(self, piece: str, i: int):
