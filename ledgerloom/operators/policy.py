@@ -154,10 +154,16 @@ def verify_signatures(signed: DataFrame, public: str = "public", message: str =
     return signed.join(once, same[0] & same[1] & same[2], "left").select(signed["*"], F.coalesce(once["ok"], F.lit(False)).alias("ok"))
 
 
+#: Evidence types that can be told by their measurement: whether it counts, given the measurements that are trusted.  Open to further ones.
+EVIDENCE = {"simulated": lambda measurement, trusted: F.coalesce(measurement.isin(trusted), F.lit(False)) if trusted else F.lit(False)}
+
+
 def evidence_col(evidence_type: Column, measurement: Column, trusted: list[str]) -> Column:
     """verified, degraded or failed for an envelope's evidence."""
-    known = F.coalesce(measurement.isin(trusted), F.lit(False)) if trusted else F.lit(False)
-    return F.when(F.coalesce(evidence_type, F.lit("none")) == "none", "degraded").when((evidence_type == "simulated") & known, "verified").otherwise("failed")
+    out = F.when(F.coalesce(evidence_type, F.lit("none")) == "none", "degraded")
+    for name, counts in EVIDENCE.items():
+        out = out.when((evidence_type == name) & counts(measurement, trusted), "verified")
+    return out.otherwise("failed")
 
 
 def git_matches(ops: DataFrame, policy: dict, path_regions: DataFrame | None = None) -> DataFrame:

@@ -27,6 +27,10 @@ class GraphError(Exception):
     pass
 
 
+class Conflict(GraphError):
+    """Another writer has appended to the same head."""
+
+
 class Rejected(GraphError):
     """A changeset that the fold doesn't accept; carries the first violation."""
 
@@ -229,7 +233,11 @@ class Graph:
         self.store.write("graph.yaml", log.dump_yaml(meta))
 
     def head(self) -> str | None:
-        return (self.store.read("HEAD") or "").strip() or None
+        """The last changeset: HEAD, and what was appended after it should a writer have stopped before it moved HEAD."""
+        at = (self.store.read("HEAD") or "").strip() or None
+        while after := (self.store.read(f"next/{at or 'start'}") or "").strip():
+            at = after
+        return at
 
     def _doc(self, folder: str, hash_: str, tail: str = "") -> dict | None:
         text = self.store.read(f"{folder}/{hash_}{tail}.yaml")
@@ -255,6 +263,9 @@ class Graph:
     def append(self, cs: dict, evidence: dict) -> None:
         self.store.write(f"changesets/{cs['hash']}.yaml", log.dump_yaml(cs))
         self.store.write(f"changesets/{cs['hash']}.evidence.yaml", log.dump_yaml(evidence))
+        before = (cs.get("parents") or ["start"])[0]
+        if not self.store.create(f"next/{before}", cs["hash"]):  # the place after a changeset is taken once
+            raise Conflict(f"another changeset follows {before}")
         self.store.write("HEAD", cs["hash"])
 
     def proposals(self) -> list[str]:
@@ -497,13 +508,37 @@ class Graph:
         self.store.remove(f"proposals/{hash_}.evidence.yaml")
 
     def checkpoint(self, by: str, seed: bytes) -> dict:
+        """A signed state hash of the head.  Its entries are proven by it, so they aren't listed; entries() has them as rows."""
         state = saved(self.state(), "state")
-        entries = [{"kind": r.kind, "id": r.id, "rev": r.rev} | ({"deleted": True} if r.deleted else {}) for r in state.orderBy("kind", "id").collect()]
-        body = {"kind": "checkpoint", "revision": self.head(), "state_hash": self.state_hash(state), "state": entries, "timestamp": now_iso(), "signer": f"principal:{by}"}
+        body = {"kind": "checkpoint", "revision": self.head(), "state_hash": self.state_hash(state), "timestamp": now_iso(), "signer": f"principal:{by}"}
         body["signature"] = sign.sign(seed, canon.unsigned(body, "checkpoint", self.namespace))
         self.store.write(f"checkpoints/{body['revision']}.yaml", log.dump_yaml(body))
         return body
 
+    def entries(self, upto: str | None = None) -> DataFrame:
+        """(idx, kind, id, rev, deleted): what a state hash is over, numbered in its order, without a sort in one task."""
+        return merkle.indexed(self.state(upto=upto).select("kind", "id", "rev", "deleted"), ["kind", "id"])
+
+    def checkpoints(self) -> list[dict]:
+        return [log.parse_yaml(self.store.read(f"checkpoints/{n}"))[0] for n in self.store.list("checkpoints")]
+
+    def verify_checkpoints(self) -> DataFrame:
+        """(revision, status): verified, or what is wrong with a checkpoint's revision, state hash or signature."""
+        rows, known = [], {c["hash"] for c in self.chain()}
+        for cp in self.checkpoints():
+            who = self.principal(self.state(upto=cp["revision"]), cp["signer"]) if cp["revision"] in known else None
+            message = canon.unsigned(cp, "checkpoint", self.namespace)
+            if cp["revision"] not in known:
+                status = "unknown revision"
+            elif self.state_hash(self.state(upto=cp["revision"])) != cp["state_hash"]:
+                status = "state hash does not recompute"
+            elif not any(k.get("status") == "active" and sign.verify(k.get("public", ""), message, cp.get("signature") or "") for k in (who or {}).get("keys", [])):
+                status = "bad signature"
+            else:
+                status = "verified"
+            rows.append((cp["revision"], status))
+        return self.spark.createDataFrame(rows, "revision string, status string")
+
     # audit
 
     def verify(self, policy_asof: str = "tip") -> DataFrame:

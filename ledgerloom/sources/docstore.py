@@ -19,6 +19,10 @@ class DocStore(Protocol):
 
     def remove(self, path: str) -> None: ...
 
+    def create(self, path: str, text: str) -> bool:
+        """Writes a document that must not exist yet; False where it does, whoever else is writing."""
+        ...
+
 
 class MemStore:
     """Documents in memory; load() merges, the last write wins."""
@@ -39,6 +43,9 @@ class MemStore:
     def remove(self, path):
         self.docs.pop(path, None)
 
+    def create(self, path, text):
+        return self.docs.setdefault(path, text) is text
+
     def dump(self):
         return dict(self.docs)
 
@@ -76,6 +83,73 @@ class FsStore:
     def remove(self, path):
         self._at(path).unlink(missing_ok=True)
 
+    def create(self, path, text):
+        at = self._at(path)
+        at.parent.mkdir(parents=True, exist_ok=True)
+        try:
+            with at.open("x", encoding="utf-8") as f:
+                f.write(text)
+        except FileExistsError:
+            return False
+        return True
+
+
+class HadoopStore:
+    """Documents below a folder of any file system that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm, self.conf, self.root = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), root.rstrip("/")
+
+    def _at(self, path: str):
+        if ".." in path.split("/") or path.startswith("/"):
+            raise ValueError(f"{path} lies outside the store")
+        at = self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}" if path else self.root)
+        return at, at.getFileSystem(self.conf)
+
+    def read(self, path):
+        at, fs = self._at(path)
+        if not fs.exists(at) or not fs.getFileStatus(at).isFile():
+            return None
+        stream = fs.open(at)
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _put(self, at, fs, text: str, overwrite: bool) -> None:
+        stream = fs.create(at, overwrite)
+        try:
+            stream.write(bytearray(text.encode("utf-8")))
+        finally:
+            stream.close()
+
+    def write(self, path, text):
+        at, fs = self._at(path)
+        new = at.suffix(".new")
+        self._put(new, fs, text, True)
+        fs.delete(at, False)
+        fs.rename(new, at)
+
+    def list(self, folder):
+        at, fs = self._at(folder)
+        return sorted(p.getPath().getName() for p in fs.listStatus(at) if p.isFile()) if fs.exists(at) else []
+
+    def remove(self, path):
+        at, fs = self._at(path)
+        fs.delete(at, False)
+
+    def create(self, path, text):
+        from py4j.protocol import Py4JJavaError
+
+        at, fs = self._at(path)
+        try:
+            self._put(at, fs, text, False)
+        except Py4JJavaError as e:
+            if fs.exists(at):
+                return False
+            raise e
+        return True
+
 
 def frame(spark: SparkSession, store: DocStore, folder: str, skip: str = ".evidence.yaml") -> DataFrame:
     """(path, text) of a folder's documents."""

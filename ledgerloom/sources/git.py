@@ -8,8 +8,9 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import items, language_col
+from ..functions.text import bare_col, items, language_col
 from ..operators import diff
+from ..operators.fold import live
 
 
 def _git(repo: str, *args: str) -> bytes:
@@ -101,6 +102,43 @@ def code_graph(files: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def index_state(state: DataFrame) -> dict[str, DataFrame]:
+    """repository, files, items, calls, in_repo and declares of the code graph that a state has, with ids and revs.
+
+    files, items and calls have the columns of code_graph() as well.
+    """
+    rows = live(state)
+
+    def nodes(*types: str) -> DataFrame:
+        return rows.where(F.col("kind") == "node").where(bare_col(F.col("type")).isin(*types))
+
+    def edges(type_: str, *columns) -> DataFrame:
+        return rows.where(F.col("kind") == "edge").where(bare_col(F.col("type")) == type_).select("id", "rev", F.col("from_ref").alias("from"), F.col("to_ref").alias("to"))
+
+    def attr(name: str):
+        return F.get_json_object("attributes", f"$.{name}")
+
+    blob = F.regexp_extract(attr("blob"), r"^git:[^#]*#([^:]*)", 1)
+    files = nodes("code/SourceFile").select(attr("path").alias("path"), blob.alias("content"), attr("language").alias("language"), "id", "rev")
+    at = files.select("path", F.concat(F.lit("node:"), "id").alias("from"))
+    declares = edges("code/declares").join(at, "from")
+    fn = bare_col(F.col("type")) == "code/Function"
+    named = nodes("code/Function", "code/Type").select(F.when(fn, "fn").otherwise(attr("kind")).alias("kind"), attr("name").alias("name"), F.regexp_replace(attr("span"), "L", "").alias("content"), F.concat(F.lit("node:"), "id").alias("to"), F.col("id").alias("item"), F.col("rev").alias("item_rev"))
+    found = declares.join(named, "to")
+    items = found.select("path", "kind", "name", "content", F.col("item").alias("id"), F.col("item_rev").alias("rev"))
+    ends = found.where("kind = 'fn'").select("path", "name", F.col("to").alias("ref"))
+    calls = edges("code/calls").join(ends.select(F.col("ref").alias("from"), "path", F.col("name").alias("caller")), "from")
+    calls = calls.join(ends.select(F.col("ref").alias("to"), F.col("path").alias("target_path"), F.col("name").alias("callee")), "to")
+    return {
+        "repository": nodes("code/Repository").select("id", "rev").orderBy("id").limit(1),
+        "files": files,
+        "items": items,
+        "calls": calls.select("path", "caller", "target_path", "callee", "id", "rev"),
+        "in_repo": edges("code/in_repo").join(at, "from").select("path", "id", "rev"),
+        "declares": found.select("path", "kind", "name", "id", "rev"),
+    }
+
+
 def graph_changes(desired: dict[str, DataFrame], existing: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """What brings one code graph to another; no rows where nothing changed."""
     return {

@@ -81,7 +81,7 @@ def test_admit_hold_decide_verify(graph):
     assert graph.object("node", "p1")["type"] == "memory/Preference" and graph.object("node", "zz") is None
     assert graph.view().where("label = 'tea'").first().id == "p1"
     cp = graph.checkpoint("anna", ANNA)
-    assert cp["state_hash"] == graph.state_hash() == canon.merkle_root([canon.state_leaf(**e) for e in cp["state"]], "state-node")
+    assert cp["state_hash"] == graph.state_hash()
     assert sign.verify(sign.public_key(ANNA).hex(), canon.unsigned(cp, "checkpoint"), cp["signature"])
     evidence = graph.evidence(held.hash)
     graph.store.write(f"changesets/{held.hash}.evidence.yaml", "decisions: []\nenvelopes: []\n")
