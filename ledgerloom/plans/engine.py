@@ -274,22 +274,48 @@ class Graph:
     # tables
 
     def ops(self, extra: list[dict] = (), upto: str | None = None) -> DataFrame:
-        """Operations of the chain (to a changeset), and of further changesets after it."""
+        """Operations of the chain (to a changeset), and of further changesets after it.
+
+        Where tasks can read the store themselves, the log doesn't pass the driver.
+        """
+        if getattr(self.store, "url", None) and self.head():
+            known = self.read_ops(upto).select(*[c.split()[0] for c in log.OPS.split(", ")], "seq")
+            rows = self._rows(extra, self.length(upto)) if extra else []
+            return known.unionByName(self.spark.createDataFrame(rows, log.OPS + ", seq long")) if rows else known
         chain = self.chain()
         if upto is not None:
             hashes = [c["hash"] for c in chain]
             if upto not in hashes:
                 raise GraphError(f"unknown revision {upto}")
             chain = chain[: hashes.index(upto) + 1]
-        rows = [log.op_row(c.get("hash"), i, op, self.namespace) | {"seq": n + 1} for n, c in enumerate([*chain, *extra]) for i, op in enumerate(c.get("operations") or [])]
-        return self.spark.createDataFrame(rows, log.OPS + ", seq long")
-
-    def read_ops(self) -> DataFrame:
-        """The same from the store's files, parsed on the executors; for logs that the driver shouldn't read."""
-        files = frame(self.spark, self.store, "changesets")
-        sets = log.read_changesets(files, namespace=self.namespace)
-        order = log.chain(sets.select("graph", "hash", "parents"), self.spark.createDataFrame([("g", self.head())], "graph string, head string"))
-        return log.numbered(log.read_ops(files, self.namespace), order)
+        return self.spark.createDataFrame(self._rows([*chain, *extra], 0), log.OPS + ", seq long")
+
+    def _rows(self, sets: list[dict], before: int) -> list[dict]:
+        return [log.op_row(c.get("hash"), i, op, self.namespace) | {"seq": before + n} for n, c in enumerate(sets, 1) for i, op in enumerate(c.get("operations") or [])]
+
+    def _files(self) -> DataFrame:
+        if url := getattr(self.store, "url", None):
+            return log.files(self.spark, f"{url}/changesets").where(~F.col("path").contains(".evidence."))
+        return frame(self.spark, self.store, "changesets")
+
+    def order(self, upto: str | None = None) -> DataFrame:
+        """(graph, hash, seq) of the chain, to a changeset, from the store's files, parsed on the executors."""
+        sets = log.read_changesets(self._files(), namespace=self.namespace)
+        return log.chain(sets.select("graph", "hash", "parents"), self.spark.createDataFrame([("g", upto or self.head())], "graph string, head string"))
+
+    def length(self, upto: str | None = None) -> int:
+        """Changesets of the chain, to a changeset."""
+        if getattr(self.store, "url", None):
+            return self.order(upto).count() if self.head() else 0
+        hashes = [c["hash"] for c in self.chain()]
+        return len(hashes) if upto is None else hashes.index(upto) + 1
+
+    def read_ops(self, upto: str | None = None) -> DataFrame:
+        """The chain's operations from the store's files, parsed on the executors; for logs that the driver shouldn't read."""
+        order = self.order(upto)
+        if upto and not order.limit(1).count():
+            raise GraphError(f"unknown revision {upto}")
+        return log.numbered(log.read_ops(self._files(), self.namespace), order)
 
     def state(self, upto: str | None = None) -> DataFrame:
         return fold.latest_state(self.ops(upto=upto))
@@ -439,7 +465,7 @@ class Graph:
         )
 
     def _accept(self, cs: dict) -> None:
-        n = len(self.chain()) + 1
+        n = self.length() + 1
         bad = fold.first_violation(self.violations([cs], since=n).where(F.col("seq") == n)).first()
         if bad:
             raise Rejected(f"{bad.code}: {bad.kind}:{bad.id} {bad.detail}")

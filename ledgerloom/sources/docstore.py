@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 from typing import Protocol
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -95,14 +96,16 @@ class FsStore:
 
 
 class HadoopStore:
-    """Documents below a folder of any file system that Spark reaches."""
+    """Documents below a folder of any file system that Spark reaches; ``url`` is where tasks read them themselves."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.jvm, self.conf, self.root = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), root.rstrip("/")
+        self.url = self.root
 
     def _at(self, path: str):
         if ".." in path.split("/") or path.startswith("/"):
             raise ValueError(f"{path} lies outside the store")
+        path = path.replace("%", "%25").replace(":", "%3A")  # such file systems have no colons in names
         at = self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}" if path else self.root)
         return at, at.getFileSystem(self.conf)
 
@@ -132,7 +135,7 @@ class HadoopStore:
 
     def list(self, folder):
         at, fs = self._at(folder)
-        return sorted(p.getPath().getName() for p in fs.listStatus(at) if p.isFile()) if fs.exists(at) else []
+        return sorted(unquote(p.getPath().getName()) for p in fs.listStatus(at) if p.isFile()) if fs.exists(at) else []
 
     def remove(self, path):
         at, fs = self._at(path)

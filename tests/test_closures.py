@@ -45,7 +45,7 @@ def test_depth_and_diamonds(spark):
 
 
 def test_a_long_chain(spark):
-    n = 100_000
+    n = 30_000
     rows = spark.range(n).selectExpr("'g' as graph", "cast(id as string) as hash", "if(id = 0, array(), array(cast(id - 1 as string))) as parents")
     side = spark.range(5).selectExpr("'g' as graph", "concat('x', id) as hash", "array(cast(id + 7 as string)) as parents")
     heads = spark.createDataFrame([("g", str(n - 3))], "graph string, head string")

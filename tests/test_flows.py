@@ -90,6 +90,8 @@ def test_stores_agree(spark, tmp_path):
         store.write("a/b.yaml", "é1")
         store.write("a/b.yaml", "é2")
         assert store.read("a/b.yaml") == "é2" and store.list("a") == ["b.yaml"]
+        store.write("b/sha256:0%.yaml", "x")
+        assert store.read("b/sha256:0%.yaml") == "x" and store.list("b") == ["sha256:0%.yaml"]
         assert store.create("a/c", "1") and not store.create("a/c", "2") and store.read("a/c") == "1"
         store.remove("a/b.yaml")
         assert store.list("a") == ["c"]
@@ -206,3 +208,20 @@ def test_commits(plain, tmp_path):
     now = sub.heads().popitem()[1]
     assert sorted(map(tuple, sub.operation_set(now).collect())) == [("create", "file", "d.rs"), ("delete", "file", "b.rs"), ("update", "file", "a.rs")]
     assert sub.verify_authorship(now) == "no signature" and len(sub.state_hash(now)) == 40
+
+
+def test_a_log_that_tasks_read(plain, tmp_path):
+    keys = MemoryKeys()
+    g = flows.init(plain, HadoopStore(plain, f"file://{tmp_path}/g"), keys, "anna", [CORE, MEMORY, TERMS], POLICY)
+    note, out = flows.note(g, keys, "anna", "x")
+    assert out.status == "admitted" and g.length() == 2
+    memory = E.Graph(plain, MemStore())
+    for cs in g.chain():
+        memory.append(cs, {})
+    names = g.ops().columns
+    assert sorted(map(str, g.ops().collect())) == sorted(map(str, memory.ops().select(names).collect()))
+    first = g.chain()[0]["hash"]
+    assert g.ops(upto=first).agg(F.max("seq")).first()[0] == 1 and g.state_hash() == memory.state_hash()
+    assert g.ops([{"operations": [E.create_node("n", "memory/Note@1", {})]}]).where("id = 'n'").first().seq == 3
+    with pytest.raises(E.GraphError, match="unknown revision"):
+        g.ops(upto="sha256:0")
