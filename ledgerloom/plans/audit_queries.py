@@ -375,3 +375,83 @@ def review_sections(spark, sf_dir):
     new = table(spark, sf_dir, "supplier").select(F.concat(F.lit("node:nation-"), F.col("s_nationkey").cast("string")).alias("ref"), F.col("s_name").alias("caller"))
     terms = live.where("kind = 'classification'").select(F.col("subject").alias("ref"), "term")
     return diff.review_sections(changed, old.unionByName(new), terms)
+
+
+# sources and signatures
+
+_CODE_CALLS = """fn AS (SELECT c_custkey AS k, c_name AS name, 'src/s' || (c_custkey % (SELECT count(*) FROM supplier)) || '.rs' AS path FROM customer),
+calls AS (SELECT DISTINCT o_custkey AS a, o_orderkey % (SELECT count(*) FROM customer) AS b FROM orders)"""
+
+
+def _code_state(spark, sf_dir):
+    """Suppliers as source files, customers as functions that they declare, orders as calls."""
+    s, c, o = (table(spark, sf_dir, t) for t in ("supplier", "customer", "orders"))
+    n_files, n_fns = s.count(), c.count()
+    no = F.lit(None).cast("string")
+
+    def rows(df, kind, id_, type_, attributes=no, a=no, b=no):
+        return df.select(F.lit(kind).alias("kind"), id_.alias("id"), F.lit(type_).alias("type"), attributes.alias("attributes"), a.alias("from_ref"), b.alias("to_ref"), F.concat(F.lit("rev-"), id_).alias("rev"), F.lit(False).alias("deleted"))
+
+    def key(prefix, column):
+        return F.concat(F.lit(prefix), column.cast("string"))
+
+    home = F.col("c_custkey") % n_files
+    path = F.concat(F.lit("src/s"), F.col("s_suppkey").cast("string"), F.lit(".rs"))
+    calls = o.select("o_custkey", (F.col("o_orderkey") % n_fns).alias("to")).distinct()
+    parts = [
+        rows(s, "node", key("file-", F.col("s_suppkey")), "code/SourceFile@1", F.to_json(F.struct(path.alias("path"), F.lit("rust").alias("language"), F.concat(F.lit("git:r#b"), F.col("s_suppkey").cast("string"), F.lit(":"), path).alias("blob")))),
+        rows(c, "node", key("fn-", F.col("c_custkey")), "code/Function@1", F.to_json(F.struct(F.col("c_name").alias("name"), F.lit("L1-L2").alias("span")))),
+        rows(c, "edge", key("declares-", F.col("c_custkey")), "code/declares@1", a=key("node:file-", home), b=key("node:fn-", F.col("c_custkey"))),
+        rows(calls, "edge", F.concat_ws("-", F.lit("calls"), F.col("o_custkey").cast("string"), F.col("to").cast("string")), "code/calls@1", a=key("node:fn-", F.col("o_custkey")), b=key("node:fn-", F.col("to"))),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query(f"WITH {_CODE_CALLS} SELECT x.path, x.name AS caller, y.path AS target_path, y.name AS callee, 'calls-' || a || '-' || b AS id FROM calls JOIN fn x ON x.k = a JOIN fn y ON y.k = b")
+def code_index_calls(spark, sf_dir):
+    return git.index_state(_code_state(spark, sf_dir))["calls"].drop("rev")
+
+
+@query(f"WITH {_CODE_CALLS} SELECT path, 'fn' AS kind, name, '1-2' AS content, 'fn-' || k AS id FROM fn")
+def code_index_items(spark, sf_dir):
+    return git.index_state(_code_state(spark, sf_dir))["items"].drop("rev")
+
+
+@query(
+    f"WITH {STATE}, r AS (SELECT *, kind || ':' || id AS ref, split_part(type, '@', 1) AS t FROM live)"
+    " SELECT ref AS s, 'type' AS p, t AS o FROM r WHERE kind = 'node' UNION ALL SELECT from_ref, t, to_ref FROM r WHERE kind = 'edge' UNION ALL SELECT subject, 'classified', split_part(term, '@', 1) FROM r WHERE kind = 'classification'"
+    " UNION ALL SELECT 'node:nation-' || n_nationkey, 'name', n_name FROM nation UNION ALL SELECT 'node:customer-' || c_custkey, 'display_name', c_name FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'node:customer-' || c_custkey, 'segment', c_mktsegment FROM customer WHERE c_acctbal >= 0"
+    " UNION ALL SELECT 'node:order-' || o_orderkey, 'status', o_orderstatus FROM orders UNION ALL SELECT 'node:order-' || o_orderkey, 'priority', o_orderpriority FROM orders"
+)
+def state_triples(spark, sf_dir):
+    return exchange.triples(lens.state(spark, sf_dir))
+
+
+@query("SELECT event_id, event_id % 10 <> 0 AS ok FROM events")
+def signature_checks(spark, sf_dir):
+    """Events that one of five keys has signed by their type; every tenth has the signature of another type."""
+    from ..functions import sign
+
+    seeds, kinds = [bytes([k]) * 32 for k in range(1, 6)], ["click", "error", "purchase", "signup", "view"]
+    made = [(k, t, sign.public_key(s).hex(), sign.sign(s, t)) for k, s in enumerate(seeds) for t in kinds]
+    keyed = F.broadcast(spark.createDataFrame(made, "key int, of string, public string, signature string"))  # 25 rows
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("message"), (F.col("user_id") % 5).cast("int").alias("key"))
+    other = F.when(F.col("message") == "click", "error").otherwise("click")
+    signed = e.withColumn("of", F.when(F.col("event_id") % 10 == 0, other).otherwise(F.col("message"))).join(keyed, ["key", "of"])
+    return policy.verify_signatures(signed).select("event_id", "ok")
+
+
+_OP_LEAF = (
+    "'sha256:' || sha256('graph:op-leaf:'::BLOB || unhex('a1') || " + _text("verb") + f" || unhex('a4{canon.cbor('id').hex()}') || " + _text("id") + f" || unhex('{canon.cbor('kind').hex()}{canon.cbor('node').hex()}{canon.cbor('type').hex()}') || " + _text("type") + f" || unhex('{canon.cbor('attributes').hex()}a0'))"
+)
+
+
+@query(f"WITH {EVENT_OPS} SELECT (row_number() OVER (PARTITION BY seq // 10 ORDER BY seq) - 1)::INTEGER AS op_idx, verb, id, {_OP_LEAF} AS leaf FROM ops")
+def log_operation_leaves(spark, sf_dir):
+    """A log written as YAML documents, ten events to a changeset, and read again: operations and their leaves."""
+    ops = lens.event_ops(spark, sf_dir)
+    line = F.format_string("- %s:\n    kind: node\n    id: %s\n    type: %s\n    attributes: {}\n", "verb", "id", "type")
+    sets = ops.groupBy(F.floor(F.col("seq") / 10).alias("n")).agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("lines"))
+    head = F.format_string("kind: changeset\nparents: []\nauthor:\n  principal: principal:a\n  key: k\ntimestamp: '2026-01-01T00:00:00Z'\nintent: set %d\noperations:\n", "n")
+    files = sets.select(F.format_string("changesets/%d.yaml", "n").alias("path"), F.concat(head, F.array_join(F.transform("lines", lambda x: x["line"]), "")).alias("text"))
+    return log.read_ops(files).select(F.col("op_idx").cast("int").alias("op_idx"), "verb", "id", "leaf")
