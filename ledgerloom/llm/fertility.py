@@ -219,7 +219,8 @@ def rate(docs: DataFrame, piece_model: bytes, byte_ranks: bytes, pattern: str, b
     Bands are those of the row's language, of its script where the language is
     null or has none, or of "other"; they are fixed, so no text's verdict hangs
     on other rows.  Nulls and repeated rows stay as they are; a text without
-    words or tokens is not kept.
+    words or tokens is not kept, an empty table gives no rows, other columns
+    are not looked at, and a very long text is measured whole.
     """
     out = measure(docs, piece_model, byte_ranks, pattern, id_col, text_col, lang_col)
     ok = F.lit(False)

@@ -414,7 +414,9 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     """(doc_id, ids, n_tokens, n_byte_tokens, round_trip) for each row of docs.
 
     round_trip tells whether decoding ids gives the normalised text.  A null or
-    empty text has no ids; ids, nulls and repeated rows stay as they are.
+    empty text has no ids; ids, nulls and repeated rows stay as they are, an
+    empty table gives no rows, other columns are not looked at, and a very long
+    text takes time in proportion to its length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -55,6 +55,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     have fingerprint zero and are linked like any other.  Rows with a null
     doc_id take part, keep their null and never name a component; repeated rows
     stay repeated.  Equal fingerprints are one node, so copies cost no links.
+    An empty table gives no rows, other columns are not looked at, and a very
+    long text is hashed block by block.
     """
     fps = cut(fingerprints(docs, id_col, text_col, width, seed), "fp")
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
@@ -72,7 +74,8 @@ def keep_one(docs: DataFrame, width: int = 4, bits: int = 4, likeness: float | N
     texts' shingles (resemblance.near_duplicates).
     Rows are told apart by doc_id and text: a row without doc_id stays only if
     its group has no row with one, and an id may stay in one group and go from
-    another.  Rows that agree in doc_id and group count as one.
+    another.  Rows that agree in doc_id and group count as one; which of them
+    stays, should their other columns differ, is not defined.
     """
     if likeness is None:
         found, name = near_duplicates(docs, width=width, bits=bits), lambda t: signed(fingerprint(t, width))

@@ -132,7 +132,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Edited: the last half of the code points (rounded down) gives way to the
     first as many of the next document.  Null texts are empty, repeated rows are
-    rows of their own.
+    rows of their own, an empty table gives no rows, other columns are not
+    looked at, and a very long text is one array of words in memory.
     """
     rows = with_next(docs, id_col, text_col)
     half = F.floor(F.col("n_chars") / 2).cast("int")

@@ -193,7 +193,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(doc_id, grade, expected_severity, p_toxic, rejected) for each row of docs.
 
     A null, empty or featureless text scores zero, which is clean; ids, nulls
-    and repeated rows stay as they are.
+    and repeated rows stay as they are, an empty table gives no rows, other
+    columns are not looked at, and a very long text is scored whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
