@@ -44,9 +44,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNK_PENALTY = 10.0
 #: Texts between cuts whose paths a task keeps; beyond it the memory is emptied.
-KEPT = 400_000
+KEPT = 150_000
 #: Pairs of pieces whose verdict a task keeps.
-KEPT_PAIRS = 500_000
+KEPT_PAIRS = 250_000
 
 
 def _fields(data: bytes):
