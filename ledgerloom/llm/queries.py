@@ -1,10 +1,10 @@
-"""The queries of the ten operators, and SQL for those that SQL can express."""
+"""The queries of the numbered operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, lattice_lm, mixing, pii, sentencepiece_wfst, simhash, spotsigs, toxicity, url_filter, warc
+from . import bpe_prefix, fertility, lattice_lm, mixing, pii, sentencepiece_wfst, simhash, spotsigs, toxicity, url_filter, warc
 from .common import table
 
 #: Folder of public tokenizer files.
@@ -51,6 +51,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.query(table(spark, sf_dir, "documents"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str, path: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+    with open(path, "rb") as f:
+        return bpe_prefix.query(table(spark, sf_dir, "documents"), f.read())
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_warc": op2_warc,
@@ -62,5 +67,6 @@ QUERIES = {
     "op8_spotsigs": op8_spotsigs,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
+    "op13_bpe": op13_bpe,
 }
 ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL, "op3_url_filters": url_filter.ORACLE_SQL}
