@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, map_batches, words
+from .ranges import running
 
 #: Units that one flight takes; hot sources are cut into blocks of about this size.
 BLOCK = 4096
@@ -40,21 +41,6 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return map_batches(narrow, make, "doc_id long, source string, size long, tie long")
 
 
-def _running(df: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:
-    """df in the order of ``keys`` (unique) with the sums of columns over all rows before, without a window over all rows.
-
-    Ranges of the order are written once, so that they stay as they are; the
-    only window that isn't cut into ranges runs over one row for each of them.
-    """
-    ranged = cut(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "ranges")
-    total = ranged.groupBy("__range").agg(*(F.sum(c).alias(f"__{c}") for c in sums))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    total = total.select(F.col("__range"), *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in sums))
-    inner = Window.partitionBy("__range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.select("*", *(F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"__in_{c}") for c in sums)).join(total, "__range")
-    return out.select(*df.columns, *((F.col(f"__{c}") + F.col(f"__in_{c}")).alias(name) for c, name in sums.items()))
-
-
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = CAP) -> DataFrame:
     """(source, n, source_size, target) for each source.
 
@@ -64,10 +50,10 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
     """
     per = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
     per = per.select("*", F.col("source").isNull().alias("last"), F.lit(1).alias("one"), (F.col("source_size") * float(cap)).alias("most"))
-    per = _running(per, ["last", "source"], {"one": "place"})
+    per = running(per, ["last", "source"], {"one": "place"})
     w = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("double")
     per = per.withColumn("w", w).withColumn("ratio", F.col("most") / F.col("w"))
-    per = cut(_running(per, ["ratio", "last", "source"], {"most": "most_before", "w": "w_before"}), "sources")
+    per = cut(running(per, ["ratio", "last", "source"], {"most": "most_before", "w": "w_before"}), "sources")
     size, weight = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
     per = per.withColumn("share", (F.lit(size) - F.col("most_before")) / (F.lit(weight) - F.col("w_before")))
     per = per.withColumn("full", F.col("most") <= F.col("w") * F.col("share"))
