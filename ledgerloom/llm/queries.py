@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_prefix, fertility, importance, lattice_lm, mixing, pii, sentencepiece_wfst, simhash, spotsigs, toxicity, url_filter, warc
+from . import bpe_prefix, conversation_repair, fertility, importance, lattice_lm, mixing, pii, sentencepiece_wfst, simhash, spotsigs, toxicity, url_filter, warc
 from .common import table
 
 #: Folder of public tokenizer files.
@@ -55,6 +55,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.query(table(spark, sf_dir, "conversations"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str, path: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
     with open(path, "rb") as f:
         return bpe_prefix.query(table(spark, sf_dir, "documents"), f.read())
@@ -72,6 +76,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
     "op11_importance": op11_importance,
+    "op12_conversations": op12_conversations,
     "op13_bpe": op13_bpe,
 }
 ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL, "op3_url_filters": url_filter.ORACLE_SQL, "op11_importance": importance.ORACLE_SQL}
