@@ -96,6 +96,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df if "AdaptiveSparkPlan" in plan or df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of df has them (in any case)."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words(text: str | None) -> list[bytes]:
     """Runs of [^\\x20\\x09-\\x0D] as UTF-8; a null text has none."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, map_batches, words
+from .common import cut, fresh, map_batches, words
 from .ranges import running
 
 #: Units that one flight takes; hot sources are cut into blocks of about this size.
@@ -187,7 +187,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def repeated(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """docs as the mix takes them: each row as often as its copies say, all columns kept.
+    """docs as the mix takes them: each row as often as its copies say, all columns kept, whatever their names.
 
     Rows that agree in doc_id, source and text are interchangeable: they share
     the copies that the mix gives them.  A null text has size 0, which no
@@ -196,17 +196,35 @@ def repeated(docs: DataFrame, seed: int = 42) -> DataFrame:
     """
     taken = mix(docs, seed=seed)
     per = cut(taken.groupBy("doc_id", "source", "tie").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")), "copies")
-    side = per.select(*(F.col(c).alias(f"__{c}") for c in per.columns)).hint("merge")  # grows with the documents, so it is never broadcast
-    text = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__text") == F.col("__tie"))
-    out = text.join(side, on)
-    if per.where("n > 1").limit(1).count():
-        rank = F.row_number().over(Window.partitionBy("doc_id", "source", "__text").orderBy(F.lit(0)))
-        again = out.where("__n > 1").withColumn("__times", F.floor(F.col("__copies") / F.col("__n")) + (rank <= F.col("__copies") % F.col("__n")).cast("long"))
-        out = out.where("__n = 1").withColumn("__times", F.col("__copies")).unionByName(again)
-    else:
-        out = out.withColumn("__times", F.col("__copies"))
-    return out.where("__times > 0").withColumn("__i", F.explode(F.expr("sequence(1L, __times)"))).select(*docs.columns)
+    doc_id, source, tie, n, copies, text, times, i = fresh(docs, "doc_id_", "source_", "tie", "n", "copies", "text_", "times", "i")
+    # the table of copies grows with the documents, so it is never broadcast
+    side = per.select(*(F.col(c).alias(to) for c, to in (("doc_id", doc_id), ("source", source), ("tie", tie), ("n", n), ("copies", copies)))).hint("merge")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)) & F.col("source").cast("string").eqNullSafe(F.col(source)) & (F.col(text) == F.col(tie))
+    out = docs.withColumn(text, F.xxhash64(F.col("text").cast("string"))).join(side, on).where(F.col(copies) > 0)
+    one = out.where(F.col(n) == 1).withColumn(times, F.col(copies))
+    if per.where("n > 1 and copies > 0").limit(1).count():
+        one = one.unionByName(_shared(out.where(F.col(n) > 1), [doc_id, source, tie], n, copies, times))
+    return one.where(F.col(times) > 0).withColumn(i, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
+
+
+def _shared(rows: DataFrame, group: list[str], n: str, copies: str, times: str) -> DataFrame:
+    """rows with the share of its group's copies that falls to each: all get as many, the first ones one more.
+
+    The rows of a group are numbered where they lie, so a group of many copies
+    is never in one task; partitions are written, so that they stay.
+    """
+    here, number, before = fresh(rows.withColumn(times, F.lit(0)), "here", "number", "before")
+    rows = cut(rows.withColumn(here, F.spark_partition_id()), "copies")
+    counted = rows.groupBy(*group, here).agg(F.count("*").alias(before))
+    earlier = Window.partitionBy(*group).orderBy(here).rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0)))
+    names = dict(zip([*group, here], fresh(rows.withColumn(before, F.lit(0)), *(f"{c}_" for c in [*group, here]))))
+    counted = counted.withColumnsRenamed(names)
+    on = [F.col(c).eqNullSafe(F.col(to)) for c, to in names.items()]
+    numbered = rows.withColumn(number, F.row_number().over(Window.partitionBy(*group, here).orderBy(F.lit(0))))
+    placed = numbered.join(counted, on)
+    more = (F.col(before) + F.col(number) <= F.col(copies) % F.col(n)).cast("long")
+    return placed.withColumn(times, F.floor(F.col(copies) / F.col(n)) + more).drop(here, number, before, *names.values())
 
 
 def query(docs: DataFrame) -> DataFrame:

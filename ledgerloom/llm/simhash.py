@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import resemblance
-from .common import cut, lowered_words, map_batches
+from .common import cut, fresh, lowered_words, map_batches
 from .components import roots
 from .simhash_index import links, signed
 
@@ -75,7 +75,9 @@ def keep_one(docs: DataFrame, width: int = 4, bits: int = 4, likeness: float | N
     Rows are told apart by doc_id and text: a row without doc_id stays only if
     its group has no row with one, and an id may stay in one group and go from
     another.  Rows that agree in doc_id and group count as one; which of them
-    stays, should their other columns differ, is not defined.
+    stays, should their other columns differ, is not defined.  Null and empty
+    texts are one group, an empty table gives no rows, other columns may have
+    any name, and a very long text is hashed block by block.
     """
     if likeness is None:
         found, name = near_duplicates(docs, width=width, bits=bits), lambda t: signed(fingerprint(t, width))
@@ -95,11 +97,12 @@ def keep_one(docs: DataFrame, width: int = 4, bits: int = 4, likeness: float | N
     def fp(texts: pa.Array) -> pa.Array:
         return pa.array(map(name, texts.to_pylist()), pa.int64())
 
+    mine, there, its = fresh(docs, "fp", "fp_there", "id_there")
     mixed = docs.where("doc_id is not null").join(ids.where("mixed").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    mixed = mixed.unionByName(docs.where("doc_id is null")).withColumn("__fp", fp("text"))
-    named = head.select(F.col("fp").alias("__fp"), F.col("doc_id").alias("__id"))
-    mixed = mixed.join(named, (mixed["__fp"] == named["__fp"]) & mixed["doc_id"].eqNullSafe(named["__id"]), "left_semi")
-    return rest.unionByName(mixed.dropDuplicates(["doc_id", "__fp"]).drop("__fp"))
+    mixed = mixed.unionByName(docs.where("doc_id is null")).withColumn(mine, fp("text"))
+    named = head.select(F.col("fp").alias(there), F.col("doc_id").alias(its))
+    mixed = mixed.join(named, (F.col(mine) == F.col(there)) & F.col("doc_id").eqNullSafe(F.col(its)), "left_semi")
+    return rest.unionByName(mixed.dropDuplicates(["doc_id", mine]).drop(mine))
 
 
 def query(docs: DataFrame) -> DataFrame:
