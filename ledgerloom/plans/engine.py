@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from ..functions import canon, sign
 from ..functions.shared import saved
 from ..functions.text import bare, bare_col, is_meta_col
-from ..operators import catalog, fold, merkle, policy, validate
+from ..operators import catalog, fold, merkle, policy, timeline, validate
 from ..sources import log
 from ..sources.docstore import DocStore, frame
+from . import audit
 
 
 class GraphError(Exception):
@@ -164,17 +165,21 @@ def payload_errors(reg: catalog.Registry, kind: str, payload: dict) -> list[str]
     return [f"unknown object kind {kind!r}"]
 
 
-def schema_violations(ops: DataFrame, reg: catalog.Registry) -> DataFrame:
-    """payload_errors() of every create and update, as violations; a batch at a time, as definitions nest."""
-    shared = ops.sparkSession.sparkContext.broadcast(reg)
+def schema_violations(ops: DataFrame, regs: list[tuple[int, int, catalog.Registry]]) -> DataFrame:
+    """payload_errors() of every create and update by the schema in force, as violations; a batch at a time, as definitions nest."""
+    shared = ops.sparkSession.sparkContext.broadcast(regs)
 
     def run(batches):
+        import bisect
+
         import pyarrow as pa
 
+        starts = [lo for lo, _, _ in shared.value]
         for batch in batches:
             rows = []
             for seq, idx, kind, id_, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(seq, 2, idx, "schema", kind, id_, e) for e in payload_errors(shared.value, kind, json.loads(payload))]
+                reg = shared.value[max(0, bisect.bisect_right(starts, seq) - 1)][2]
+                rows += [(seq, 2, idx, "schema", kind, id_, e) for e in payload_errors(reg, kind, json.loads(payload))]
             types = [pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["seq", "stage", "op_idx", "code", "kind", "id", "detail"])
 
@@ -182,17 +187,21 @@ def schema_violations(ops: DataFrame, reg: catalog.Registry) -> DataFrame:
     return writes.mapInArrow(run, "seq long, stage int, op_idx int, code string, kind string, id string, detail string")
 
 
-def end_type_violations(ops: DataFrame, reg: catalog.Registry) -> DataFrame:
-    """Edges with an end whose type, as it stood at the edge's own position, is outside the edge's domain or range."""
-    ends = reg.edge_table(ops.sparkSession)
+def end_type_violations(ops: DataFrame, regs: list[tuple[int, int, catalog.Registry]]) -> DataFrame:
+    """Edges with an end whose type, as it stood at the edge's own position, is outside the edge's domain or range in the schema in force."""
+    ends = None
+    for i, (_, _, reg) in enumerate(regs):
+        part = reg.edge_table(ops.sparkSession).withColumn("epoch", F.lit(i))
+        ends = part if ends is None else ends.unionByName(part)
+    epoch = timeline.epoch_col([lo for lo, _, _ in regs[1:]]) if regs[1:] else F.lit(0)
     at = F.struct(F.col("seq").cast("long").alias("seq"), F.col("op_idx").cast("int").alias("op_idx"))
     types = ops.where((F.col("kind") == "node") & F.col("verb").isin("create", "update")).select(F.concat_ws(":", "kind", "id").alias("ref"), at.alias("at"), bare_col(F.col("type")).alias("allowed"))
     edges = ops.where((F.col("kind") == "edge") & F.col("verb").isin("create", "update"))
     out = None
     for side in ("from_ref", "to_ref"):
-        rows = edges.select("seq", "op_idx", "kind", "id", F.col("type").alias("t"), F.col(side).alias("ref"), at.alias("at"))
+        rows = edges.select("seq", "op_idx", "kind", "id", F.col("type").alias("t"), F.col(side).alias("ref"), at.alias("at"), epoch.alias("epoch"))
         typed = fold.asof_join(rows, types, "ref", "at", "allowed", "allowed").where("allowed is not null")
-        bad = typed.withColumn("edge", bare_col(F.col("t"))).withColumn("side", F.lit(side)).join(ends, ["edge", "side", "allowed"], "left_anti")
+        bad = typed.withColumn("edge", bare_col(F.col("t"))).withColumn("side", F.lit(side)).join(ends, ["epoch", "edge", "side", "allowed"], "left_anti")
         part = bad.select(F.col("seq").cast("long").alias("seq"), F.lit(2).alias("stage"), F.col("op_idx").cast("int").alias("op_idx"), F.lit("edge end").alias("code"), "kind", "id", F.concat_ws(" ", "side", "allowed").alias("detail"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -293,14 +302,15 @@ class Graph:
     def _rows(self, sets: list[dict], before: int) -> list[dict]:
         return [log.op_row(c.get("hash"), i, op, self.namespace) | {"seq": before + n} for n, c in enumerate(sets, 1) for i, op in enumerate(c.get("operations") or [])]
 
-    def _files(self) -> DataFrame:
+    def files(self, evidence: bool = False) -> DataFrame:
+        """(path, text) of the changesets, or of their evidence."""
         if url := getattr(self.store, "url", None):
-            return log.files(self.spark, f"{url}/changesets").where(~F.col("path").contains(".evidence."))
-        return frame(self.spark, self.store, "changesets")
+            return log.files(self.spark, f"{url}/changesets").where(F.col("path").contains(".evidence.") == F.lit(evidence))
+        return frame(self.spark, self.store, "changesets", "" if evidence else ".evidence.yaml", ".evidence.yaml" if evidence else "")
 
     def order(self, upto: str | None = None) -> DataFrame:
         """(graph, hash, seq) of the chain, to a changeset, from the store's files, parsed on the executors."""
-        sets = log.read_changesets(self._files(), namespace=self.namespace)
+        sets = log.read_changesets(self.files(), namespace=self.namespace)
         return log.chain(sets.select("graph", "hash", "parents"), self.spark.createDataFrame([("g", upto or self.head())], "graph string, head string"))
 
     def length(self, upto: str | None = None) -> int:
@@ -315,7 +325,7 @@ class Graph:
         order = self.order(upto)
         if upto and not order.limit(1).count():
             raise GraphError(f"unknown revision {upto}")
-        return log.numbered(log.read_ops(self._files(), self.namespace), order)
+        return log.numbered(log.read_ops(self.files(), self.namespace), order)
 
     def state(self, upto: str | None = None) -> DataFrame:
         return fold.latest_state(self.ops(upto=upto))
@@ -384,36 +394,21 @@ class Graph:
         cs["signature"] = sign.sign(seed, cs["hash"])
         return cs
 
-    def violations(self, extra: list[dict] = (), registry: catalog.Registry | None = None, since: int = 1) -> DataFrame:
-        """Everything that makes the chain, and changesets after it, inadmissible; from changeset ``since`` on.
+    def violations(self, extra: list[dict] = (), since: int = 1, ops: DataFrame | None = None, found: DataFrame | None = None, regs=None) -> DataFrame:
+        """Everything that makes the chain, and changesets after it, inadmissible; of the schema and its rules from changeset ``since`` on.
 
-        Each epoch's operations are held against the schema that was in force at
-        their parent; the first changeset against the one that it brings.  Rules
-        see the state after each changeset that touches a type they speak of.
+        Operations are held against the schema that was in force at their
+        parent; the first changeset against the one that it brings.  Rules see
+        the state after each changeset that touches a type they speak of.  The
+        number of jobs doesn't grow with the log.
         """
-        ops = saved(self.ops(extra), "ops")
-        sets = ops.groupBy("seq").agg(F.bool_or((F.col("kind") == "node") & is_meta_col(F.col("type"))).alias("meta"))
-        starts = [r.seq for r in sets.where("meta").orderBy("seq").collect()]  # a row for each change of the schema
-        found = fold.violations(ops)
-        last = ops.agg(F.max("seq")).first()[0] or 0
-        bounds = sorted({1, *(s + 1 for s in starts)})
-        for epoch, hi in zip(bounds, [*(b - 1 for b in bounds[1:]), last]):
-            lo = max(epoch, since)
-            if lo > hi:
-                continue
-            reg = registry or self.registry(fold.fold_to(ops, max(epoch - 1, 1)))
-            part = ops.where(F.col("seq").between(lo, hi))
-            found = found.unionByName(schema_violations(part, reg))
-            ruled = {t for n, p in reg.packages.items() for r in p.rules for t in reg.type_names() if "type" in (r.get("on") or {}) and reg.satisfies(t, r["on"]["type"], n)}
-            hit = part.where((F.col("kind") == "node") & bare_col(F.col("type")).isin(list(ruled))) if ruled else part.where("false")
-            for seq in sorted(r.seq for r in hit.select("seq").distinct().collect()) if ruled else ():
-                now = ops.where(F.col("seq") == seq)
-                created = now.where((F.col("kind") == "edge") & (F.col("verb") == "create")).select("type", "from_ref", "to_ref")
-                bad = validate.rule_violations(reg, now.where("kind = 'node'").select("verb", "id", "type"), fold.fold_to(ops, seq), created)
-                found = found.unionByName(bad.select(F.lit(seq).cast("long").alias("seq"), F.lit(4).alias("stage"), F.lit(0).alias("op_idx"), F.lit("rule").alias("code"), F.lit("node").alias("kind"), F.col("ref").alias("id"), F.concat_ws("/", "package", "rule").alias("detail")))
-            ends = end_type_violations(ops.where(F.col("seq") <= hi), reg).where(F.col("seq") >= lo)
-            found = found.unionByName(ends)
-        return found
+        ops = saved(self.ops(extra).withColumn("seq", F.col("seq").cast("long")), "ops") if ops is None else ops
+        found = saved(timeline.versions(ops), "versions") if found is None else found
+        regs = audit.schemas(found, ops.agg(F.max("seq")).first()[0] or 0) if regs is None else regs
+        late = F.col("seq") >= since
+        rules = timeline.rule_violations([(max(lo, since), hi, reg) for lo, hi, reg in regs if hi >= since], ops, found)
+        rules = rules.select("seq", F.lit(4).alias("stage"), F.lit(0).alias("op_idx"), F.lit("rule").alias("code"), F.lit("node").alias("kind"), F.col("ref").alias("id"), F.concat_ws("/", "package", "rule").alias("detail"))
+        return fold.violations(ops).unionByName(schema_violations(ops.where(late), regs)).unionByName(rules).unionByName(end_type_violations(ops, regs).where(late))
 
     def _evaluate(self, state: DataFrame, cs: dict, author_kind: str) -> Outcome:
         policy_doc, reg = self.policy(state), self.registry(state)
@@ -568,49 +563,14 @@ class Graph:
     # audit
 
     def verify(self, policy_asof: str = "tip") -> DataFrame:
-        """(seq, hash, author, integrity, authorship, governance): each "verified" or what failed, for every changeset.
+        """(seq, hash, author, integrity, authorship, governance, admitted_by, degraded) of every changeset; each level "verified" or what failed.
 
         Integrity: the stored hash is the content's and the changeset is
         admissible.  Authorship: the signature is that of the author's key as of
         the parent.  Governance: what the policy asked for is on record; by the
         tip's policy, or by the parent's with ``policy_asof="parent"``.
+        admitted_by has the rules that asked, degraded the weak evidence.
+        Tasks read the log; all changesets are judged at once, by steps and
+        as-of joins (plans.audit), in a fixed number of jobs.
         """
-        chain = self.chain()
-        bad = {}
-        for r in self.violations().groupBy("seq").agg(F.min(F.struct("stage", "op_idx", "code", "id", "detail")).alias("v")).collect():
-            bad[r.seq] = f"{r.v.code}: {r.v.id} {r.v.detail}"
-        tip = self.policy() if policy_asof == "tip" else None
-        rows = []
-        for n, cs in enumerate(chain, 1):
-            hash_, author = cs["hash"], cs["author"]["principal"]
-            computed = canon.changeset_hash(cs, namespace=self.namespace)
-            integrity = bad.get(n) or ("verified" if computed == hash_ else f"stored hash does not recompute (got {computed})")
-            parent = saved(fold.latest_state(self.ops(upto=chain[n - 2]["hash"])), "parent") if n > 1 else None
-            own = self.state(upto=hash_)
-            who = (self.principal(parent, author) if parent is not None else None) or self.principal(own, author)
-            keys = [k for k in (who or {}).get("keys", []) if k.get("key_id") == cs["author"].get("key") and k.get("status") == "active"]
-            signed = any(sign.verify(k["public"], hash_, cs.get("signature") or "") for k in keys)
-            authorship = "verified" if signed else "no signature" if not cs.get("signature") else "bad signature"
-            if n == 1:
-                governance = "verified" if author in self.roots() else f"genesis author {author} is not root"
-            elif not who:
-                governance = f"unknown author {author}"
-            else:
-                graph = self if tip is None else _WithPolicy(self, tip)
-                out = graph._satisfy(parent, cs, graph._evaluate(parent, cs, who["kind"]), self.evidence(hash_))
-                governance = "; ".join(out.unmet) or "verified"
-            rows.append((n, hash_, author, integrity, authorship, governance))
-        return self.spark.createDataFrame(rows, "seq long, hash string, author string, integrity string, authorship string, governance string")
-
-
-class _WithPolicy(Graph):
-    """A graph that judges by a given policy."""
-
-    def __init__(self, graph: Graph, policy_doc: dict):
-        super().__init__(graph.spark, graph.store, graph.namespace)
-        self._policy = policy_doc
-
-    def policy(self, state=None):
-        return self._policy
-
-
+        return audit.report(self, policy_asof)

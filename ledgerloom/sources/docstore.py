@@ -154,7 +154,7 @@ class HadoopStore:
         return True
 
 
-def frame(spark: SparkSession, store: DocStore, folder: str, skip: str = ".evidence.yaml") -> DataFrame:
-    """(path, text) of a folder's documents."""
-    names = [n for n in store.list(folder) if not n.endswith(skip)]
+def frame(spark: SparkSession, store: DocStore, folder: str, skip: str = ".evidence.yaml", only: str = "") -> DataFrame:
+    """(path, text) of a folder's documents whose names end with ``only`` and not with ``skip``."""
+    names = [n for n in store.list(folder) if n.endswith(only) and not (skip and n.endswith(skip))]
     return spark.createDataFrame([(f"{folder}/{n}", store.read(f"{folder}/{n}")) for n in names], "path string, text string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..functions import canon
 from ..functions.shared import saved
 
 CHANGESETS = "graph string, hash string, stored string, parents array<string>, author string, author_key string, timestamp string, intent string, intent_hash string, schema_context string, signature string, op_count int, ops_root string"
+EVIDENCE = "hash string, idx int, what string, subject string, verdict string, policy_context string, principal string, signature string, message string, evidence_type string, measurement string"
 OPS = (
     "hash string, op_idx int, verb string, kind string, id string, type string, from_ref string, to_ref string, subject string, term string, asserted_by string, basis string, "
     "content_hash string, prior string, attributes string, method string, derived_from array<string>, rev string, leaf string, payload string"
@@ -183,18 +185,33 @@ def read_changesets(source: DataFrame, graph: str = "g", namespace: str = canon.
     return _parsed(source, lambda _, d: [changeset_row(graph, d, namespace)] if "operations" in d else [], CHANGESETS)
 
 
-def read_ops(source: DataFrame, namespace: str = canon.NAMESPACE) -> DataFrame:
-    """Operations of the changesets of files(path, text)."""
+def read_ops(source: DataFrame, namespace: str = canon.NAMESPACE, stored: bool = False) -> DataFrame:
+    """Operations of the changesets of files(path, text), named by the hash that the content has, or by the one stored with it."""
 
     def make(_, d):
         if "operations" not in d:
             return []
-        hash_ = changeset_row("", d, namespace)["hash"]
+        hash_ = d.get("hash") if stored else changeset_row("", d, namespace)["hash"]
         return [op_row(hash_, i, op, namespace) for i, op in enumerate(d["operations"] or [])]
 
     return _parsed(source, make, OPS)
 
 
+def read_evidence(source: DataFrame, namespace: str = canon.NAMESPACE) -> DataFrame:
+    """A row of EVIDENCE for each decider of a decision, and for each envelope, of evidence files named <hash>.evidence.yaml."""
+
+    def make(path, d):
+        hash_, out = unquote(path.rsplit("/", 1)[-1]).removesuffix(".evidence.yaml"), []
+        for i, x in enumerate(d.get("decisions") or []):
+            body = {"hash": hash_, "idx": i, "what": "decision", "subject": x.get("subject"), "verdict": x.get("verdict"), "policy_context": x.get("policy_context"), "message": canon.unsigned(x, "decision", namespace)}
+            out += [body | {"principal": w.get("principal"), "signature": w.get("signature") or ""} for w in x.get("deciders") or []]
+        for i, x in enumerate(d.get("envelopes") or []):
+            out.append({"hash": hash_, "idx": i, "what": "envelope", "subject": (x.get("statement") or {}).get("changeset_hash"), "principal": x.get("attester"), "signature": x.get("signature") or "", "message": canon.unsigned(x, "envelope", namespace), "evidence_type": x.get("evidence_type"), "measurement": (x.get("evidence") or {}).get("measurement")})
+        return out
+
+    return _parsed(source, make, EVIDENCE)
+
+
 def numbered(ops: DataFrame, order: DataFrame) -> DataFrame:
     """ops with the position of their changeset, seq."""
     return ops.join(order.select("hash", "seq"), "hash")
