@@ -30,6 +30,67 @@ def indexed(df: DataFrame, by: list[str], out: str = "idx") -> DataFrame:
     return ranged.join(F.broadcast(starts), "__p").withColumn(out, F.col("__s") + F.col("__i")).drop("__p", "__i", "__s")  # a row for each partition
 
 
+def neighbours(level: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+    """asked(*by) with n, the number of leaves of level(*by) at or before each, and whether one is at it.
+
+    Leaves and what is asked for are put into one order by a range exchange;
+    each partition counts its own leaves and those of the partitions before are
+    added, so nothing is searched for one by one.
+    """
+    both = level.select(*by, F.lit(1).alias("leaf")).unionByName(asked.select(*by).distinct().withColumn("leaf", F.lit(0)))
+    order = [*by, F.desc("leaf")]
+    n = int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = saved(both.repartitionByRange(n, *by).withColumn("__p", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("__p").agg(F.sum("leaf").alias("n"))
+    starts = sizes.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
+    upto = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("n", F.sum("leaf").over(upto)).withColumn("same", F.max("leaf").over(Window.partitionBy("__p", *by)))
+    placed = placed.where("leaf = 0").join(F.broadcast(starts), "__p")  # a row for each partition
+    return placed.select(*by, (F.col("n") + F.col("__s")).cast("long").alias("n"), (F.col("same") == 1).alias("present"))
+
+
+def absence(level: DataFrame, asked: DataFrame, root_hash: str, by: list[str], domain: str = "state-node", namespace: str = canon.NAMESPACE) -> DataFrame:
+    """(*by, present, before, after, absent) for each key asked for: the places of the leaves that it would stand between, and whether their paths prove that none is.
+
+    ``level(idx, *by, leaf)`` are all leaves in order.  A proof holds if both
+    paths lead to the root and the two leaves touch: below the node where their
+    paths meet, the first takes only right turns and the second only left ones,
+    and above it they agree.  At an end of the order one path is enough, the
+    outermost.  All in expressions, over paths(); an empty table proves nothing.
+    """
+    size = level.count()
+    found = neighbours(level, asked, by)
+    found = found.select(*by, "present", F.when(F.col("n") > 0, F.col("n") - 1).alias("before"), F.when(F.col("n") < size, F.col("n")).alias("after"))
+    proofs = saved(check_paths(paths(level.select("idx", "leaf"), domain, namespace), root_hash, domain, namespace), "proofs")
+
+    def side(name: str) -> DataFrame:
+        return proofs.select(F.col("idx").alias(name), F.struct("leaf", "proof", "ok").alias(f"{name}_p"))
+
+    both = found.join(side("before"), "before", "left").join(side("after"), "after", "left")
+
+    def fold_to(leaf, steps):
+        return F.aggregate(steps, leaf, lambda acc, x: F.when(x["left"], canon.node_col(x["sibling"], acc, domain, namespace)).otherwise(canon.node_col(acc, x["sibling"], domain, namespace)))
+
+    a, b = F.col("before_p.proof"), F.col("after_p.proof")
+    i = F.array_position(F.transform(a, lambda x: x["left"]), False)  # from 1; 0 if there is none
+    j = F.array_position(F.transform(b, lambda x: x["left"]), True)
+    both = both.withColumn("i", i.cast("int")).withColumn("j", j.cast("int"))
+    i, j = F.col("i"), F.col("j")
+    meet = (
+        (i > 0)
+        & (j > 0)
+        & (F.get(a, i - 1)["sibling"] == fold_to(F.col("after_p.leaf"), F.slice(b, F.lit(1), F.greatest(j - 1, F.lit(0)))))
+        & (F.get(b, j - 1)["sibling"] == fold_to(F.col("before_p.leaf"), F.slice(a, F.lit(1), F.greatest(i - 1, F.lit(0)))))
+        & (F.slice(a, F.greatest(i, F.lit(0)) + 1, F.size(a)) == F.slice(b, F.greatest(j, F.lit(0)) + 1, F.size(b)))
+    )
+    proven = (
+        F.when(F.col("before").isNull(), F.col("after_p.ok") & (j == 0))
+        .when(F.col("after").isNull(), F.col("before_p.ok") & (i == 0))
+        .otherwise(F.col("before_p.ok") & F.col("after_p.ok") & meet)
+    )
+    return both.select(*by, "present", "before", "after", (~F.col("present") & F.coalesce(proven, F.lit(False))).alias("absent"))
+
+
 def next_level(level: DataFrame, domain: str = "state-node", namespace: str = canon.NAMESPACE) -> DataFrame:
     """(idx, leaf) one level up: pairs are combined in one aggregate, an odd node is promoted."""
     half = F.shiftright("idx", 1)

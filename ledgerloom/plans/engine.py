@@ -32,6 +32,10 @@ class Conflict(GraphError):
     """Another writer has appended to the same head."""
 
 
+class AlreadyDecided(GraphError):
+    """The proposal was rejected, replaced or admitted before."""
+
+
 class Rejected(GraphError):
     """A changeset that the fold doesn't accept; carries the first violation."""
 
@@ -245,6 +249,7 @@ class Graph:
         """The last changeset: HEAD, and what was appended after it should a writer have stopped before it moved HEAD."""
         at = (self.store.read("HEAD") or "").strip() or None
         while after := (self.store.read(f"next/{at or 'start'}") or "").strip():
+            self._settle(after)
             at = after
         return at
 
@@ -270,15 +275,58 @@ class Graph:
         return out[::-1]
 
     def append(self, cs: dict, evidence: dict) -> None:
-        self.store.write(f"changesets/{cs['hash']}.yaml", log.dump_yaml(cs))
-        self.store.write(f"changesets/{cs['hash']}.evidence.yaml", log.dump_yaml(evidence))
-        before = (cs.get("parents") or ["start"])[0]
-        if not self.store.create(f"next/{before}", cs["hash"]):  # the place after a changeset is taken once
+        """Claims the place after the parent, which can be done once, and only then makes the changeset part of the log.
+
+        Until then it lies in ``staged``, from where a reader who meets the claim
+        finishes the move should the writer have stopped; a writer who loses
+        takes its files away again.
+        """
+        hash_, before = cs["hash"], (cs.get("parents") or ["start"])[0]
+        self.store.write(f"staged/{hash_}.yaml", log.dump_yaml(cs))
+        self.store.write(f"staged/{hash_}.evidence.yaml", log.dump_yaml(evidence))
+        if not self.store.create(f"next/{before}", hash_) and (self.store.read(f"next/{before}") or "").strip() != hash_:
+            self._remove("staged", hash_)
             raise Conflict(f"another changeset follows {before}")
-        self.store.write("HEAD", cs["hash"])
+        self._settle(hash_)
+        self.store.write("HEAD", hash_)
+
+    def _settle(self, hash_: str) -> None:
+        if self.store.read(f"changesets/{hash_}.yaml"):
+            return
+        for tail in (".evidence", ""):  # a changeset is there when its evidence is
+            if (text := self.store.read(f"staged/{hash_}{tail}.yaml")) is None:
+                raise GraphError(f"changeset {hash_} is claimed but missing")
+            self.store.write(f"changesets/{hash_}{tail}.yaml", text)
+        self._remove("staged", hash_)
+
+    def _remove(self, folder: str, hash_: str) -> None:
+        self.store.remove(f"{folder}/{hash_}.yaml")
+        self.store.remove(f"{folder}/{hash_}.evidence.yaml")
 
     def proposals(self) -> list[str]:
-        return sorted(n.removesuffix(".yaml") for n in self.store.list("proposals") if not n.endswith(".evidence.yaml"))
+        """Hashes of what is held and neither admitted, rejected nor replaced."""
+        return self._named("proposals")
+
+    def closed(self) -> list[str]:
+        """Hashes of proposals that were rejected or replaced; their changesets and signed records stay readable."""
+        return self._named("closed")
+
+    def _named(self, folder: str) -> list[str]:
+        return sorted(n.removesuffix(".yaml") for n in self.store.list(folder) if not n.endswith(".evidence.yaml"))
+
+    def proposal(self, hash_: str) -> tuple[dict, dict, str]:
+        """A proposal's changeset, evidence and status: pending, stale (its parent is no longer the head), rejected, replaced or admitted."""
+        for folder in ("proposals", "closed", "changesets"):
+            cs = self._doc(folder, hash_)
+            if cs is None:
+                continue
+            evidence, status = self.evidence(hash_, folder), "admitted"
+            if folder == "closed":
+                status = "replaced" if evidence.get("replaced_by") else "rejected"
+            elif folder == "proposals":
+                status = "pending" if (cs.get("parents") or [None])[0] == self.head() else "stale"
+            return cs, evidence, status
+        raise GraphError(f"no proposal {hash_}")
 
     # tables
 
@@ -499,34 +547,81 @@ class Graph:
         body |= {"evidence": {"measurement": measurement}} if measurement else {}
         return body | {"signature": sign.sign(seed, canon.unsigned(body, "envelope", self.namespace))}
 
+    def decision(self, hash_: str, verdict: str, policy_doc: dict | None = None) -> tuple[dict, str]:
+        """An unsigned record of a decision on a proposal, and the text that deciders sign; for signers that hold their keys elsewhere."""
+        self._undecided(hash_)
+        context = canon.policy_context(policy_doc or self.policy(), self.namespace)
+        record = {"kind": "decision-record", "subject": hash_, "policy_context": context, "verdict": verdict, "timestamp": now_iso()}
+        return record, canon.unsigned(record, "decision", self.namespace)
+
+    def _undecided(self, hash_: str) -> tuple[dict, dict]:
+        cs, evidence, status = self.proposal(hash_)
+        if status in ("rejected", "replaced", "admitted"):
+            raise AlreadyDecided(f"proposal {hash_} is {status}")
+        return cs, evidence
+
     def decide(self, hash_: str, principal: str, seed: bytes, verdict: str = "approve") -> Outcome:
-        """Signs and records a decision; a rejection ends the proposal, an approval that meets all that is asked admits it."""
-        cs = self._doc("proposals", hash_)
-        if cs is None:
-            raise GraphError(f"no proposal {hash_}")
-        state = saved(self.state(), "state")
-        record = {"kind": "decision-record", "subject": hash_, "policy_context": canon.policy_context(self.policy(state), self.namespace), "verdict": verdict, "timestamp": now_iso()}
-        record["deciders"] = [{"principal": f"principal:{principal}", "signature": sign.sign(seed, canon.unsigned(record, "decision", self.namespace))}]
-        evidence = self.evidence(hash_, "proposals")
+        """Signs and records a decision; see decide_with."""
+        record, message = self.decision(hash_, verdict)
+        return self.decide_with(hash_, record | {"deciders": [{"principal": f"principal:{principal}", "signature": sign.sign(seed, message)}]})
+
+    def decide_with(self, hash_: str, record: dict) -> Outcome:
+        """Records a decision that was signed elsewhere.
+
+        A rejection closes the proposal, which keeps its record.  An approval
+        that meets all that is asked admits it, unless the log has moved on
+        meanwhile: then the approval is kept and the author must rebase.
+        """
+        cs, evidence = self._undecided(hash_)
+        if record.get("kind") != "decision-record":
+            raise GraphError(f"not a decision record: {record.get('kind')!r}")
+        if record.get("subject") != hash_:
+            raise GraphError(f"the record decides on {record.get('subject')!r}")
+        if record.get("verdict") not in ("approve", "reject"):
+            raise GraphError(f"unknown verdict {record.get('verdict')!r}")
+        if not any(str(d.get("signature") or "").startswith("sig:ed25519:") for d in record.get("deciders") or []):
+            raise GraphError("the record has no decider's signature")
         evidence["decisions"].append(record)
-        if verdict == "reject":
-            self._drop(hash_)
+        if record["verdict"] == "reject":
+            self._close(cs, evidence)
             return Outcome("rejected", hash_)
+        state = saved(self.state(), "state")
         who = self.principal(state, cs["author"]["principal"])
+        if not who:
+            raise GraphError(f"unknown principal {cs['author']['principal']}")
         out = self._satisfy(state, cs, self._evaluate(state, cs, who["kind"]), evidence)
-        if out.unmet:
-            self.store.write(f"proposals/{hash_}.evidence.yaml", log.dump_yaml(evidence))
-            out.status = "unmet"
-            return out
-        self._accept(cs)
-        self.append(cs, evidence)
-        self._drop(hash_)
-        out.status = "admitted"
+        out.status = "unmet" if out.unmet else "stale" if (cs.get("parents") or [None])[0] != self.head() else "admitted"
+        if out.status == "admitted":
+            self._accept(cs)
+            try:
+                self.append(cs, evidence)
+                self._remove("proposals", hash_)
+                return out
+            except Conflict:
+                out.status = "stale"
+        self.store.write(f"proposals/{hash_}.evidence.yaml", log.dump_yaml(evidence))
+        if out.status == "stale":
+            out.unmet.append("the log has moved on: the author must rebase the proposal")
+        return out
+
+    def rebase(self, hash_: str, author: str, seed: bytes, envelopes=None) -> Outcome:
+        """Submits a proposal's operations again on the head, signed anew by its author; the old one is closed and names what replaces it.
+
+        Decisions name a hash, so they are made again for the new one.
+        """
+        cs, evidence = self._undecided(hash_)
+        if cs["author"]["principal"] != f"principal:{author}":
+            raise GraphError(f"{hash_} is by {cs['author']['principal']}")
+        if (cs.get("parents") or [None])[0] == self.head():
+            raise GraphError("nothing to rebase onto")
+        out = self.submit(self.build(author, seed, cs.get("intent"), cs["operations"]), envelopes)
+        self._close(cs, evidence | {"replaced_by": out.hash})
         return out
 
-    def _drop(self, hash_: str) -> None:
-        self.store.remove(f"proposals/{hash_}.yaml")
-        self.store.remove(f"proposals/{hash_}.evidence.yaml")
+    def _close(self, cs: dict, evidence: dict) -> None:
+        self.store.write(f"closed/{cs['hash']}.evidence.yaml", log.dump_yaml(evidence))
+        self.store.write(f"closed/{cs['hash']}.yaml", log.dump_yaml(cs))
+        self._remove("proposals", cs["hash"])
 
     def checkpoint(self, by: str, seed: bytes) -> dict:
         """A signed state hash of the head.  Its entries are proven by it, so they aren't listed; entries() has them as rows."""

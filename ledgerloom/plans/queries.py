@@ -617,4 +617,4 @@ def author_key_asof(spark, sf_dir):
     return fold.asof_join(left, right, "user_id", "seq", "k", "key_seq")
 
 
-from . import audit_queries  # noqa: E402, F401  (adds its own)
+from . import audit_queries, history_queries  # noqa: E402, F401  (add their own)

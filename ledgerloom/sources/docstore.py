@@ -8,7 +8,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
-LAYOUT = {"graph": "graph.yaml", "head": "HEAD", "changesets": "changesets", "proposals": "proposals", "checkpoints": "checkpoints"}
+LAYOUT = {"graph": "graph.yaml", "head": "HEAD", "changesets": "changesets", "proposals": "proposals", "closed": "closed", "staged": "staged", "checkpoints": "checkpoints"}
 
 
 class DocStore(Protocol):

@@ -164,3 +164,85 @@ def test_schema_round_trip(graph):
     assert graph.commit("anna", ANNA, "schema", E.schema_ops([late])).status == "admitted"
     assert graph.commit("anna", ANNA, "use", [E.create_node("t", "extra/Thing", {})]).status == "admitted"
     assert all(r.integrity == "verified" for r in graph.verify().collect())
+
+
+def test_decisions_stay(graph):
+    one, two, three = (graph.commit("bot", BOT, f"n{i}", [note(f"n{i}")]) for i in range(3))
+    assert {graph.proposal(x.hash)[2] for x in (one, two, three)} == {"pending"}
+    assert graph.decide(one.hash, "anna", ANNA, "reject").status == "rejected"
+    cs, evidence, status = graph.proposal(one.hash)
+    assert status == "rejected" and cs["hash"] == one.hash and graph.closed() == [one.hash] and one.hash not in graph.proposals()
+    assert [d["verdict"] for d in evidence["decisions"]] == ["reject"] and evidence["decisions"][0]["deciders"][0]["principal"] == "principal:anna"
+    with pytest.raises(E.AlreadyDecided):
+        graph.decide(one.hash, "anna", ANNA)
+    with pytest.raises(E.AlreadyDecided):
+        graph.decision(one.hash, "approve")
+    with pytest.raises(E.GraphError, match="no proposal"):
+        graph.decide("sha256:0", "anna", ANNA)
+
+    record, message = graph.decision(two.hash, "approve")  # signed elsewhere
+    for bad in (record | {"kind": "note"}, record | {"subject": three.hash}, record | {"verdict": "maybe"}, record, record | {"deciders": [{"principal": "principal:anna", "signature": "none"}]}):
+        with pytest.raises(E.GraphError):
+            graph.decide_with(two.hash, bad)
+    out = graph.decide_with(two.hash, record | {"deciders": [{"principal": "principal:anna", "signature": sign.sign(ANNA, message)}]})
+    assert out.status == "unmet" and out.unmet and graph.evidence(two.hash, "proposals")["decisions"]
+
+
+def test_two_held_proposals(graph):
+    def preference(k):
+        return [E.create_node(f"p{k}", "memory/Preference", {"content": "tea"}), E.create_edge(f"e{k}", "memory/about@1", f"node:p{k}", "node:anna")]
+
+    one, two = (graph.commit("bot", BOT, f"p{k}", preference(k)) for k in range(2))
+    assert graph.decide(one.hash, "anna", ANNA).status == "admitted"
+    with pytest.raises(E.AlreadyDecided):
+        graph.decide(one.hash, "anna", ANNA)
+    files = graph.store.list("changesets")
+    out = graph.decide(two.hash, "anna", ANNA)
+    assert out.status == "stale" and graph.proposal(two.hash)[2] == "stale"
+    assert graph.store.list("changesets") == files and not graph.store.list("staged")  # nothing that is on no chain
+    assert [d["verdict"] for d in graph.evidence(two.hash, "proposals")["decisions"]] == ["approve"]
+    with pytest.raises(E.GraphError, match="is by"):
+        graph.rebase(two.hash, "anna", ANNA)
+    again = graph.rebase(two.hash, "bot", BOT)
+    assert again.status == "held" and graph.proposal(two.hash)[1]["replaced_by"] == again.hash and graph.proposal(two.hash)[2] == "replaced"
+    with pytest.raises(E.GraphError, match="nothing to rebase"):
+        graph.rebase(again.hash, "bot", BOT)
+    assert graph.decide(again.hash, "anna", ANNA).status == "admitted" and graph.head() == again.hash and not graph.proposals()
+
+
+def test_a_lost_claim_leaves_nothing_and_a_stopped_one_is_finished(graph):
+    head, before = graph.head(), graph.store.dump()
+    one, two = (graph.build("anna", ANNA, f"n{k}", [note(f"n{k}")]) for k in range(2))
+    graph.append(one, {"decisions": [], "envelopes": []})
+    with pytest.raises(E.Conflict):
+        graph.append(two, {"decisions": [], "envelopes": []})
+    assert not graph.store.list("staged") and graph.changeset(two["hash"]) is None
+    graph.append(one, {"decisions": [], "envelopes": []})  # the same again is no conflict
+    for path, text in before.items():
+        graph.store.write(path, text)
+    assert graph.store.read("HEAD").strip() == head and graph.head() == one["hash"]
+    for tail in ("", ".evidence"):  # stopped after the claim
+        graph.store.write(f"staged/{one['hash']}{tail}.yaml", graph.store.read(f"changesets/{one['hash']}{tail}.yaml"))
+        graph.store.remove(f"changesets/{one['hash']}{tail}.yaml")
+    assert graph.head() == one["hash"] and graph.changeset(one["hash"])["hash"] == one["hash"] and not graph.store.list("staged")
+
+
+def test_jobs_of_an_audit_don_t_grow_with_the_log(graph, spark):
+    from ledgerloom.plans import audit
+
+    def jobs(group):
+        tracker = spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup(group, group)
+        assert all((r.integrity, r.authorship, r.governance) == ("verified",) * 3 for r in audit.report(graph).collect())
+        n = len(tracker.getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return n
+
+    def grow(lo, hi):
+        for k in range(lo, hi):
+            graph.append(graph.build("anna", ANNA, f"n{k}", [note(f"m{k}")]), {"decisions": [], "envelopes": []})
+
+    grow(0, 1)
+    few = jobs("short")
+    grow(1, 6)
+    assert jobs("long") <= few + 10  # a doubling of the chain takes a join more
