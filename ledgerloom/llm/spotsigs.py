@@ -58,8 +58,8 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> D
 
 
 def fingerprint(signatures: str) -> Column:
-    """32 hex digits of a set of signatures."""
-    return F.lower(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(i), F.col(signatures))), 16, "0") for i in (0, 1))))
+    """A set of signatures as text: 16 hex digits each, in order, joined by commas; what two of them share tells their likeness."""
+    return F.array_join(F.transform(F.col(signatures), lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), ",")
 
 
 def jaccard(a: str, b: str) -> Column:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 MIN_REVISIT = 1000
 #: The dictionary is trained on so many payloads at most, each cut to so many bytes, and has at most so many bytes.
 DICT_ROWS, DICT_CUT, DICT_BYTES = 400, 16_384, 32_768
+#: Bytes after which an archive is closed.
+ROLL = 1 << 25
 LEVEL = 3
 DATE = "2026-01-01T00:00:00Z"
 
@@ -60,13 +63,13 @@ def dictionary_frame(data: bytes) -> bytes:
     return struct.pack("<II", DICTIONARY, len(data)) + data
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, kind: str, digest: str, refers_to: int | None, full: int) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, kind: str, digest: str, refers_to: int | None, full: int, place: str = "") -> bytes:
     """A record's bytes.  A revisit has no block; its digest and X-Payload-Length speak of the full payload."""
     block = HTTP_HEAD + payload if kind == "response" else b""
     sha = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
     head = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", _name(page_id)),
+        ("WARC-Record-ID", _name(page_id, place)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", "".join(c for c in url or "" if c >= " ")),
         ("WARC-Payload-Digest", sha),
@@ -80,13 +83,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, dige
     return VERSION + b"\r\n" + lines.encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def _name(page_id: int | None) -> str:
-    return "<urn:page:none>" if page_id is None else f"<urn:page:{page_id}>"
+def _name(page_id: int | None, place: str = "") -> str:
+    """A record's name: its page, and its place in the write unless it is what revisits refer to."""
+    return f"<urn:page:{'none' if page_id is None else page_id}{':' if place else ''}{place}>"
 
 
 def _page(name: str | None) -> int | None:
     """The page that a record of this module's archives is named after; null for any other name."""
-    found = re.fullmatch(r"<urn:page:(-?[0-9]+)>", name or "")
+    found = re.fullmatch(r"<urn:page:(-?[0-9]+)(:[0-9]+-[0-9]+)?>", name or "")
     return int(found[1]) if found else None
 
 
@@ -224,7 +228,7 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def decide(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(page_id, url, payload, digest, kind, refers_to) for each row of pages.
+    """(page_id, url, payload, digest, kind, refers_to, named) for each row of pages; named tells what revisits refer to.
 
     Of equal payloads of MIN_REVISIT bytes or more the one with the largest
     page_id is the response; rows without page_id come after all others, and
@@ -243,35 +247,39 @@ def decide(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html",
     heads = cut(heads.select(F.col("digest").alias("key"), "head"), "heads")
     keyed = base.withColumn("key", F.when(big, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
     kind = F.when(F.col("head").isNull() | F.col("page_id").eqNullSafe(F.col("head")), "response").otherwise("revisit")
-    out = keyed.join(heads, "key", "left").withColumn("kind", kind)
+    out = keyed.join(heads, "key", "left").withColumn("kind", kind).withColumn("named", F.col("page_id").eqNullSafe(F.col("head")) & F.col("head").isNotNull())
     return out.withColumn("refers_to", F.when(F.col("kind") == "revisit", F.col("head"))).drop("key", "head")
 
 
-def write(decided: DataFrame, path: str, dictionary: bytes) -> None:
-    """Writes an archive for each partition of decide()'s rows."""
+def write(decided: DataFrame, path: str, dictionary: bytes, roll: int = ROLL) -> None:
+    """Writes archives of decide()'s rows, each a file that begins with the dictionary and ends with the record that brings it to ``roll`` bytes.
+
+    However the rows are dealt out, no archive is longer than that and a record,
+    so a payload with very many copies fills many archives.  Records are named
+    after their page and, but for what revisits refer to, their place, so only
+    rows that agree in id and payload may share a name.
+    """
     shared = decided.sparkSession.sparkContext.broadcast(dictionary)
 
     def run(batches):
-        known = shared.value
+        known, task, n = shared.value, TaskContext.get().partitionId(), 0
         kwargs = {"dict_data": zstandard.ZstdCompressionDict(known)} if known else {}
         compress = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, write_checksum=True, **kwargs).compress
-        first = True
+        frames, size = [dictionary_frame(known)], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            frames = [dictionary_frame(known)] if first else []
-            first = False
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                page_id, url, payload, digest, kind, refers_to = row
-                frames.append(compress(record(page_id, url, payload, kind, digest, refers_to, len(payload))))
-                if len(frames) >= 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
-                    frames = []
-            if frames:
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
-
-    rows = decided.select("page_id", "url", "payload", "digest", "kind", "refers_to")
-    rows.mapInArrow(run, "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", EMPTY_FRAME).text(path)
+            for at in range(0, batch.num_rows, 64):
+                for page_id, url, payload, digest, kind, refers_to, named in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+                    frames.append(compress(record(page_id, url, payload, kind, digest, refers_to, len(payload), "" if named else f"{task}-{n}")))
+                    n, size = n + 1, size + len(frames[-1])
+                    if size >= roll:
+                        yield pa.RecordBatch.from_arrays([pa.array([b"".join(frames)], pa.binary())], ["archive"])
+                        frames, size = [dictionary_frame(known)], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(frames)], pa.binary())], ["archive"])
+
+    rows = decided.select("page_id", "url", "payload", "digest", "kind", "refers_to", "named")
+    archives = rows.mapInArrow(run, "archive binary").select(F.col("archive").cast("string"))
+    archives.write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).text(path)  # a row is an archive
 
 
 SCHEMA = "record_id string, page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, refers_to_id string"
@@ -285,7 +293,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     bare lower-case hex, of the header where there is one that can be read, else
     the SHA-1 of the payload.  A revisit's payload_bytes are null if it doesn't
     say them; with_lengths() looks them up.  A task holds one archive, which
-    Spark can read up to 2 GB.
+    Spark can read up to 2 GB; those of write() are far smaller.
     """
 
     def run(batches):
@@ -352,8 +360,8 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
 
     Null html is an empty payload, repeated rows are records of their own, null
     ids stay null, an empty table gives no rows, and other columns are not
-    looked at.  A page of any size is one record; an archive holds one
-    partition of the table, which Spark's split size bounds.
+    looked at.  A page of any size is one record, and archives are closed
+    by their bytes (write()).
     """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")

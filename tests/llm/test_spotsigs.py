@@ -48,6 +48,7 @@ def check(spark, rows, df):
         assert r.near_edited == pytest.approx(edited) and r.near_next == pytest.approx(nxt)
         text = dict(rows)[i] or ""
         assert of_text.setdefault(text, r.fingerprint) == r.fingerprint
+        assert r.near_edited == pytest.approx(jaccard(*({*x.split(",")} for x in (r.fingerprint, r.edited_fingerprint))))  # it carries the likeness
     assert len(set(of_text.values())) == len({frozenset(signatures(t)) for t in of_text})
 
 

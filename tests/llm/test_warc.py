@@ -153,3 +153,20 @@ def test_sql(spark):
     want = sorted(db.execute(warc.ORACLE_SQL).fetchall(), key=repr)
     out = warc.query(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
     assert sorted(map(tuple, out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=repr) == want
+
+
+def test_archives_are_closed_by_their_bytes(spark, tmp_path):
+    """One payload copied 10,000 times, all dealt to one partition: many small archives, each with its dictionary, and every record has a name of its own."""
+    rows = [(i, f"http://x/{i}", "copy " * 300) for i in range(10_000)] + [(10_000 + i, None, f"page {i} " * 200) for i in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path, roll = str(tmp_path / "warc"), 20_000
+    warc.write(warc.decide(pages).coalesce(1), path, warc.train_dictionary(warc.training_rows(pages)), roll)
+    files = [f for f in (tmp_path / "warc").iterdir() if f.name.startswith("part-")]
+    assert len(files) > 20 and all(f.stat().st_size < roll + 40_000 for f in files)
+    found = warc.read(spark, path).cache()
+    assert found.count() == found.select("record_id").distinct().count() == len(rows)
+    assert found.where("record_type = 'revisit' and refers_to = 9999").count() == 9_999
+    heads = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"))
+    assert found.where("record_type = 'revisit'").join(heads, "refers_to_id", "left_anti").count() == 0
+    assert {r.page_id for r in found.collect()} == set(range(10_050))
+    found.unpersist()
