@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import saved
 from ..functions.text import bare_col
 from .catalog import reach
 from .fold import live, with_ref
@@ -60,7 +61,7 @@ def share_scope(state: DataFrame, terms: DataFrame, region: str) -> DataFrame:
     """(kind, id) that a share of a region discloses: its nodes, their classifications, edges with both ends among them, and the schema."""
     from ..functions.text import is_meta_col
 
-    nodes = in_region(state, terms, region)
+    nodes = saved(in_region(state, terms, region), "scope")  # read by four joins
     rows = with_ref(live(state))
     kept = rows.where("kind = 'node'").join(nodes, "ref", "left_semi")
     cls = rows.where("kind = 'classification'").join(nodes.withColumnRenamed("ref", "subject"), "subject", "left_semi")
@@ -68,8 +69,9 @@ def share_scope(state: DataFrame, terms: DataFrame, region: str) -> DataFrame:
     for side in ("from_ref", "to_ref"):
         edges = edges.join(nodes.withColumnRenamed("ref", side), side, "left_semi")
     meta = rows.where((F.col("kind") == "node") & is_meta_col(F.col("type")))
+    meta = meta.join(nodes, "ref", "left_anti")  # a state has a row for each object, so no part repeats another
     parts = [x.select("kind", "id") for x in (kept, cls, edges, meta)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).distinct()
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def outbound_links(state: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def package_ops(graph: E.Graph, docs: list[dict], policy: dict | None = None) ->
 
 
 def install_package(graph: E.Graph, keys: KeyBackend, by: str, docs: list[dict], policy: dict | None = None) -> E.Outcome:
-    return graph.commit(by, _seed(keys, by), f"Install schema package ({len(docs)} doc(s))", package_ops(graph, docs, policy))
+    return graph.commit(by, _seed(keys, by), f"schema of {len(docs)} documents", package_ops(graph, docs, policy))
 
 
 def principal_add(graph: E.Graph, keys: KeyBackend, name: str, kind: str, by: str) -> tuple[str, E.Outcome]:
@@ -82,7 +82,7 @@ def principal_add(graph: E.Graph, keys: KeyBackend, name: str, kind: str, by: st
     seed, id_ = secrets.token_bytes(32), _mint()
     keys.store(name, seed)
     attributes = {"display_name": name, "keys": [E.key_record(seed)], "status": "active"} | attributes
-    return id_, graph.commit(by, _seed(keys, by), f"Register {kind} {name}, by {by}", [E.create_node(id_, PRINCIPALS[kind], attributes)])
+    return id_, graph.commit(by, _seed(keys, by), f"{by} adds the {kind} {name}", [E.create_node(id_, PRINCIPALS[kind], attributes)])
 
 
 def _derived(agent: str, tool: str) -> dict:
@@ -93,7 +93,7 @@ def note(graph: E.Graph, keys: KeyBackend, agent: str, content: str, tool: str =
     """A note in the agent's scratch region."""
     id_ = _mint()
     ops = [E.create_node(id_, "memory/Note@1", {"content": content}, _derived(agent, tool)), E.classify(f"node:{id_}", "workspace/scratch@1", f"principal:{agent}", "model-assisted")]
-    return id_, graph.commit(agent, _seed(keys, agent), "Scratch note", ops)
+    return id_, graph.commit(agent, _seed(keys, agent), "a note", ops)
 
 
 def propose_preference(graph: E.Graph, keys: KeyBackend, agent: str, statement: str, strength: str, from_note: str | None = None, tool: str = "notes") -> tuple[str, E.Outcome]:
@@ -102,11 +102,11 @@ def propose_preference(graph: E.Graph, keys: KeyBackend, agent: str, statement:
     ops = [E.create_node(id_, "memory/Preference@1", {"statement": statement, "strength": strength}, _derived(agent, tool)), E.classify(f"node:{id_}", "work@1", f"principal:{agent}", "model-assisted")]
     if from_note:
         ops.append(E.create_edge(_mint(), "memory/relates_to@1", f"node:{id_}", f"node:{from_note}"))
-    return id_, graph.commit(agent, seed, f"Propose preference: {statement}", ops, lambda h: [graph.envelope(agent, seed, h)])
+    return id_, graph.commit(agent, seed, f"preference: {statement}", ops, lambda h: [graph.envelope(agent, seed, h)])
 
 
 def classify(graph: E.Graph, keys: KeyBackend, node: str, term: str, by: str, basis: str = "manual") -> E.Outcome:
-    return graph.commit(by, _seed(keys, by), f"Classify node:{node} as {term}", [E.classify(f"node:{node}", term, f"principal:{by}", basis)])
+    return graph.commit(by, _seed(keys, by), f"{term} for node:{node}", [E.classify(f"node:{node}", term, f"principal:{by}", basis)])
 
 
 # federation
@@ -114,20 +114,20 @@ def classify(graph: E.Graph, keys: KeyBackend, node: str, term: str, by: str, ba
 
 def peer_add(graph: E.Graph, keys: KeyBackend, name: str, graph_id: str, root_key: str, by: str) -> E.Outcome:
     attributes = {"graph_id": graph_id, "root_keys": [root_key], "trust_basis": "out-of-band"}
-    return graph.commit(by, _seed(keys, by), f"Register peer {name} ({graph_id[:12]})", [E.create_node(_mint(), "core/Peer@1", attributes)])
+    return graph.commit(by, _seed(keys, by), f"the graph {graph_id[:12]} becomes known as {name}", [E.create_node(_mint(), "core/Peer@1", attributes)])
 
 
 def grant(graph: E.Graph, keys: KeyBackend, audience: str, region: str, by: str) -> tuple[str, E.Outcome]:
     id_ = _mint()
     attributes = {"audience": audience, "scope": {"region": region}, "rights": ["state", "subscribe"]}
-    return id_, graph.commit(by, _seed(keys, by), f"Grant region {region} to {audience[:12]}", [E.create_node(id_, "core/Grant@1", attributes)])
+    return id_, graph.commit(by, _seed(keys, by), f"{audience[:12]} may read {region}", [E.create_node(id_, "core/Grant@1", attributes)])
 
 
 def revoke(graph: E.Graph, keys: KeyBackend, grant_id: str, by: str) -> E.Outcome:
     found = graph.object("node", grant_id)
     if not found:
-        raise E.GraphError("grant not found or already revoked")
-    return graph.commit(by, _seed(keys, by), f"Revoke grant {grant_id[:12]}", [E.delete("node", grant_id, found["rev"])])
+        raise E.GraphError(f"no live grant {grant_id}")
+    return graph.commit(by, _seed(keys, by), f"{grant_id[:12]} is taken back", [E.delete("node", grant_id, found["rev"])])
 
 
 def import_object(graph: E.Graph, keys: KeyBackend, head: dict, objects: DataFrame, id_: str, by: str) -> E.Outcome:
@@ -136,11 +136,11 @@ def import_object(graph: E.Graph, keys: KeyBackend, head: dict, objects: DataFra
     checked = exchange.verify_bundle(head, objects.where(F.col("id") == id_), known, graph.meta()["graph_id"], graph.namespace)
     row = checked.where("kind = 'node'").first()
     if row is None:
-        raise E.GraphError("import target not in bundle")
+        raise E.GraphError(f"the bundle does not hold {id_}")
     if not (row.rev_ok and row.proof_ok):
         raise ValueError("the object doesn't verify")
     origin = {"derived_from": [f"{graph.namespace}:{head['graph_id']}/{id_}@{row.rev}"], "derived_by": f"principal:{by}", "method": "deterministic", "tool": "import"}
-    return graph.commit(by, _seed(keys, by), f"Import {id_[:12]} from peer {head['graph_id'][:12]}", [{"create": json.loads(row.payload) | {"provenance": origin}}])
+    return graph.commit(by, _seed(keys, by), f"{id_[:12]} out of graph {head['graph_id'][:12]}", [{"create": json.loads(row.payload) | {"provenance": origin}}])
 
 
 # commits and pages
@@ -216,8 +216,8 @@ def import_commit(graph: E.Graph, keys: KeyBackend, repo: str, ref: str, by: str
     files = git.with_text(git.tree(graph.spark, repo, commit), repo)
     ops = commit_ops(saved(graph.state(), "state"), files, Path(repo).name, repo, by, commit)
     if not ops:
-        raise E.GraphError("nothing changed at this commit")
-    return graph.commit(by, _seed(keys, by), f"Derived from commit {commit[:12]} ({len(ops)} ops)", ops)
+        raise E.GraphError(f"{repo} at {commit[:12]} is indexed as it is")
+    return graph.commit(by, _seed(keys, by), f"index of {commit[:12]}: {len(ops)} changes", ops)
 
 
 def export_markdown(graph: E.Graph, out: DocStore, long_text: dict[str, str]) -> int:

@@ -58,10 +58,28 @@ def summary(changesets: DataFrame, ops: DataFrame) -> DataFrame:
     return changesets.join(n, "hash", "left").select("graph", "hash", short_col(F.col("hash")).alias("short"), "author", F.coalesce("n_ops", F.lit(0)).alias("n_ops"), "intent")
 
 
+#: Sequence numbers of a block of a long log's running counts.
+SPAN = 1 << 16
+
+
 def with_epochs(changesets: DataFrame, graph: list[str], seq: str) -> DataFrame:
-    """changesets with position and epoch: how many of them, up to each, changed the schema."""
-    w = Window.partitionBy(*graph).orderBy(seq)
-    return changesets.withColumn("position", F.row_number().over(w)).withColumn("epoch", F.sum(F.col("touches_meta").cast("long")).over(w))
+    """changesets with position and epoch: how many of them, up to each, there are, and how many changed the schema.
+
+    Blocks of SPAN sequence numbers are counted first, so that a long log is
+    never one window.
+    """
+    block, n, m = "__block", "__n", "__m"
+    rows = changesets.withColumn(block, F.floor(F.col(seq) / SPAN))
+    touched = F.col("touches_meta").cast("long")
+    per = rows.groupBy(*graph, block).agg(F.count("*").alias(n), F.coalesce(F.sum(touched), F.lit(0)).alias(m))
+    before = Window.partitionBy(*graph).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*graph, block, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in (n, m)))
+    per = per.withColumnsRenamed({c: f"__of_{c}" for c in [*graph, block]})
+    inside = Window.partitionBy(*graph, block).orderBy(seq)
+    rows = rows.withColumn("position", F.row_number().over(inside)).withColumn("epoch", F.coalesce(F.sum(touched).over(inside), F.lit(0)))
+    on = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in [*graph, block]]
+    out = rows.join(per, on).withColumn("position", F.col("position") + F.col(n)).withColumn("epoch", F.col("epoch") + F.col(m))
+    return out.select(*changesets.columns, "position", "epoch")
 
 
 def parse_yaml(text: str) -> list:
