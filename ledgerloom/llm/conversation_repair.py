@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .crc_sql import CRC
 
 #: Conversations of more rows, or more bytes of text, are read twice as a stream instead of being held whole.
 LONG_ROWS, LONG_BYTES = 1 << 16, 1 << 26
@@ -327,3 +328,38 @@ def repair(rows: DataFrame, long_rows: int = LONG_ROWS, long_bytes: int = LONG_B
 
 def query(conversations: DataFrame) -> DataFrame:
     return repair(damage(conversations))
+
+
+#: The same program, state by state: costs from the last row back, then the edits from the first row on.
+ORACLE_SQL = f"""
+with recursive raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as place from conversations),
+f as (select distinct place as f from raw), {CRC},
+h as (select raw.*, v % 20 as d from raw join crc on place = f),
+dam as (select conv_id, turn, case d when 4 then 'user' else role end as role, case d when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(case d when 3 then [0, 1] else [0] end) as again from h where d <> 0),
+o as (select *, row_number() over (partition by conv_id, role, text order by t) > 1 as seen from (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, again) as t, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as rest from dam)),
+e as (select conv_id, t, turn, role, text, case role[1] when 's' then 1 when 'u' then 2 when 'a' then 3 else 0 end as kind, rest = '' as blank, seen and rest <> '' as dup, rest = '' or seen as forced,
+  case when rest <> '' and right(rest, 1) not in ('.', '!', '?') then 3 else 0 end as more from o),
+size as (select conv_id, count(*) as n from e group by conv_id),
+back as (select conv_id, n + 1 as t, [0, 6, 3, 0] as b from size union all
+  select conv_id, t, [least(c[1], 3 + u), least(c[2], 3 + u), u, least(c[4], 3 + c[3])] from (select *, least(c[3], 3 + c[4]) as u from (
+    select e.conv_id, e.t, [least(4 + b[1], r + b[3], case kind when 1 then k + b[2] when 2 then k + b[3] else 99999999 end), least(4 + b[2], r + b[3], case kind when 2 then k + b[3] else 99999999 end),
+      least(4 + b[3], r + b[4], case kind when 3 then k + b[4] else 99999999 end), least(4 + b[4], r + b[3], case kind when 2 then k + b[3] else 99999999 end)] as c
+    from (select *, case when forced then 99999999 else more end as k, case when forced then 99999999 else 3 + more end as r from e) e join back on back.conv_id is not distinct from e.conv_id and e.t = back.t - 1))),
+walk as (select conv_id, 1::bigint as t, 0 as s, '' as audit, []::varchar[] as said from size union all
+  select conv_id, case x when 'I' then t else t + 1 end, case x when 'D' then s when 'K' then nxt else need end, audit || x,
+    case x when 'D' then said else list_append(said, case x when 'K' then role || ':' || text else case need when 2 then 'user:' else 'assistant:' end || case x when 'R' then text else '' end end) end
+  from (select *, case when here and cur = 4 + after[s + 1] then 'D' when cur = 3 + now[need + 1] then 'I' when here and not forced and nxt >= 0 and cur = more + after[nxt + 1] then 'K' else 'R' end as x from (
+    select w.conv_id, w.t, w.s, w.audit, w.said, now.b as now, now.b[w.s + 1] as cur, after.b as after, e.t is not null as here, e.role, e.text, e.forced, e.more,
+      case w.s when 2 then 3 else 2 end as need, case when e.kind = 1 and w.s = 0 then 1 when e.kind = 2 and w.s <> 2 then 2 when e.kind = 3 and w.s = 2 then 3 else -1 end as nxt
+    from walk w join back now on now.conv_id is not distinct from w.conv_id and now.t = w.t left join back after on after.conv_id is not distinct from w.conv_id and after.t = w.t + 1
+      left join e on e.conv_id is not distinct from w.conv_id and e.t = w.t) where here or cur > 0)),
+done as (select conv_id, arg_max(audit, length(audit)) as audit, arg_max(said, length(audit)) as said from walk group by conv_id),
+pair as (select *, lag(role[1]) over (partition by conv_id order by t) || role[1] as p from e),
+per as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (dup) as duplicate, count(*) filter (more > 0 and not forced) as truncated,
+  count(*) filter (p is not null and p not in ('su', 'ua', 'au')) as illegal from pair group by conv_id)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(back.b[1], 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(array_to_string(said, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join per on per.conv_id is not distinct from c.conv_id left join done on done.conv_id is not distinct from c.conv_id
+  left join back on back.conv_id is not distinct from c.conv_id and back.t = 1
+"""

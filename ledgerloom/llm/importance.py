@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, spread
+from .crc_sql import CRC
 from .ranges import running
 
 BUCKETS, LONGEST, SEED, LEAST_WORDS, PERCENT = 10_000, 3, 42, 20, 5
@@ -199,21 +200,11 @@ select id, unnest(w) as f from {0} union all
 select id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from {0} union all
 select id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from {0}"""
 
-#: CRC-32 is linear: the XOR of what each byte gives at its distance from the end, and of the first register moved over all bytes.
 ORACLE_SQL = f"""
 with recursive d as ({_TEXTS.format(id="doc_id", table="documents")}), b as ({_TEXTS.format(id="item_id", table="benchmark")}),
 dg as ({_GRAMS.format("d")}), bg as ({_GRAMS.format("b")}),
-f as (select f, hex(encode(f)) as x, octet_length(encode(f)) as n from (select f from dg union select f from bg)),
-bits as (select range as b, 0 as k, range::ubigint as v from range(256) union all
-  select b, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384::ubigint) else v >> 1 end from bits where k < 8),
-step as materialized (select b, v from bits where k = 8),
-far as (select b, 0 as dist, v from step union all
-  select far.b, far.dist + 1, xor(far.v >> 8, step.v) from far join step on step.b = far.v & 255 where far.dist < (select max(n) from f)),
-head as (select 0 as n, 4294967295::ubigint as v union all
-  select head.n + 1, xor(head.v >> 8, step.v) from head join step on step.b = head.v & 255 where head.n < (select max(n) from f)),
-byte as (select f, n, unnest(range(n)) as i, x from f),
-hashed as (select byte.f, xor(xor(bit_xor(far.v), any_value(head.v)), 4294967295::ubigint) % 10000 as bucket
-  from byte join far on far.dist = byte.n - 1 - byte.i and far.b = ('0x' || substr(x, (2 * i + 1)::int, 2))::int join head on head.n = byte.n group by byte.f),
+f as (select f from dg union select f from bg), {CRC},
+hashed as (select f, v % 10000 as bucket from crc),
 dh as (select id, bucket from dg join hashed using (f)), bh as (select bucket from bg join hashed using (f)),
 s as (select bucket, count(*) as s from dh group by bucket), t as (select bucket, count(*) as t from bh group by bucket),
 gain as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from dh) + 10000)::double / ((s + 1)::double * ((select count(*) from bh) + 10000)::double)))::bigint as g from s left join t using (bucket)),

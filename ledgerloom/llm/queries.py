@@ -79,4 +79,4 @@ QUERIES = {
     "op12_conversations": op12_conversations,
     "op13_bpe": op13_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL, "op3_url_filters": url_filter.ORACLE_SQL, "op11_importance": importance.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL, "op3_url_filters": url_filter.ORACLE_SQL, "op11_importance": importance.ORACLE_SQL, "op12_conversations": conversation_repair.ORACLE_SQL}

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from ledgerloom.llm import conversation_repair as cr
@@ -142,6 +143,9 @@ def test_equals_a_search_over_states(spark, monkeypatch, held):
     want = sorted((report(g, by_states) for g in grouped(rows)), key=key)
     df = frame(spark, rows)
     assert sorted(map(tuple, cr.query(df).collect()), key=key) == want
+    con = duckdb.connect()
+    conversations = df.select("conv_id", "turn", "role", "text").toArrow()  # noqa: F841  (DuckDB finds it by its name)
+    assert sorted(con.sql(cr.ORACLE_SQL).fetchall(), key=key) == want
     for n in (4, 25):  # the long ones as streams
         assert sorted(map(tuple, cr.repair(cr.damage(df), long_rows=n).collect()), key=key) == want
     assert sorted(map(tuple, cr.repair(cr.damage(df), long_bytes=30).collect()), key=key) == want
