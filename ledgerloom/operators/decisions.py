@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .fold import asof_join
 from .timeline import running
 
 
@@ -34,3 +35,24 @@ def outcomes(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
     had = first.join(at.select("subject", F.col("at").alias("__at"), "status"), "subject").where("status = 'pending' or seq <= __at").groupBy("subject").agg(F.count("*").alias("approvals"))
     out = at.join(late, "subject", "left").join(had, "subject", "left")
     return out.select("subject", "status", "at", F.coalesce("approvals", F.lit(0)).alias("approvals"), F.coalesce("late", F.lit(0)).alias("late"))
+
+
+def in_force(signed: DataFrame, windows: DataFrame) -> DataFrame:
+    """signed(key, seq, ...) with valid: whether the key was in force then, from windows(key, since, until), until excluded and null where open.
+
+    Windows of a key may overlap, repeat and be many: they are a running count
+    of those that are open, and each signature looks that up by one as-of join,
+    so no signature meets all windows of its key.  A window that ends before it
+    begins is none; a null key is never valid.
+    """
+    real = windows.where(F.col("key").isNotNull() & F.col("since").isNotNull() & (F.col("until").isNull() | (F.col("until") > F.col("since"))))
+    opened = real.select("key", F.col("since").cast("long").alias("seq"), F.lit(1).alias("n"))
+    closed = real.where("until is not null").select("key", F.col("until").cast("long").alias("seq"), F.lit(-1).alias("n"))
+    count = running(opened.unionByName(closed), "key")
+    found = asof_join(signed.withColumn("seq", F.col("seq").cast("long")), count, "key", "seq", "n", "__open")
+    return found.withColumn("valid", F.col("key").isNotNull() & (F.coalesce("__open", F.lit(0)) > 0)).drop("__open")
+
+
+def threshold(proposals: DataFrame, decisions: DataFrame, windows: DataFrame) -> DataFrame:
+    """outcomes() of proposals(subject, quorum) by those of decisions(subject, seq, principal, verdict, key) whose key was in force when they were made."""
+    return outcomes(proposals, in_force(decisions, windows).where("valid"))

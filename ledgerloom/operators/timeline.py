@@ -223,3 +223,23 @@ def principals(asked: DataFrame, found: DataFrame) -> DataFrame:
     first = here.groupBy("name", "at").agg(F.min_by(F.struct(F.col("v.k").alias("kind"), keys.alias("keys")), "id").alias("p"))
     first = first.select(F.col("name").alias("__n"), F.col("at").alias("__a"), F.col("p.kind").alias("principal_kind"), F.col("p.keys").alias("keys"))
     return asked.join(first, (F.col("name") == F.col("__n")) & (F.col("at").cast("long") == F.col("__a")), "left").drop("__n", "__a")
+
+
+def cardinality(ops: DataFrame, found: DataFrame, limits: DataFrame) -> DataFrame:
+    """(edge, side, ref, seq, n): where an end has more live edges than its type's cardinality allows, the first changeset after which it has, and how many.
+
+    ``limits(edge, cardinality)`` are one-to-one, one-to-many (a target has one
+    source), many-to-one (a source has one target) or many-to-many.  Counts run
+    over the ends of the edges' lives, so each revision is judged, not the last
+    state only.
+    """
+    sides = F.when(F.col("cardinality") == "one-to-one", F.array(F.lit("from_ref"), F.lit("to_ref")))
+    sides = sides.when(F.col("cardinality") == "many-to-one", F.array(F.lit("from_ref"))).when(F.col("cardinality") == "one-to-many", F.array(F.lit("to_ref")))
+    asked = limits.select("edge", F.explode(sides).alias("side"))
+    held = edge_intervals(ops, found, False).withColumn("edge", bare_col(F.col("type"))).join(F.broadcast(asked), "edge")  # a row or two for each edge type
+    held = held.withColumn("end", F.when(F.col("side") == "from_ref", F.col("from_ref")).otherwise(F.col("to_ref"))).where("end is not null")
+    key = F.concat_ws("\n", "edge", "side", "end")
+    deltas = held.select(key.alias("ref"), F.col("since").alias("seq"), F.lit(1).alias("n")).unionByName(held.where("until is not null").select(key.alias("ref"), F.col("until").alias("seq"), F.lit(-1).alias("n")))
+    first = running(deltas).where("n > 1").groupBy("ref").agg(F.min(F.struct("seq", "n")).alias("f"))
+    part = F.split("ref", "\n")
+    return first.select(part[0].alias("edge"), part[1].alias("side"), F.array_join(F.slice(part, 3, F.size(part)), "\n").alias("ref"), "f.seq", "f.n")

@@ -140,3 +140,32 @@ def _orders_log(spark, sf_dir):
     ends = o.withColumn("until", until).where("until is not null")
     ops = ops.unionByName(rows(ends, F.col("until"), 3, "delete", "edge", edge))
     return ops, timeline.versions(ops)
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey + 1 AS seq, o_custkey AS c, lead(o_orderkey + 1, 3) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS until FROM orders),"
+    " t AS (SELECT o.seq, o.c, count(*) AS n FROM o JOIN o x ON x.c = o.c AND x.seq <= o.seq AND (x.until IS NULL OR x.until > o.seq) GROUP BY ALL)"
+    " SELECT 'shop/placed' AS edge, 'to_ref' AS side, 'node:customer-' || c AS ref, min(seq) AS seq, arg_min(n, seq) AS n FROM t WHERE n > 1 GROUP BY c"
+)
+def cardinality_at_every_changeset(spark, sf_dir):
+    ops, found = _orders_log(spark, sf_dir)
+    return timeline.cardinality(ops, found, spark.createDataFrame([("shop/placed", "one-to-many")], "edge string, cardinality string"))
+
+
+# a supplier's key is in force for some days after each first line of an order that is theirs; other lines are approvals
+
+
+@query(
+    "WITH l AS (SELECT *, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS day FROM lineitem), w AS (SELECT l_suppkey AS k, day AS a, day + l_quantity::INTEGER AS b FROM l WHERE l_linenumber = 1),"
+    " d AS (SELECT l_orderkey AS subject, day AS seq, l_suppkey AS p, CASE WHEN l_returnflag = 'R' THEN 'reject' ELSE 'approve' END AS v FROM l WHERE l_linenumber > 1 AND EXISTS (SELECT 1 FROM w WHERE k = l_suppkey AND a <= day AND day < b)),"
+    " first AS (SELECT subject, p, min(seq) AS seq FROM d WHERE v = 'approve' GROUP BY 1, 2), counted AS (SELECT subject, seq, count(*) OVER (PARTITION BY subject ORDER BY seq) AS n FROM first),"
+    " q AS (SELECT o_orderkey AS subject, 1 + o_orderkey % 2 AS quorum FROM orders), m AS (SELECT subject, min(seq) AS met FROM counted JOIN q USING (subject) WHERE n >= quorum GROUP BY 1), r AS (SELECT subject, min(seq) AS no FROM d WHERE v = 'reject' GROUP BY 1)"
+    " SELECT subject, CASE WHEN met < coalesce(no, 999999) THEN 'admitted' WHEN no IS NOT NULL THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN met < coalesce(no, 999999) THEN met ELSE no END AS decided FROM q LEFT JOIN m USING (subject) LEFT JOIN r USING (subject)"
+)
+def threshold_decisions(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").withColumn("day", F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")).cast("long"))
+    windows = line.where("l_linenumber = 1").select(F.col("l_suppkey").alias("key"), F.col("day").alias("since"), (F.col("day") + F.col("l_quantity").cast("int")).alias("until"))
+    verdict = F.when(F.col("l_returnflag") == "R", "reject").otherwise("approve")
+    said = line.where("l_linenumber > 1").select(F.col("l_orderkey").alias("subject"), F.col("day").alias("seq"), F.col("l_suppkey").alias("principal"), verdict.alias("verdict"), F.col("l_suppkey").alias("key"))
+    proposals = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("subject"), (1 + F.col("o_orderkey") % 2).alias("quorum"))
+    return decisions.threshold(proposals, said, windows).select("subject", "status", F.col("at").alias("decided"))

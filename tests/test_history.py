@@ -162,3 +162,47 @@ def test_outcomes(spark, monkeypatch, span):
                 break
         assert (x.status, x.at) == (status, at), (x, mine)
         assert x.late == (0 if status == "pending" else sum(y[1] > (at or -1) for y in mine))
+
+
+@pytest.mark.parametrize("span", [1 << 16, 3])
+def test_keys_in_force(spark, monkeypatch, span):
+    monkeypatch.setattr(timeline.running, "__defaults__", ("ref", span))
+    r = random.Random(8)
+    windows = [(r.choice("abc"), r.choice([None, *range(20)]), r.choice([None, *range(25)])) for _ in range(40)] + [(None, 0, None)]
+    signed = [(r.choice(["a", "b", "c", "d", None]), r.randint(-1, 30), n) for n in range(120)]
+    got = decisions.in_force(spark.createDataFrame(signed, "key string, seq int, n int"), spark.createDataFrame(windows, "key string, since int, until int"))
+    for x in got.collect():
+        assert x.valid == any(k == x.key and a is not None and a <= x.seq and (b is None or x.seq < b) for k, a, b in windows if k is not None), x
+    assert got.count() == 120
+
+
+def test_cardinality(spark):
+    r, rows, live = random.Random(4), [], {}
+    for seq in range(1, 60):
+        for i in range(r.randint(0, 2)):
+            if live and r.random() < 0.4:
+                id_ = r.choice(list(live))
+                live.pop(id_)
+                rows.append((seq, i, "delete", "edge", id_, None, None, None))
+            else:
+                live[f"e{seq}-{i}"] = 1
+                rows.append((seq, i, "create", "edge", f"e{seq}-{i}", r.choice(["p/one@1", "p/many", "p/free"]), f"node:{r.choice('ab')}", f"node:{r.choice('xyz')}"))
+    ops = spark.createDataFrame(rows, "seq long, op_idx int, verb string, kind string, id string, type string, from_ref string, to_ref string")
+    limits = {"p/one": ("from_ref", "to_ref"), "p/many": ("from_ref",), "p/free": ()}
+    want, state = {}, {}
+    for seq in range(1, 60):
+        for x in rows:
+            if x[0] == seq:
+                state.pop(x[4], None) if x[2] == "delete" else state.update({x[4]: x})
+        count = {}
+        for x in state.values():
+            edge = x[5].split("@")[0]
+            for side in limits[edge]:
+                k = (edge, side, x[6] if side == "from_ref" else x[7])
+                count[k] = count.get(k, 0) + 1
+        for k, n in count.items():
+            if n > 1:
+                want.setdefault(k, (seq, n))
+    table = spark.createDataFrame([("p/one", "one-to-one"), ("p/many", "many-to-one"), ("p/free", "many-to-many")], "edge string, cardinality string")
+    got = {tuple(x)[:3]: tuple(x)[3:] for x in timeline.cardinality(ops, timeline.versions(ops), table).collect()}
+    assert got == want and len(want) > 3
