@@ -106,3 +106,24 @@ def resolve(refs: DataFrame, state: DataFrame, ref: str = "ref") -> DataFrame:
     split = refs.withColumn("kind", F.when(at > 0, F.substring(F.col(ref), F.lit(1), at - 1))).withColumn("id", F.when(at > 0, F.substring(F.col(ref), at + 1, F.length(ref))))
     known = live(state).select("kind", "id").distinct().withColumn("__live", F.lit(True))
     return split.join(known, ["kind", "id"], "left").withColumn("live", F.coalesce("__live", F.lit(False))).drop("__live")
+
+
+def stale(derived: DataFrame, changed: DataFrame) -> DataFrame:
+    """(ref, depth): objects of derived(ref, source, at) that must be derived again, and how many steps they are from what changed.
+
+    An object is stale if a source of it changed(ref, at) after the object was
+    derived, or if a source is stale itself.  Each round follows only what the
+    last one found, and an object is found once, so the work is that of what is
+    stale, and cycles end.  Rounds are as many as the deepest stale object has
+    steps, and each is saved.
+    """
+    links = derived.where("ref is not null and source is not null").select("ref", "source", "at")
+    late = changed.groupBy(F.col("ref").alias("source")).agg(F.max("at").alias("__then"))
+    front = saved(links.join(late, "source").where("__then > at").select("ref").distinct(), "stale")
+    found, depth = front.withColumn("depth", F.lit(1)), 1
+    while front.limit(1).count():
+        depth += 1
+        near = links.join(front.select(F.col("ref").alias("source")), "source", "left_semi").select("ref").distinct()
+        front = saved(near.join(found.select("ref"), "ref", "left_anti"), "stale")
+        found = found.unionByName(front.withColumn("depth", F.lit(depth)))
+    return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import dag, decisions, merkle, skipping, timeline
+from ..operators import dag, decisions, graph, merkle, skipping, timeline
 from . import lens
 from .audit_queries import _levels
 from .lens import EVENT_OPS, STATE, table
@@ -169,3 +169,19 @@ def threshold_decisions(spark, sf_dir):
     said = line.where("l_linenumber > 1").select(F.col("l_orderkey").alias("subject"), F.col("day").alias("seq"), F.col("l_suppkey").alias("principal"), verdict.alias("verdict"), F.col("l_suppkey").alias("key"))
     proposals = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("subject"), (1 + F.col("o_orderkey") % 2).alias("quorum"))
     return decisions.threshold(proposals, said, windows).select("subject", "status", F.col("at").alias("decided"))
+
+
+# an event is derived from that of half its number and, every third, from the thirteenth before; errors change later than they are numbered
+
+
+@query(
+    "WITH RECURSIVE dep AS (SELECT event_id AS d, event_id // 2 AS s FROM events WHERE event_id > 0 UNION ALL SELECT event_id, event_id - 13 FROM events WHERE event_id % 3 = 0 AND event_id >= 13),"
+    " steps(d, n) AS (SELECT d, 1 FROM dep JOIN events ON event_id = s WHERE event_type = 'error' AND event_id % 4 = 1 AND 3 * s > d UNION SELECT dep.d, n + 1 FROM steps JOIN dep ON dep.s = steps.d WHERE n < 64)"
+    " SELECT d AS ref, min(n)::INTEGER AS depth FROM steps GROUP BY d"
+)
+def stale_derivations(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    half = e.where("event_id > 0").select(F.col("event_id").alias("ref"), F.floor(F.col("event_id") / 2).alias("source"), F.col("event_id").alias("at"))
+    back = e.where("event_id % 3 = 0 and event_id >= 13").select(F.col("event_id").alias("ref"), (F.col("event_id") - 13).alias("source"), F.col("event_id").alias("at"))
+    changed = e.where("event_type = 'error' and event_id % 4 = 1").select(F.col("event_id").alias("ref"), (F.col("event_id") * 3).alias("at"))
+    return graph.stale(half.unionByName(back), changed)

@@ -206,3 +206,22 @@ def test_cardinality(spark):
     table = spark.createDataFrame([("p/one", "one-to-one"), ("p/many", "many-to-one"), ("p/free", "many-to-many")], "edge string, cardinality string")
     got = {tuple(x)[:3]: tuple(x)[3:] for x in timeline.cardinality(ops, timeline.versions(ops), table).collect()}
     assert got == want and len(want) > 3
+
+
+def test_stale(spark):
+    from ledgerloom.operators import graph
+
+    r = random.Random(6)
+    derived = [(f"d{i}", f"d{r.randrange(60)}" if r.random() < 0.8 else None, r.randint(0, 50)) for i in range(60) for _ in range(r.randint(0, 2))] + [("a", "b", 1), ("b", "a", 1), ("b", "d0", 1)]
+    changed = [(f"d{r.randrange(60)}", r.randint(0, 40)) for _ in range(4)] + [("d0", 9), (None, 9)]
+    late = {}
+    for ref, at in changed:
+        late[ref] = max(at, late.get(ref, -1))
+    want = {d: 1 for d, s, at in derived if s is not None and late.get(s, -1) > at}
+    depth = 1
+    while new := {d for d, s, _ in derived if s is not None and want.get(s) == depth} - set(want):
+        depth += 1
+        want |= dict.fromkeys(new, depth)
+    got = graph.stale(spark.createDataFrame(derived, "ref string, source string, at int"), spark.createDataFrame(changed, "ref string, at int"))
+    assert {x.ref: x.depth for x in got.collect()} == want and max(want.values()) > 2 and {"a", "b"} <= set(want)
+    assert graph.stale(got.select("ref", "ref", F.lit(1)).toDF("ref", "source", "at").where("false"), spark.createDataFrame(changed, "ref string, at int")).count() == 0
