@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import dag, decisions, graph, merkle, skipping, timeline
+from ..operators import dag, decisions, elision, graph, merkle, skipping, timeline
 from . import lens
 from .audit_queries import _levels
 from .lens import EVENT_OPS, STATE, table
@@ -185,3 +185,28 @@ def stale_derivations(spark, sf_dir):
     back = e.where("event_id % 3 = 0 and event_id >= 13").select(F.col("event_id").alias("ref"), (F.col("event_id") - 13).alias("source"), F.col("event_id").alias("at"))
     changed = e.where("event_type = 'error' and event_id % 4 = 1").select(F.col("event_id").alias("ref"), (F.col("event_id") * 3).alias("at"))
     return graph.stale(half.unionByName(back), changed)
+
+
+# withheld operations: a changeset is ten events, of which every fourth is only a leaf
+
+
+@query(
+    "WITH l0 AS (SELECT event_id // 10 AS g, event_id % 10 AS n, 'sha256:' || sha256(event_id::VARCHAR) AS leaf FROM events), "
+    + ", ".join(f"l{k + 1} AS (SELECT a.g, a.n // 2 AS n, CASE WHEN b.n IS NULL THEN a.leaf ELSE 'sha256:' || sha256('graph:op-node:'::BLOB || unhex(a.leaf[8:]) || unhex(b.leaf[8:])) END AS leaf FROM l{k} a LEFT JOIN l{k} b ON b.g = a.g AND b.n = a.n + 1 WHERE a.n % 2 = 0)" for k in range(4))
+    + " SELECT l4.g::VARCHAR AS hash, leaf AS root, (SELECT count(*) FROM events WHERE event_id // 10 = l4.g AND event_id % 4 = 0) AS withheld FROM l4"
+)
+def elided_roots(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    ops = e.select(F.floor(F.col("event_id") / 10).cast("string").alias("hash"), (F.col("event_id") % 10).alias("op_idx"), F.concat(F.lit("sha256:"), F.sha2(F.col("event_id").cast("string"), 256)).alias("leaf"), "event_id", F.col("event_type").alias("verb"))
+    held = elision.elide(ops, F.col("event_id") % 4 != 0)
+    return elision.roots(held).join(held.groupBy("hash").agg(F.sum(F.col("hidden").cast("long")).alias("withheld")), "hash")
+
+
+@query(
+    f"WITH {EVENT_OPS}, t AS (SELECT *, seq % 50 = 7 AND seq <= 600 AS hidden FROM ops), h AS (SELECT max(seq) FILTER (hidden) AS h FROM t),"
+    " p AS (SELECT kind, id, max(seq) FILTER (verb <> 'delete') AS w, max(seq) FILTER (verb = 'delete') AS d, arg_max(rev, seq) FILTER (verb <> 'delete') AS rev FROM t WHERE NOT hidden GROUP BY ALL)"
+    " SELECT kind, id, CASE WHEN d IS NULL THEN rev END AS rev, CASE WHEN d IS NOT NULL THEN 'gone' WHEN h IS NULL OR w > h THEN 'known' ELSE 'unknown' END AS status, coalesce(d, w) AS at_seq FROM p, h"
+)
+def elided_state(spark, sf_dir):
+    ops = lens.event_ops(spark, sf_dir)
+    return elision.known_state(elision.elide(ops, ~((F.col("seq") % 50 == 7) & (F.col("seq") <= 600)))).withColumnRenamed("at", "at_seq")

@@ -225,3 +225,47 @@ def test_stale(spark):
     got = graph.stale(spark.createDataFrame(derived, "ref string, source string, at int"), spark.createDataFrame(changed, "ref string, at int"))
     assert {x.ref: x.depth for x in got.collect()} == want and max(want.values()) > 2 and {"a", "b"} <= set(want)
     assert graph.stale(got.select("ref", "ref", F.lit(1)).toDF("ref", "source", "at").where("false"), spark.createDataFrame(changed, "ref string, at int")).count() == 0
+
+
+def test_elided_logs(spark):
+    from ledgerloom.operators import elision, fold
+
+    r, rows, live = random.Random(12), [], {}
+    for seq in range(1, 40):
+        for i in range(r.randint(1, 5)):
+            id_ = r.choice(list(live)) if live and r.random() < 0.6 else f"k{seq}-{i}"
+            verb = "create" if id_ not in live else "delete" if r.random() < 0.2 else "update"
+            rev = f"sha256:{seq:032}{i:032}"
+            rows.append((f"h{seq}", seq, i, rev, verb, "node", id_, live.get(id_), rev if verb != "delete" else None))
+            live[id_] = rev
+            if verb == "delete":
+                live.pop(id_)
+    schema = "hash string, seq long, op_idx int, leaf string, verb string, kind string, id string, prior string, rev string"
+    ops = spark.createDataFrame(rows, schema)
+    shown = {x[:3] for x in rows if r.random() < 0.8 and x[1] < 30 or x[1] >= 34 or x[1] == 5}
+    key = F.concat_ws("/", "hash", "op_idx")
+    held = elision.elide(ops, key.isin([f"{h}/{i}" for h, _, i in shown])).cache()
+    assert held.where("hidden and (id is not null or verb is not null or rev is not null)").count() == 0
+    want = {}
+    for x in rows:
+        want.setdefault(x[0], []).append(x[3])
+    assert {x.hash: x.root for x in elision.roots(held).collect()} == {h: canon.merkle_root(v, "op-node") for h, v in want.items()}
+
+    whole = {x.id: (x.rev, x.deleted) for x in fold.latest_state(ops).collect()}
+    last_hidden = max((x[1], x[2]) for x in rows if x[:3] not in shown)
+    told = elision.known_state(held).collect()
+    assert {x.id for x in told} == {x[6] for x in rows if x[:3] in shown} and {x.status for x in told} == {"known", "unknown", "gone"}
+    for x in told:
+        mine = [y for y in rows if y[:3] in shown and y[6] == x.id]
+        if x.status == "known":  # and so it is in the whole log
+            assert whole[x.id] == (x.rev, False) and (mine[-1][1], mine[-1][2]) > last_hidden
+        elif x.status == "gone":
+            assert whole[x.id][1] and any(y[4] == "delete" for y in mine)
+        else:
+            assert (mine[-1][1], mine[-1][2]) < last_hidden and x.rev == mine[-1][8]
+
+    assert elision.impossible(held).count() == 0  # what is withheld explains every gap
+    lied = ops.withColumn("prior", F.when(F.col("seq") == 37, "sha256:0").otherwise(F.col("prior")))
+    bad = elision.impossible(elision.elide(lied, F.lit(True)))
+    assert {(x.seq, x.op_idx) for x in bad.collect()} == {(x[1], x[2]) for x in rows if x[1] == 37 and x[4] != "create"} != set()
+    assert elision.impossible(elision.elide(lied, F.col("seq") != 36)).count() <= bad.count()
