@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import dag, decisions, elision, graph, merkle, skipping, timeline
+from ..operators import dag, decisions, elision, graph, merkle, migration, skipping, timeline
 from . import lens
 from .audit_queries import _levels
 from .lens import EVENT_OPS, STATE, table
@@ -210,3 +210,26 @@ def elided_roots(spark, sf_dir):
 def elided_state(spark, sf_dir):
     ops = lens.event_ops(spark, sf_dir)
     return elision.known_state(elision.elide(ops, ~((F.col("seq") % 50 == 7) & (F.col("seq") <= 600)))).withColumnRenamed("at", "at_seq")
+
+
+# customers of four schema versions, read at the last
+
+
+_MIGRATIONS = [
+    {"type": "crm/Customer", "from": 1, "rename": {"name": "label"}},
+    {"type": "crm/Customer", "from": 2, "split": {"attr": "segment", "values": {"BUILDING": "crm/Builder", "MACHINERY": "crm/Maker"}, "otherwise": "crm/Client"}},
+    {"type": "crm/Builder", "from": 3, "rename": {"label": "title", "segment": "line"}},
+]
+
+
+@query(
+    "WITH c AS (SELECT *, c_custkey % 4 + 1 AS v, CASE WHEN c_custkey % 4 > 1 THEN 'Customer' WHEN c_mktsegment = 'BUILDING' THEN 'Builder' WHEN c_mktsegment = 'MACHINERY' THEN 'Maker' ELSE 'Client' END AS t FROM customer)"
+    " SELECT c_custkey AS id, 'crm/' || t || '@4' AS type, 4 AS version,"
+    " '{\"' || CASE WHEN t = 'Builder' THEN 'title' ELSE 'label' END || '\":\"' || c_name || '\",\"' || CASE WHEN t = 'Builder' THEN 'line' ELSE 'segment' END || '\":\"' || c_mktsegment || '\"}' AS attributes FROM c"
+)
+def migrated_view(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    version = (F.col("c_custkey") % 4 + 1).cast("int")
+    named = F.when(version >= 2, F.to_json(F.struct(F.col("c_name").alias("label"), F.col("c_mktsegment").alias("segment")))).otherwise(F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))))
+    nodes = c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("crm/Customer@"), version.cast("string")).alias("type"), version.alias("version"), named.alias("attributes"))
+    return migration.view(nodes, _MIGRATIONS, 4)
