@@ -12,7 +12,7 @@ TOKENIZERS = "/opt/tokenizers"
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, path: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
-    return sentencepiece_wfst.encode(table(spark, sf_dir, "documents"), sentencepiece_wfst.read_model(path))
+    return sentencepiece_wfst.encode(table(spark, sf_dir, "documents"), sentencepiece_wfst.read_model(path), kept=400_000)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,10 +43,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNK_PENALTY = 10.0
-#: Texts between cuts whose paths a task keeps; beyond it the memory is emptied.
+#: Texts between cuts whose paths a task keeps (some 200 bytes each), and two thirds more pairs of pieces whose verdict it keeps; beyond it the memory is emptied.
 KEPT = 150_000
-#: Pairs of pieces whose verdict a task keeps.
-KEPT_PAIRS = 250_000
 
 
 def _fields(data: bytes):
@@ -162,7 +160,7 @@ class Transducer:
     START, FALLBACK = -2, -1
 
     def __init__(self, model: Model, kept: int = KEPT):
-        self.model, self.kept = model, kept
+        self.model, self.kept, self.kept_pairs = model, kept, 5 * kept // 3
         if model.type not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are transducers of this kind")
         self.bpe = model.type == BPE
@@ -270,7 +268,7 @@ class Transducer:
         if ok is None:
             text = self.model.pieces
             both = [text[state], text[piece]] if state >= 0 else [text[piece]]
-            if len(self.pairs) >= KEPT_PAIRS:
+            if len(self.pairs) >= self.kept_pairs:
                 self.pairs.clear()
             ok = self.pairs[key] = self.merged("".join(both)) == both
         return ok
@@ -401,17 +399,19 @@ class Transducer:
 _BUILT: dict[int, Transducer] = {}
 
 
-def _built(data: bytes) -> Transducer:
+def _built(data: bytes, kept: int = KEPT) -> Transducer:
     """One compiled model for each worker process."""
     key = hash(data)
     if key not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = Transducer(Model.parse(data))
-    return _BUILT[key]
+    t = _BUILT[key]
+    t.kept, t.kept_pairs = kept, 5 * kept // 3
+    return t
 
 
-def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, n_tokens, n_byte_tokens, round_trip) for each row of docs.
+def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
+    """(doc_id, ids, n_tokens, n_byte_tokens, round_trip) for each row of docs; ``kept`` trades a task's memory for time.
 
     round_trip tells whether decoding ids gives the normalised text.  A null or
     empty text has no ids; ids, nulls and repeated rows stay as they are, an
@@ -421,7 +421,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        t = _built(shared.value)
+        t = _built(shared.value, kept)
         for part in sliced(batches, 256):
             found, same = [], []
             for text in part.column(1).to_pylist():
