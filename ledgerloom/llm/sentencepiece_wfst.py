@@ -441,7 +441,11 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
 
 def decode(tokens: DataFrame, model: bytes, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """tokens with the text of its ids added; null ids give null, ids out of range are unknown pieces."""
+    """tokens with the text of its ids added; null ids give null, ids out of range are unknown pieces.
+
+    Empty ids give an empty text, repeated rows stay repeated, an empty table
+    gives no rows, and a column that is called like ``out_col`` gives way to it.
+    """
     shared = tokens.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")

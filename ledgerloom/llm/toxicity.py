@@ -214,7 +214,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
-    """docs without the rows that the model rejects; all columns stay."""
+    """docs without the rows that the model rejects; all columns stay, whatever their names.
+
+    A null or empty text has no features and is judged by the thresholds alone;
+    repeated rows share a verdict, an empty table gives no rows, and a very long
+    text is counted once, like any other.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
