@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -56,20 +58,22 @@ def absence(level: DataFrame, asked: DataFrame, root_hash: str, by: list[str], d
     paths lead to the root and the two leaves touch: below the node where their
     paths meet, the first takes only right turns and the second only left ones,
     and above it they agree.  At an end of the order one path is enough, the
-    outermost.  All in expressions, over paths(); an empty table proves nothing.
+    outermost.  An empty table proves nothing.  Keys that stand between the same
+    leaves share one proof, and only leaves at such a gap have their paths built.
     """
     size = level.count()
     found = neighbours(level, asked, by)
     found = found.select(*by, "present", F.when(F.col("n") > 0, F.col("n") - 1).alias("before"), F.when(F.col("n") < size, F.col("n")).alias("after"))
-    proofs = saved(check_paths(paths(level.select("idx", "leaf"), domain, namespace), root_hash, domain, namespace), "proofs")
+    found = saved(found, "asked")
+    gaps = saved(found.where("not present").select("before", "after").distinct(), "gaps")
+    near = gaps.select(F.explode(F.array("before", "after")).alias("idx")).where("idx is not null").distinct()
+    proofs = _raw_paths(level.select(F.col("idx").cast("long").alias("idx"), _raw("leaf").alias("leaf")), domain, namespace, BLOCK, near)
+    proofs = saved(proofs.withColumn("ok", _fold("leaf", F.col("proof"), domain, namespace) == _raw(F.lit(root_hash))), "proofs")
 
     def side(name: str) -> DataFrame:
         return proofs.select(F.col("idx").alias(name), F.struct("leaf", "proof", "ok").alias(f"{name}_p"))
 
-    both = found.join(side("before"), "before", "left").join(side("after"), "after", "left")
-
-    def fold_to(leaf, steps):
-        return F.aggregate(steps, leaf, lambda acc, x: F.when(x["left"], canon.node_col(x["sibling"], acc, domain, namespace)).otherwise(canon.node_col(acc, x["sibling"], domain, namespace)))
+    both = gaps.join(side("before"), "before", "left").join(side("after"), "after", "left")
 
     a, b = F.col("before_p.proof"), F.col("after_p.proof")
     i = F.array_position(F.transform(a, lambda x: x["left"]), False)  # from 1; 0 if there is none
@@ -79,8 +83,8 @@ def absence(level: DataFrame, asked: DataFrame, root_hash: str, by: list[str], d
     meet = (
         (i > 0)
         & (j > 0)
-        & (F.get(a, i - 1)["sibling"] == fold_to(F.col("after_p.leaf"), F.slice(b, F.lit(1), F.greatest(j - 1, F.lit(0)))))
-        & (F.get(b, j - 1)["sibling"] == fold_to(F.col("before_p.leaf"), F.slice(a, F.lit(1), F.greatest(i - 1, F.lit(0)))))
+        & (F.get(a, i - 1)["sibling"] == _fold("after_p.leaf", F.slice(b, F.lit(1), F.greatest(j - 1, F.lit(0))), domain, namespace))
+        & (F.get(b, j - 1)["sibling"] == _fold("before_p.leaf", F.slice(a, F.lit(1), F.greatest(i - 1, F.lit(0))), domain, namespace))
         & (F.slice(a, F.greatest(i, F.lit(0)) + 1, F.size(a)) == F.slice(b, F.greatest(j, F.lit(0)) + 1, F.size(b)))
     )
     proven = (
@@ -88,7 +92,9 @@ def absence(level: DataFrame, asked: DataFrame, root_hash: str, by: list[str], d
         .when(F.col("after").isNull(), F.col("before_p.ok") & (i == 0))
         .otherwise(F.col("before_p.ok") & F.col("after_p.ok") & meet)
     )
-    return both.select(*by, "present", "before", "after", (~F.col("present") & F.coalesce(proven, F.lit(False))).alias("absent"))
+    told = both.select(F.struct("before", "after").alias("__gap"), F.coalesce(proven, F.lit(False)).alias("absent"))
+    out = found.withColumn("__gap", F.struct("before", "after")).join(told, "__gap", "left")
+    return out.select(*by, "present", "before", "after", (~F.col("present") & F.coalesce("absent", F.lit(False))).alias("absent"))
 
 
 def next_level(level: DataFrame, domain: str = "state-node", namespace: str = canon.NAMESPACE) -> DataFrame:
@@ -99,7 +105,36 @@ def next_level(level: DataFrame, domain: str = "state-node", namespace: str = ca
     return level.groupBy(half.alias("up")).agg(left.alias("l"), right.alias("r")).select(F.col("up").alias("idx"), canon.node_col(F.col("l"), F.col("r"), domain, namespace).alias("leaf"))
 
 
-def root(level: DataFrame, domain: str = "state-node", namespace: str = canon.NAMESPACE, block: int = 4096) -> DataFrame:
+#: Leaves of a block, whose part of the tree one task builds; a power of two.
+BLOCK = 4096
+
+
+def _raw(leaf) -> Column:
+    """The 32 bytes of a hash as text."""
+    return F.unhex(F.substring(leaf, len(canon.PREFIX) + 1, 64))
+
+
+def _named(raw: Column) -> Column:
+    return F.concat(F.lit(canon.PREFIX), F.lower(F.hex(raw)))
+
+
+def _fold(leaf: str, steps: Column, domain: str, namespace: str) -> Column:
+    """What the siblings lead to from a leaf, all as bytes."""
+    lead = F.lit(f"{namespace}:{domain}:".encode())
+    return F.aggregate(steps, F.col(leaf), lambda acc, x: F.unhex(F.sha2(F.concat(lead, F.when(x["left"], x["sibling"]).otherwise(acc), F.when(x["left"], acc).otherwise(x["sibling"])), 256)))
+
+
+def _levels(leaves: list[bytes], domain: str, namespace: str) -> list[list[bytes]]:
+    """The tree over leaves, level by level up to the root."""
+    lead, levels = f"{namespace}:{domain}:".encode(), [leaves]
+    if any(x is None or len(x) != 32 for x in leaves):
+        raise ValueError("no digest among the leaves")
+    while len(now := levels[-1]) > 1:
+        levels.append([hashlib.sha256(lead + now[i] + now[i + 1]).digest() if i + 1 < len(now) else now[i] for i in range(0, len(now), 2)])
+    return levels
+
+
+def root(level: DataFrame, domain: str = "state-node", namespace: str = canon.NAMESPACE, block: int = BLOCK) -> DataFrame:
     """(root) of indexed leaves: blocks of a power of two have their roots alone, then the blocks' roots are combined.
 
     Exact, as an odd node is promoted unchanged; each task sees one block.
@@ -110,48 +145,59 @@ def root(level: DataFrame, domain: str = "state-node", namespace: str = canon.NA
     def of_block(key, table):
         import pyarrow as pa
 
-        t = table.sort_by("idx")
-        return pa.table({"idx": [key[0].as_py()], "leaf": [canon.merkle_root(t["leaf"].to_pylist(), domain, namespace)]}, schema=pa.schema([("idx", pa.int64()), ("leaf", pa.string())]))
+        levels = _levels(table.sort_by("idx")["leaf"].to_pylist(), domain, namespace)
+        return pa.table({"idx": [key[0].as_py()], "leaf": levels[-1]}, schema=pa.schema([("idx", pa.int64()), ("leaf", pa.binary())]))
 
-    now, size = level.select(F.col("idx").cast("long").alias("idx"), "leaf"), level.count()
+    now, size = level.select(F.col("idx").cast("long").alias("idx"), _raw("leaf").alias("leaf")), level.count()
     while size > 1:
-        now = now.withColumn("b", F.floor(F.col("idx") / block).cast("long")).groupBy("b").applyInArrow(of_block, "idx long, leaf string")
+        now = now.withColumn("b", F.floor(F.col("idx") / block).cast("long")).groupBy("b").applyInArrow(of_block, "idx long, leaf binary")
         size = -(-size // block)
-    return now.select(F.col("leaf").alias("root"))
+    return now.select(_named(F.col("leaf")).alias("root"))
+
+
+def paths(level: DataFrame, domain: str = "state-node", namespace: str = canon.NAMESPACE, block: int = BLOCK, only: DataFrame | None = None) -> DataFrame:
+    """(idx, leaf, proof): for every leaf, or those of ``only(idx)``, its siblings up to the root, each with whether it stands on the left."""
+    found = _raw_paths(level.select(F.col("idx").cast("long").alias("idx"), _raw("leaf").alias("leaf")), domain, namespace, block, only)
+    proof = F.transform("proof", lambda x: F.struct(_named(x["sibling"]).alias("sibling"), x["left"].alias("left")))
+    return found.select("idx", _named(F.col("leaf")).alias("leaf"), proof.alias("proof"))
 
 
-def paths(level: DataFrame, domain: str = "state-node", namespace: str = canon.NAMESPACE, block: int = 4096) -> DataFrame:
-    """(idx, leaf, proof): for every leaf its siblings up to the root, each with whether it stands on the left.
+def _raw_paths(level: DataFrame, domain: str, namespace: str, block: int, only: DataFrame | None) -> DataFrame:
+    """paths() in bytes.
 
     A block of leaves has its part of the paths alone; the blocks' roots are the
     leaves of the next round, whose proofs are joined on by block.
     """
+    some = only is not None
 
     def of_block(key, table):
         import pyarrow as pa
 
-        t = table.sort_by("idx")
-        leaves, rows = t["leaf"].to_pylist(), t["idx"].to_pylist()
-        levels = [leaves]
-        while len(levels[-1]) > 1:
-            now = levels[-1]
-            levels.append([canon.merkle_root(now[i : i + 2], domain, namespace) for i in range(0, len(now), 2)])
-        proofs = []
-        for i in range(len(leaves)):
-            steps = [(lv, i >> k) for k, lv in enumerate(levels[:-1])]
-            proofs.append([{"sibling": lv[at ^ 1], "left": bool(at & 1)} for lv, at in steps if at ^ 1 < len(lv)])
-        step = pa.list_(pa.struct([("sibling", pa.string()), ("left", pa.bool_())]))
-        return pa.table({"idx": rows, "leaf": leaves, "b": [key[0].as_py()] * len(rows), "top": levels[-1] * len(rows), "inner": pa.array(proofs, step)})
-
-    start = level.select(F.col("idx").cast("long").alias("idx"), "leaf").withColumn("b", F.floor(F.col("idx") / block).cast("long"))
-    kind = "array<struct<sibling:string,left:boolean>>"
-    found = start.groupBy("b").applyInArrow(of_block, f"idx long, leaf string, b long, top string, inner {kind}")
+        asked, t = None, table
+        if some:
+            t = table.filter(table["leaf"].is_valid())
+            asked = set(table.filter(table["leaf"].is_null())["idx"].to_pylist())
+        t = t.sort_by("idx")
+        rows = t["idx"].to_pylist()
+        levels = _levels(t["leaf"].to_pylist(), domain, namespace)
+        at = [i for i, n in enumerate(rows) if asked is None or n in asked]
+        proofs = [[{"sibling": lv[(i >> k) ^ 1], "left": bool(i >> k & 1)} for k, lv in enumerate(levels[:-1]) if (i >> k) ^ 1 < len(lv)] for i in at]
+        step = pa.list_(pa.struct([("sibling", pa.binary()), ("left", pa.bool_())]))
+        rows = [(rows[i], levels[0][i], p) for i, p in zip(at, proofs)] + [(None, None, None)] * len(levels[-1])  # the block's root, for the next round
+        top = [None] * len(at) + levels[-1]
+        return pa.table({"idx": pa.array([r[0] for r in rows], pa.int64()), "leaf": pa.array([r[1] for r in rows], pa.binary()), "b": pa.array([key[0].as_py()] * len(rows), pa.int64()), "top": pa.array(top, pa.binary()), "inner": pa.array([r[2] for r in rows], step)})
+
+    both = level.select("idx", "leaf")
+    if some:
+        both = both.unionByName(only.select(F.col("idx").cast("long").alias("idx"), F.lit(None).cast("binary").alias("leaf")))
+    kind = "array<struct<sibling:binary,left:boolean>>"
+    found = both.withColumn("b", F.floor(F.col("idx") / block).cast("long")).groupBy("b").applyInArrow(of_block, f"idx long, leaf binary, b long, top binary, inner {kind}")
     if level.limit(block + 1).count() <= block:
-        return found.select("idx", "leaf", F.col("inner").alias("proof"))
+        return found.where("top is null").select("idx", "leaf", F.col("inner").alias("proof"))
     found = saved(found, "paths")
-    tops = found.groupBy("b").agg(F.first("top").alias("leaf")).select(F.col("b").alias("idx"), "leaf")
-    outer = paths(saved(tops, "tops"), domain, namespace, block).select(F.col("idx").alias("b"), "proof")
-    return found.join(outer, "b").select("idx", "leaf", F.concat("inner", "proof").alias("proof"))
+    tops = saved(found.where("top is not null").select(F.col("b").alias("idx"), F.col("top").alias("leaf")), "tops")
+    outer = _raw_paths(tops, domain, namespace, block, None).select(F.col("idx").alias("b"), "proof")
+    return found.where("top is null").join(outer, "b").select("idx", "leaf", F.concat("inner", "proof").alias("proof"))
 
 
 def check_paths(proofs: DataFrame, root_hash: str, domain: str = "state-node", namespace: str = canon.NAMESPACE) -> DataFrame:

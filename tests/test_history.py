@@ -269,3 +269,26 @@ def test_elided_logs(spark):
     bad = elision.impossible(elision.elide(lied, F.lit(True)))
     assert {(x.seq, x.op_idx) for x in bad.collect()} == {(x[1], x[2]) for x in rows if x[1] == 37 and x[4] != "create"} != set()
     assert elision.impossible(elision.elide(lied, F.col("seq") != 36)).count() <= bad.count()
+
+
+def test_absence_builds_only_the_paths_of_gaps(spark, monkeypatch):
+    from ledgerloom.functions.shared import saved
+
+    n, written = 40, {}
+    rows = [(i, "k", f"{2 * i:03}", canon.domain_hash("leaf", b"%d" % i)) for i in range(n)]
+    level = spark.createDataFrame(rows, "idx long, kind string, id string, leaf string")
+    asked = [("k", "011"), ("k", "0111"), ("k", "012"), ("j", "x"), ("z", "x")]
+
+    def counted(df, name):
+        out = saved(df, name)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(merkle, "saved", counted)
+    top = merkle.root(level.select("idx", "leaf"), block=8).first()["root"]
+    assert top == canon.merkle_root([r[3] for r in rows], "state-node")
+    got = {r.kind + r.id: (r.present, r.before, r.after, r.absent) for r in merkle.absence(level, spark.createDataFrame(asked, "kind string, id string"), top, ["kind", "id"]).collect()}
+    assert got == {"k011": (False, 5, 6, True), "k0111": (False, 5, 6, True), "k012": (True, 6, 7, False), "jx": (False, None, 0, True), "zx": (False, n - 1, None, True)}
+    assert written["proofs"] == [4]  # of 40 leaves: 0, 5, 6 and 39
+    some = merkle.paths(level.select("idx", "leaf"), block=8, only=spark.createDataFrame([(3,), (39,)], "idx long")).collect()
+    assert {r.idx: (r.leaf, [tuple(x) for x in r.proof]) for r in some} == {i: (rows[i][3], canon.merkle_path([r[3] for r in rows], i, "state-node")) for i in (3, 39)}
