@@ -12,6 +12,10 @@ from .catalog import Registry
 from .fold import live, with_ref
 
 
+# The schema's tables (attributes, ends, terms) come from the registry, which the driver compiles, so they are broadcast:
+# rows have few types, and a join by type would put all rows of a type into one task.
+
+
 def keys_col(attributes: Column) -> Column:
     """Keys of a JSON object; a key whose value is null is one, a missing one isn't."""
     return F.coalesce(F.json_object_keys(attributes), F.array().cast("array<string>"))
@@ -35,7 +39,7 @@ def enum_violations(nodes: DataFrame, attributes: DataFrame) -> DataFrame:
     """(id, attr, value): values that aren't among an enum attribute's symbols."""
     enums = attributes.where(F.col("texpr").startswith("enum<")).select(F.col("type").alias("t"), "attr", F.transform(F.split(F.regexp_extract("texpr", "^enum<(.*)>$", 1), r"\|"), F.trim).alias("symbols"))
     given = nodes.select("id", bare_col(F.col("type")).alias("t"), F.explode(F.from_json("attributes", "map<string,string>")).alias("attr", "value"))
-    return given.join(enums, ["t", "attr"]).where(~F.array_contains("symbols", F.col("value"))).select("id", "attr", "value")
+    return given.join(F.broadcast(enums), ["t", "attr"]).where(~F.array_contains("symbols", F.col("value"))).select("id", "attr", "value")
 
 
 def value_errors(reg: Registry, texpr: str, value) -> list[str]:
