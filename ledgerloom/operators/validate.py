@@ -11,7 +11,6 @@ from ..functions.text import bare_col
 from .catalog import Registry
 from .fold import live, with_ref
 
-
 # The schema's tables (attributes, ends, terms) come from the registry, which the driver compiles, so they are broadcast:
 # rows have few types, and a join by type would put all rows of a type into one task.
 
@@ -25,14 +24,14 @@ def missing_attributes(nodes: DataFrame, attributes: DataFrame) -> DataFrame:
     """(id, attr): required attributes that a node doesn't have."""
     need = attributes.where("required").select(F.col("type").alias("t"), "attr")
     typed = nodes.select("id", bare_col(F.col("type")).alias("t"), keys_col(F.col("attributes")).alias("has"))
-    return typed.join(need, "t").where(~F.array_contains("has", F.col("attr"))).select("id", "attr")
+    return typed.join(F.broadcast(need), "t").where(~F.array_contains("has", F.col("attr"))).select("id", "attr")
 
 
 def undeclared_attributes(nodes: DataFrame, attributes: DataFrame) -> DataFrame:
     """(id, attr): attributes that a node has and its type doesn't declare."""
     declared = attributes.select(F.col("type").alias("t"), "attr")
     given = nodes.select("id", bare_col(F.col("type")).alias("t"), F.explode(keys_col(F.col("attributes"))).alias("attr"))
-    return given.join(declared, ["t", "attr"], "left_anti").select("id", "attr")
+    return given.join(F.broadcast(declared), ["t", "attr"], "left_anti").select("id", "attr")
 
 
 def enum_violations(nodes: DataFrame, attributes: DataFrame) -> DataFrame:
@@ -82,13 +81,13 @@ def end_violations(edges: DataFrame, state: DataFrame, ends: DataFrame) -> DataF
     parts = []
     for side in ("from_ref", "to_ref"):
         typed = edges.select("id", bare_col(F.col("type")).alias("edge"), F.col(side).alias("ref")).join(types, "ref").withColumn("side", F.lit(side))
-        parts.append(typed.join(ends, ["edge", "side", "allowed"], "left_anti").select("id", "side", F.col("allowed").alias("type")))
+        parts.append(typed.join(F.broadcast(ends), ["edge", "side", "allowed"], "left_anti").select("id", "side", F.col("allowed").alias("type")))
     return parts[0].unionByName(parts[1])
 
 
 def unknown_terms(classifications: DataFrame, terms: DataFrame) -> DataFrame:
     known = terms.select("term").distinct()
-    return classifications.withColumn("raw", F.col("term")).withColumn("term", bare_col(F.col("raw"))).join(known, "term", "left_anti").select("id", F.col("raw").alias("term"))
+    return classifications.withColumn("raw", F.col("term")).withColumn("term", bare_col(F.col("raw"))).join(F.broadcast(known), "term", "left_anti").select("id", F.col("raw").alias("term"))
 
 
 # rules

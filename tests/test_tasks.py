@@ -1,5 +1,7 @@
 """What a single task is given does not grow with the tables."""
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import validate
 
 
@@ -10,8 +12,16 @@ def plan(df):
 def test_schema_tables_are_broadcast(spark):
     nodes = spark.createDataFrame([("a", "p/T@1", '{"x":"1"}'), ("b", "p/T", '{"y":"3","z":null}'), ("c", "p/U", "{}"), ("d", None, None)], "id string, type string, attributes string")
     attributes = spark.createDataFrame([("p/T", "x", "enum<1|2>", True), ("p/T", "y", "enum<1|2>", False)], "type string, attr string, texpr string, required boolean")
+    ends = spark.createDataFrame([("p/e", "from_ref", "p/T"), ("p/e", "to_ref", "p/T")], "edge string, side string, allowed string")
+    state = nodes.select(F.lit("node").alias("kind"), "id", "type", F.lit(False).alias("deleted"))
+    edges = spark.createDataFrame([("e", "p/e@1", "node:a", "node:c")], "id string, type string, from_ref string, to_ref string")
+    classified = spark.createDataFrame([("k", "t@1"), ("l", "u")], "id string, term string")
     for found, want in (
+        (validate.missing_attributes(nodes, attributes), {("b", "x")}),
+        (validate.undeclared_attributes(nodes, attributes), {("b", "z")}),
         (validate.enum_violations(nodes, attributes), {("b", "y", "3")}),
+        (validate.end_violations(edges, state, ends).select("id", "side", "type"), {("e", "to_ref", "p/U")}),
+        (validate.unknown_terms(classified, spark.createDataFrame([("t",)], "term string")), {("l", "u")}),
     ):
         assert {tuple(r) for r in found.collect()} == want
         assert "BroadcastHashJoin" in plan(found)
