@@ -14,11 +14,21 @@ def snapshot_diff(desired: DataFrame, existing: DataFrame, key: list[str], conte
     return a.join(b, key, "full_outer").withColumn("verb", verb).where("verb is not null").select(*key, "verb")
 
 
+#: Rows that a task of set_diff() takes; tables with more are dealt over more tasks.
+SHARE = 1 << 20
+
+
 def set_diff(desired: DataFrame, existing: DataFrame) -> DataFrame:
-    """Rows of the one without the other, with create or delete."""
+    """Rows of the one without the other, with create or delete; nulls are equal.
+
+    One grouping of both tables.  Rows are counted first, and the number of
+    tasks follows the count, so what a task holds doesn't grow with the tables.
+    """
     names = desired.columns
-    new, old = desired.distinct(), existing.select(*names).distinct()
-    return new.join(old, names, "left_anti").withColumn("verb", F.lit("create")).unionByName(old.join(new, names, "left_anti").withColumn("verb", F.lit("delete")))
+    both = desired.withColumn("__side", F.lit(1)).unionByName(existing.select(*names, F.lit(2).alias("__side")))
+    tasks = max(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-both.count() // SHARE))
+    sides = both.repartition(tasks, *names).groupBy(*names).agg(F.min("__side").alias("__a"), F.max("__side").alias("__b")).where("__a = __b")
+    return sides.select(*names, F.when(F.col("__a") == 1, "create").otherwise("delete").alias("verb"))
 
 
 def references(texts: DataFrame, names: DataFrame, pattern: str = r"([A-Za-z_][A-Za-z0-9_]*)\(") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import validate
+from ledgerloom.operators import diff, validate
 
 
 def plan(df):
@@ -25,3 +25,14 @@ def test_schema_tables_are_broadcast(spark):
     ):
         assert {tuple(r) for r in found.collect()} == want
         assert "BroadcastHashJoin" in plan(found)
+
+
+def test_set_diff_deals_rows_over_tasks(spark, monkeypatch):
+    new = spark.range(400).select((F.col("id") % 300).alias("a"), F.when(F.col("id") % 300 != 7, F.col("id") % 300).alias("b"))
+    old = spark.range(100, 500).select(F.col("id").alias("a"), F.col("id").alias("b")).unionByName(new.where("a = 7"))
+    monkeypatch.setattr(diff, "SHARE", 50)
+    got = diff.set_diff(new, old)
+    want = {(i, i, "create") for i in range(100) if i != 7} | {(i, i, "delete") for i in range(300, 500)}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)  # the row with a null is in both
+    held = got.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert len(held) >= 12 and max(r["count"] for r in held) < 60
