@@ -50,6 +50,47 @@ def _stretches(ops: DataFrame) -> DataFrame:
     return writes.join(segs, ["graph", "hash"]).select("seq", F.concat_ws("\n", "graph", "seg").alias("seg"), "pos")
 
 
+def _walked(ops: DataFrame) -> DataFrame:
+    """(seq, status) of changesets that all touch one object only, from ops with barred: each object's are folded in order.
+
+    Rows are sorted by object and streamed, so no object's history is held; what is kept of it is its last write.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        key = seq = last = mine = None
+        ok = bar = False
+        for batch in batches:
+            seqs, told = [], []
+
+            def close():
+                seqs.append(seq)
+                told.append("folded" if ok else "barred" if bar else "dependent")
+
+            for kind, id_, n, verb, prior, rev, barred in zip(*(c.to_pylist() for c in batch.columns)):
+                if n != seq:
+                    if seq is not None:
+                        close()
+                    last = mine if ok else last
+                    if (kind, id_) != key:
+                        key, last = (kind, id_), None
+                    seq, mine, bar, ok = n, last, barred, not barred
+                if verb == "create":
+                    ok = ok and mine is None
+                else:
+                    ok = ok and verb in (*WRITES, "delete") and mine is not None and not mine[0] and prior is not None and prior == mine[1]
+                if verb in (*WRITES, "delete"):
+                    mine = (verb == "delete", rev)
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(told, pa.string())], ["seq", "status"])
+        if seq is not None:
+            told = "folded" if ok else "barred" if bar else "dependent"
+            yield pa.RecordBatch.from_arrays([pa.array([seq], pa.int64()), pa.array([told], pa.string())], ["seq", "status"])
+
+    rows = ops.select(*KEY, F.col("seq").cast("long").alias("seq"), "verb", "prior", "rev", "barred", "op_idx")
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY, "seq", "op_idx").drop("op_idx").mapInArrow(run, "seq long, status string")
+
+
 def flagged(ops: DataFrame, barred: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(seq, status) of every changeset: folded, barred (in ``barred(seq)``, for reasons of its own) or dependent.
 
@@ -64,8 +105,27 @@ def flagged(ops: DataFrame, barred: DataFrame, max_rounds: int = 1000) -> DataFr
     after the other, what a skipped write would have brought are skipped in one
     go, however many they are.  A round settles one more dependence of another
     kind at least, and the rounds end when judging changes nothing.
+
+    Only objects that share a changeset or are referred to need rounds: the
+    history of any other is folded in order, in one go for all of them.
     """
-    ops = saved(with_columns(ops, ["prior", "rev", "from_ref", "to_ref", "subject"]), "ops")
+    sides = ["from_ref", "to_ref", "subject"]
+    ops = saved(with_columns(ops, ["prior", "rev", *sides]), "ops")
+    ref, at = F.concat_ws(":", *KEY), F.struct(*KEY)
+    refs = F.col("verb").isin(*WRITES) & F.coalesce(*sides).isNotNull()
+    mixed = ops.groupBy("seq").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.max(F.coalesce(refs, F.lit(False))).alias("refs")).where("refs or not (a <=> b)").select("seq")
+    held = saved(ops.join(mixed, "seq", "left_semi").select(F.explode(F.array_compact(F.array(ref, *sides))).alias("__ref")).distinct(), "tied")
+    no = barred.select("seq").distinct().withColumn("barred", F.lit(True))
+    loose = ops.withColumn("__ref", ref).join(held, "__ref", "left_anti").join(no, "seq", "left").withColumn("barred", F.coalesce("barred", F.lit(False)))
+    walked = _walked(loose).select(F.col("seq").cast(ops.schema["seq"].dataType).alias("seq"), "status")
+    if not held.limit(1).count():
+        return walked
+    return walked.unionByName(_by_rounds(ops.withColumn("__ref", ref).join(held, "__ref", "left_semi").drop("__ref"), barred, max_rounds))
+
+
+def _by_rounds(ops: DataFrame, barred: DataFrame, max_rounds: int) -> DataFrame:
+    """flagged() of changesets of any kind."""
+    ops = saved(ops, "ops")
     sets = ops.select("seq").distinct().join(barred.select("seq").distinct().withColumn("barred", F.lit(True)), "seq", "left")
     sets = saved(sets.select("seq", F.coalesce("barred", F.lit(False)).alias("barred")), "sets")
     runs = saved(_stretches(ops), "runs")

@@ -292,3 +292,41 @@ def test_absence_builds_only_the_paths_of_gaps(spark, monkeypatch):
     assert written["proofs"] == [4]  # of 40 leaves: 0, 5, 6 and 39
     some = merkle.paths(level.select("idx", "leaf"), block=8, only=spark.createDataFrame([(3,), (39,)], "idx long")).collect()
     assert {r.idx: (r.leaf, [tuple(x) for x in r.proof]) for r in some} == {i: (rows[i][3], canon.merkle_path([r[3] for r in rows], i, "state-node")) for i in (3, 39)}
+
+
+def test_lone_objects_need_no_rounds(spark):
+    """Objects that nothing else touches are folded in one go, whatever their histories; two that share a changeset still get rounds."""
+    r, rows, live = random.Random(9), [], {}
+    for seq in range(1, 200):
+        id_ = r.choice("abc")
+        for i in range(r.choice([1, 1, 2])):
+            verb = r.choice(["create", "update", "update", "update", "delete", "redact-document"] if r.random() < 0.3 else ["update"])
+            prior = r.choice([live.get(id_), live.get(id_), f"v{seq - 3}-0", None])
+            rows.append((seq, i, verb if seq > 6 else "create", "node", id_, None, None, prior, f"v{seq}-{i}"))
+            live[id_] = f"v{seq}-{i}"
+    schema = "seq long, op_idx int, verb string, kind string, id string, from_ref string, to_ref string, prior string, rev string"
+    barred = {x for x in range(1, 200) if x % 11 == 3}
+
+    def told(rows):
+        out = skipping.flagged(spark.createDataFrame(rows, schema), spark.createDataFrame([(x,) for x in barred], "seq long"), max_rounds=0 if rows[-1][0] < 300 else 100)
+        return {x.seq: x.status for x in out.collect()}
+
+    plain = [(*x[:2], x[2] if x[2] != "redact-document" else "nothing", *x[3:]) for x in rows]
+
+    def walked(rows):
+        last, out = {}, {}
+        for seq in sorted({x[0] for x in rows}):
+            mine, ok = dict(last), seq not in barred
+            for _, _, verb, _, id_, _, _, prior, rev in [x for x in rows if x[0] == seq]:
+                was = mine.get(id_)
+                fits = was is None if verb == "create" else verb in ("update", "delete") and was is not None and not was[0] and prior is not None and prior == was[1]
+                ok = ok and fits
+                if verb in ("create", "update", "delete"):
+                    mine[id_] = (verb == "delete", rev)
+            out[seq] = "barred" if seq in barred else "folded" if ok else "dependent"
+            last = mine if ok else last
+        return out
+
+    assert told(plain) == walked(plain) and set(walked(plain).values()) == {"folded", "barred", "dependent"}
+    more = [*plain, (300, 0, "create", "node", "d", None, None, None, "w1"), (300, 1, "create", "node", "e", None, None, None, "w2"), (301, 0, "update", "node", "e", None, None, "w2", "w3")]
+    assert told(more) == walked(more) and told(more)[301] == "folded"
