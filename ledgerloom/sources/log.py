@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import cache
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,7 +87,13 @@ def parse_yaml(text: str) -> list:
     """Documents of a YAML 1.2 text: only null, booleans true and false, integers and floats are resolved."""
     import yaml
 
-    return list(yaml.load_all(text, Loader=_loader()))
+    fast, plain = _loader(True), _loader(False)
+    try:
+        return list(yaml.load_all(text, Loader=fast))
+    except yaml.YAMLError:
+        if fast is plain:
+            raise
+        return list(yaml.load_all(text, Loader=plain))  # what libyaml alone refuses is read; what both do has the same message as ever
 
 
 def dump_yaml(value) -> str:
@@ -95,12 +102,17 @@ def dump_yaml(value) -> str:
     return yaml.safe_dump(value, sort_keys=False, allow_unicode=True)
 
 
-def _loader():
+@cache
+def _loader(fast: bool):
+    """The loader, over libyaml's parser where that is there and ``fast``; made once in a process."""
     import re
 
     import yaml
 
-    class Loader(yaml.SafeLoader):
+    if fast and not hasattr(yaml, "CSafeLoader"):
+        return _loader(False)
+
+    class Loader(yaml.CSafeLoader if fast else yaml.SafeLoader):
         yaml_implicit_resolvers: dict = {}
 
     for tag, pattern, first in (
@@ -189,7 +201,9 @@ def _parsed(files: DataFrame, make, schema: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(files.sparkSession.createDataFrame([], schema).schema)
-    return files.select("path", "text").mapInArrow(run, schema)
+    # parsing is the work here: few bytes are many documents, so they are dealt out by number and not by bytes
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("path", "text").repartition(tasks, "path").mapInArrow(run, schema)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -209,8 +223,15 @@ def read_ops(source: DataFrame, namespace: str = canon.NAMESPACE, stored: bool =
     def make(_, d):
         if "operations" not in d:
             return []
-        hash_ = d.get("hash") if stored else changeset_row("", d, namespace)["hash"]
-        return [op_row(hash_, i, op, namespace) for i, op in enumerate(d["operations"] or [])]
+        rows = [op_row(d.get("hash"), i, op, namespace) for i, op in enumerate(d["operations"] or [])]
+        if stored:
+            return rows
+        try:
+            leaves = [r["leaf"] for r in rows]
+            hash_ = None if None in leaves else canon.changeset_hash(d, leaves, namespace)
+        except ValueError:
+            hash_ = None
+        return [r | {"hash": hash_} for r in rows]
 
     return _parsed(source, make, OPS)
 

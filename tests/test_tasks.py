@@ -36,3 +36,15 @@ def test_set_diff_deals_rows_over_tasks(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)  # the row with a null is in both
     held = got.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
     assert len(held) >= 12 and max(r["count"] for r in held) < 60
+
+
+def test_yaml_is_parsed_by_libyaml_once_prepared():
+    import yaml
+
+    from ledgerloom.sources import log
+
+    texts = ["on: yes\nt: 2026-01-01T00:00:00Z\nn: 0x1f\nb: true\nx: ~\nf: 1.5", "a: [1, {b: '2'}]\n---\n- c: |\n    x\n    y\n- é\U0001f600", "", "k: !!str 5\nl: 0o17\nm: -.inf\nz: 010"]
+    for text in texts:
+        assert log.parse_yaml(text) == list(yaml.load_all(text, Loader=log._loader(False)))
+    assert log._loader(True) is log._loader(True)
+    assert not hasattr(yaml, "CSafeLoader") or issubclass(log._loader(True), yaml.CSafeLoader)
