@@ -20,8 +20,9 @@ position is that prefix's only one, a position from which none leads on is
 dead whatever came before.  Either way time grows with the text's length.
 
 No piece crosses certain cuts (before a space mark that follows other text,
-around characters that stand alone in the vocabulary), so paths are searched
-between cuts and kept by their text; the sum over a text is the same path.
+between characters that no pieces join, such as letters and full stops), so
+paths are searched between cuts and kept by their text; the sum over a text is
+the same path.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -154,6 +156,21 @@ class Trie:
         self.leave[at] = output
 
 
+class _Paths(dict):
+    """What the shortest path writes for each text between cuts, as bytes; found when it is first asked for, and kept while there is room."""
+
+    def __init__(self, owner: Transducer):
+        self.owner = owner
+
+    def __missing__(self, text: str) -> bytes:
+        found = array("i", self.owner.path(text)).tobytes()
+        if len(text) <= 64:
+            if len(self) >= self.owner.kept:
+                self.clear()
+            self[text] = found
+        return found
+
+
 class Transducer:
     """A compiled model: normalise, encode (to 32-bit ids) and decode."""
 
@@ -174,24 +191,60 @@ class Transducer:
             self.rules.add(source, target)
         for p, i in self.ids.items():
             self.pieces.add(p, (i, 0.0 if self.bpe else -model.scores[i]))
-        self.known = [-1 if x is None else x[0] for x in self.pieces.leave]
+        self.tree = self._tree()
+        self.score = {p: model.scores[i] for p, i in self.ids.items()}
         lowest = min((model.scores[i] for i in self.ids.values()), default=0.0)
         self.fallback = 1.0 if self.bpe else UNK_PENALTY - lowest
         self.out = [self._surface(i) for i in range(len(model.pieces))]
         self.is_byte = np.array([k == BYTE for k in model.kinds])
         self.pairs: dict[int, bool] = {}
-        self.paths: dict[str, bytes] = {}
-        inner = {c for p in self.ids if len(p) > 1 for c in p}
-        alone = "".join(c for c in "\n\t\r\x0b\x0c" if c not in inner)
-        crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
-        alone = re.escape(alone)
-        body = f"[^{MARK}{alone}]"
-        #: What lies between cuts; None where pieces may cross them.
-        self.between = None if crossing else re.compile(f"{MARK}+{body}*|{body}+" + (f"|[{alone}]" if alone else ""))
+        self.paths = _Paths(self)
+        #: What lies between cuts; None where pieces may cross a space mark.
+        self.between = None if any(MARK in p.lstrip(MARK) for p in self.ids) else self._between()
         #: Pieces that a user has fixed stand for themselves wherever they occur.
         user = sorted((p for p, k in zip(model.pieces, model.kinds) if k == USER and p), key=len, reverse=True)
         self.fixed = re.compile("(" + "|".join(map(re.escape, user)) + ")") if user else None
 
+    def _between(self) -> re.Pattern:
+        """Runs of characters that pieces join, directly or by way of others, and all other characters one by one; marks belong to what follows.
+
+        Where neighbours are of different runs no piece has both, so nothing is merged across.
+        """
+        up: dict[str, str] = {}
+        doubled = set()
+
+        def top(c):
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        for p in self.ids:
+            body = p.lstrip(MARK)
+            for c in body:
+                up.setdefault(c, c)
+            for a, b in zip(body, body[1:]):
+                if a == b:
+                    doubled.add(a)
+                up[top(b)] = top(a)
+        runs: dict[str, list[str]] = {}
+        for c in up:
+            runs.setdefault(top(c), []).append(c)
+        joined = ["".join(re.escape(c) for c in sorted(r)) for r in sorted(runs.values(), key=len, reverse=True) if len(r) > 1 or r[0] in doubled]
+        some = "|".join([*(f"[{r}]+" for r in joined), f"[^{MARK}{''.join(joined)}]"])
+        return re.compile(f"{MARK}+(?:{some})?|{some}")
+
+    def _tree(self) -> dict:
+        """The pieces' trie as nested dictionaries; 0 has (length, piece) of all that end on the way to a state, shortest first, with the fallback where its first character is no piece."""
+        tree: dict = {0: ((1, self.FALLBACK),)}
+        for p, i in sorted(self.ids.items(), key=lambda x: len(x[0])):
+            at = tree
+            for c in p[:-1]:
+                at = at.setdefault(c, {0: at[0]})
+            before = at[0] if len(p) > 1 else ()
+            at.setdefault(p[-1], {})[0] = (*before, (len(p), i))
+        return tree
+
     def _surface(self, i: int) -> bytes:
         m = self.model
         if m.kinds[i] == BYTE:
@@ -259,6 +312,23 @@ class Transducer:
                 heapq.heappush(heap, (-scores[i], c, a, end))
         return [text[a : a + size[a]] for a in range(n) if size[a]]
 
+    def apart(self, left: str, right: str) -> bool:
+        """Whether merging the joint text of two texts gives back just these, as merged() tells; ends at the first merge across."""
+        parts, border, score, none = [*left, *right], len(left) - 1, self.score.get, float("-inf")
+        near = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while near and (best := max(near)) > none:
+            at = near.index(best)
+            if at == border:
+                return False
+            border -= at < border
+            del near[at]
+            parts[at] += parts.pop(at + 1)
+            if at:
+                near[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(near):
+                near[at] = score(parts[at] + parts[at + 1], none)
+        return len(parts) == 2
+
     def follows(self, state: int, piece: int) -> bool:
         """Whether F has an arc for the piece in a state, which for BPE is the last piece."""
         if not self.bpe or state == self.FALLBACK or piece == self.FALLBACK:
@@ -267,10 +337,10 @@ class Transducer:
         ok = self.pairs.get(key)
         if ok is None:
             text = self.model.pieces
-            both = [text[state], text[piece]] if state >= 0 else [text[piece]]
             if len(self.pairs) >= self.kept_pairs:
                 self.pairs.clear()
-            ok = self.pairs[key] = self.merged("".join(both)) == both
+            ok = self.apart(text[state], text[piece]) if state >= 0 else self.merged(text[piece]) == [text[piece]]
+            self.pairs[key] = ok
         return ok
 
     # composition and search
@@ -292,9 +362,12 @@ class Transducer:
 
         Where equal scores leave a BPE text without a path, merging itself tells.
         """
-        found = self._first(text) if self.bpe else self._shortest(text)
-        if found is None:
+        if self.bpe:
+            if (ids := self._first(text)) is not None:
+                return ids
             found = [(p, self.ids.get(p, self.FALLBACK)) for p in self.merged(text)]
+        else:
+            found = self._shortest(text)
         return [x for p, i in found for x in self._ids(p, i)]
 
     def _shortest(self, text: str) -> list[tuple[str, int]]:
@@ -312,35 +385,37 @@ class Transducer:
             at = start
         return out[::-1]
 
-    def _first(self, text: str) -> list[tuple[str, int]] | None:
-        arcs, known, n, follows, pairs, dead = self.pieces.arcs, self.known, len(text), self.follows, self.pairs, set()
-        at, last, stack, left = 0, self.START, [], None
+    def _first(self, text: str) -> list[int] | None:
+        tree, n, follows, pairs, dead, chars = self.tree, len(text), self.follows, self.pairs, set(), [*text, None]
+        at, last, stack, arcs = 0, self.START, [], None
         while at < n:
-            if left is None:  # arcs_from(), without weights, as they don't matter here
-                left, state, to = [], 0, at
-                while to < n and (state := arcs[state].get(text[to])) is not None:
+            if arcs is None:  # arcs_from(), without weights, as they don't matter here
+                state, to = tree, at
+                while (far := state.get(chars[to])) is not None:
+                    state = far
                     to += 1
-                    if (piece := known[state]) >= 0:
-                        left.append((to, piece))
-                if not left or left[0][0] > at + 1:
-                    left.insert(0, (at + 1, self.FALLBACK))
-            while left:
-                end, piece = left.pop()
-                if dead and end in dead:
+                arcs = state[0]
+                k = len(arcs)
+            while k:
+                k -= 1
+                size, piece = arcs[k]
+                if dead and at + size in dead:
                     continue
                 ok = pairs.get(last << 32 | piece) if last >= 0 and piece >= 0 else None
                 if ok or (ok is None and follows(last, piece)):
-                    stack.append((at, last, left))
-                    at, last, left = end, piece, None
+                    stack.append((at, last, arcs, k))
+                    at, last, arcs = at + size, piece, None
                     break
             else:
                 dead.add(at)
                 if not stack:
                     return None
-                at, last, left = stack.pop()
-        starts = [*(x[0] for x in stack), n]
-        pieces = [*(x[1] for x in stack[1:]), last]
-        return [(text[a:b], i) for a, b, i in zip(starts, starts[1:], pieces)]
+                at, last, arcs, k = stack.pop()
+        ids = [x[1] for x in stack[1:]]
+        ids.append(last)
+        if self.FALLBACK in ids:
+            return [x for (a, *_), i in zip(stack, ids) for x in self._ids(text[a], i)]
+        return ids
 
     def _ids(self, piece: str, i: int):
         if i >= 0:
@@ -364,21 +439,8 @@ class Transducer:
     def _search(self, norm: str) -> np.ndarray:
         if self.between is None:
             return np.array(self.path(norm), np.int32)
-        paths, found = self.paths, self.between.findall(norm)
-        try:
-            return np.frombuffer(b"".join([paths[s] for s in found]), np.int32)
-        except KeyError:
-            out = []
-        for s in found:
-            p = paths.get(s)
-            if p is None:
-                p = np.array(self.path(s), np.int32).tobytes()
-                if len(s) <= 64:
-                    if len(paths) >= self.kept:
-                        paths.clear()
-                    paths[s] = p
-            out.append(p)
-        return np.frombuffer(b"".join(out), np.int32)
+        paths = self.paths
+        return np.frombuffer(b"".join([paths[s] for s in self.between.findall(norm)]), np.int32)
 
     def decode(self, ids) -> str:
         out = self.out

@@ -104,3 +104,28 @@ def test_character_map_takes_the_longest_rule():
     m = W.Model(["<unk>", "▁", "x"], [0.0, -1.0, -1.0], [W.UNKNOWN, W.NORMAL, W.NORMAL], rules={b"a": b"x", b"ab": b"xx", "é".encode(): b""})
     t = W.Transducer(m)
     assert t.normalise(" ab  aé c ") == "▁xx▁x▁c"
+
+
+def test_words_end_where_no_piece_goes_on(pair):
+    t, sp = pair
+    assert t.between.findall("▁den,***▁Haus.\n\nñño") == ["▁den", ",***", "▁Haus", ".", "\n", "\n", "ñño"]
+    t.paths.clear()
+    words = [f"den{a}{b}" for a in ",.;!?" for b in "*#%&"]
+    assert t.encode(" ".join(words)).tolist() == sp.encode(" ".join(words))
+    assert len(t.paths) == 21  # the word once, and each pair of signs
+
+
+def test_pairs_are_told_apart_as_merging_does(pair):
+    t, _ = pair
+    rng, names = random.Random(7), [p for p in t.ids if not p.isspace()]
+    told = set()
+    for _ in range(20_000):
+        a, b = rng.choice(names), rng.choice(names).lstrip("▁") or "a"
+        told.add(found := t.apart(a, b))
+        assert found == (t.merged(a + b) == [a, b]), (a, b)
+    assert told == {True, False}
+    same = W.Transducer(W.Model(["<unk>", "a", "aa", "aaa"], [0.0, -3.0, -1.0, -1.0], [W.UNKNOWN, *[W.NORMAL] * 3], W.BPE))
+    for n in range(1, 6):
+        for m in range(1, 6):
+            a, b = "a" * n, "a" * m
+            assert same.apart(a, b) == (same.merged(a + b) == [a, b])
