@@ -54,6 +54,21 @@ def test_merges(spark, seed):
     assert seed != 1 or any(s[5] for s in states) and not all(s[5] for s in states)
 
 
+def test_merges_move_numbers_not_names(spark, monkeypatch):
+    made = {}
+
+    def saved(df, name, plain=dag.saved):
+        made.setdefault(name, []).append({t for _, t in df.dtypes})
+        return plain(df, name)
+
+    monkeypatch.setattr(dag, "saved", saved)
+    sets = spark.createDataFrame([("g", "a", []), ("g", "b", ["a"]), ("g", "c", ["a"]), ("g", "d", ["b", "c"])], "graph string, hash string, parents array<string>")
+    ops = spark.createDataFrame([("g", h, 0, "update", "node", "x", f"r{h}") for h in "abc"], "graph string, hash string, op_idx int, verb string, kind string, id string, rev string")
+    top = dag.maximal_writes(sets, ops, spark.createDataFrame([("g", "d"), ("g", "b")], "graph string, head string"))
+    assert {(r.head, r.hash) for r in top.collect()} == {("d", "b"), ("d", "c"), ("b", "b")}
+    assert all(t == {"bigint"} for name in ("jumps", "ancestry") for t in made[name]) and made["last"][-1] == {"bigint"}
+
+
 def test_a_long_line_is_one_segment(spark):
     n = 3000
     sets = spark.createDataFrame([("g", f"h{i}", [f"h{i - 1}"] if i else []) for i in range(n)], "graph string, hash string, parents array<string>")
