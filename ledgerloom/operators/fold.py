@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.shared import dealt
+
 KEY = ["kind", "id"]
 PAYLOAD = ["type", "from_ref", "to_ref", "subject", "term", "basis", "content_hash", "attributes", "rev"]
 WRITES = ("create", "update")
@@ -161,8 +163,11 @@ def dangling_edges(state: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str, out: str) -> DataFrame:
-    """left with the value of the last row of right with the same key at or before ``at``; one sort for both sides, no pairs."""
+def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str, out: str, *, rows: int | None = None) -> DataFrame:
+    """left with the value of the last row of right with the same key at or before ``at``; one sort for both sides, no pairs.
+
+    Both are dealt over as many tasks as ``rows`` need.
+    """
     both = left.withColumn("__r", F.lit(1)).unionByName(right.select(key, at, F.struct(F.col(value).alias("v")).alias("__v")).withColumn("__r", F.lit(0)), allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy(at, "__r").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(out, F.last("__v", ignorenulls=True).over(w)["v"]).where("__r = 1").drop("__r", "__v")
+    return dealt(both, rows, key).withColumn(out, F.last("__v", ignorenulls=True).over(w)["v"]).where("__r = 1").drop("__r", "__v")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.shared import dealt
 from ..operators import dag, decisions, elision, graph, merkle, migration, skipping, timeline
 from . import lens
 from .audit_queries import _levels
@@ -99,8 +100,8 @@ def absence_proofs(spark, sf_dir):
     " SELECT DISTINCT seq, 'urgent' AS rule, 'shop' AS package, 'node:customer-' || c AS ref FROM t WHERE urgent < 2"
 )
 def rules_at_every_changeset(spark, sf_dir):
-    ops, found = _orders_log(spark, sf_dir)
-    return timeline.rule_violations([(0, 1 << 62, _SHOP)], ops, found).where("seq > 0")
+    ops, found, rows = _orders_log(spark, sf_dir)
+    return timeline.rule_violations([(0, 1 << 62, _SHOP)], ops, found, rows=rows).where("seq > 0")
 
 
 class _Shop:
@@ -122,24 +123,28 @@ _SHOP = _Shop()
 
 
 def _orders_log(spark, sf_dir):
-    """Changeset 0 has the customers; each order's changeset creates it and its edge, touches its customer, and ends the edge of the order three before."""
+    """Changeset 0 has the customers; each order's changeset creates it and its edge, touches its customer, and ends the edge of the order three before.
+
+    (ops, versions, rows): an order has four operations, and no more customers come than orders.
+    """
     o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("o_orderkey"), "o_custkey", F.substring("o_orderpriority", 1, 1).alias("p"))
+    rows = 5 * o.count()
     customers = o.select("o_custkey").distinct()
     no, seq = F.lit(None).cast("string"), F.col("o_orderkey").cast("long")
     until = F.lead("o_orderkey", 3).over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
     cust, order, edge = (F.concat(F.lit(p), F.col(c).cast("string")) for p, c in (("customer-", "o_custkey"), ("order-", "o_orderkey"), ("placed-", "o_orderkey")))
 
-    def rows(df, seq, idx, verb, kind, id_, type_=no, a=no, b=no, attributes=no):
+    def made(df, seq, idx, verb, kind, id_, type_=no, a=no, b=no, attributes=no):
         names = {"seq": seq, "op_idx": F.lit(idx), "verb": F.lit(verb), "kind": F.lit(kind), "id": id_, "type": type_, "from_ref": a, "to_ref": b, "attributes": attributes, "rev": F.concat_ws("/", seq.cast("string"), id_)}
         return df.select(*(c.alias(n) for n, c in names.items()))
 
-    ops = rows(customers, F.lit(0).cast("long"), 0, "create", "node", cust, F.lit("shop/Customer@1"))
-    ops = ops.unionByName(rows(o, seq, 0, "create", "node", order, F.lit("shop/Order@1"), attributes=F.to_json(F.struct("p"))))
-    ops = ops.unionByName(rows(o, seq, 1, "create", "edge", edge, F.lit("shop/placed@1"), F.concat(F.lit("node:"), order), F.concat(F.lit("node:"), cust)))
-    ops = ops.unionByName(rows(o, seq, 2, "update", "node", cust, F.lit("shop/Customer@1")))
-    ends = o.withColumn("until", until).where("until is not null")
-    ops = ops.unionByName(rows(ends, F.col("until"), 3, "delete", "edge", edge))
-    return ops, timeline.versions(ops)
+    ops = made(customers, F.lit(0).cast("long"), 0, "create", "node", cust, F.lit("shop/Customer@1"))
+    ops = ops.unionByName(made(o, seq, 0, "create", "node", order, F.lit("shop/Order@1"), attributes=F.to_json(F.struct("p"))))
+    ops = ops.unionByName(made(o, seq, 1, "create", "edge", edge, F.lit("shop/placed@1"), F.concat(F.lit("node:"), order), F.concat(F.lit("node:"), cust)))
+    ops = ops.unionByName(made(o, seq, 2, "update", "node", cust, F.lit("shop/Customer@1")))
+    ends = dealt(o, rows, "o_custkey").withColumn("until", until).where("until is not null")
+    ops = ops.unionByName(made(ends, F.col("until"), 3, "delete", "edge", edge))
+    return ops, timeline.versions(ops, rows=rows), rows
 
 
 @query(
@@ -148,8 +153,8 @@ def _orders_log(spark, sf_dir):
     " SELECT 'shop/placed' AS edge, 'to_ref' AS side, 'node:customer-' || c AS ref, min(seq) AS seq, arg_min(n, seq) AS n FROM t WHERE n > 1 GROUP BY c"
 )
 def cardinality_at_every_changeset(spark, sf_dir):
-    ops, found = _orders_log(spark, sf_dir)
-    return timeline.cardinality(ops, found, spark.createDataFrame([("shop/placed", "one-to-many")], "edge string, cardinality string"))
+    ops, found, rows = _orders_log(spark, sf_dir)
+    return timeline.cardinality(ops, found, spark.createDataFrame([("shop/placed", "one-to-many")], "edge string, cardinality string"), rows=rows)
 
 
 # a supplier's key is in force for some days after each first line of an order that is theirs; other lines are approvals
