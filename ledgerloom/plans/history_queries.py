@@ -25,7 +25,7 @@ def proposal_outcomes(spark, sf_dir):
     proposals = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("subject"), (F.col("o_orderkey") % 4).alias("quorum"))
     verdict = F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") % 3 == 0), "reject").otherwise("approve")
     said = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("subject"), F.col("l_linenumber").alias("seq"), (F.col("l_suppkey") % 5).alias("principal"), verdict.alias("verdict"))
-    return decisions.outcomes(proposals, said)
+    return decisions.outcomes(proposals, said, rows=said.count() + proposals.count())
 
 
 # merges: each user's events as a graph of four branches that meet in every twentieth event
@@ -173,7 +173,7 @@ def threshold_decisions(spark, sf_dir):
     verdict = F.when(F.col("l_returnflag") == "R", "reject").otherwise("approve")
     said = line.where("l_linenumber > 1").select(F.col("l_orderkey").alias("subject"), F.col("day").alias("seq"), F.col("l_suppkey").alias("principal"), verdict.alias("verdict"), F.col("l_suppkey").alias("key"))
     proposals = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("subject"), (1 + F.col("o_orderkey") % 2).alias("quorum"))
-    return decisions.threshold(proposals, said, windows).select("subject", "status", F.col("at").alias("decided"))
+    return decisions.threshold(proposals, said, windows, rows=line.count() + proposals.count()).select("subject", "status", F.col("at").alias("decided"))
 
 
 # an event is derived from that of half its number and, every third, from the thirteenth before; errors change later than they are numbered

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import canon
+from ledgerloom.functions import canon, shared
 from ledgerloom.operators import dag, decisions, merkle, skipping, timeline
 
 
@@ -179,6 +179,31 @@ def test_outcomes(spark, monkeypatch, span):
         assert x.late == (0 if status == "pending" else sum(y[1] > (at or -1) for y in mine))
 
 
+def test_outcomes_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(shared, "SHARE", 40)
+    r = random.Random(6)
+    asked = [(f"p{i}", r.choice([None, 0, 1, 2, 3])) for i in range(60)] + [(None, 0), (None, 1)]
+    rows = [(r.choice([None, *(p for p, _ in asked[:50])]), r.choice([None, -2, -1, *range(6)]), r.choice(["a", "b", "c", None]), r.choice(["approve"] * 3 + ["reject", None])) for _ in range(300)]
+    n = len(asked) + len(rows)
+    got = decisions.outcomes(spark.createDataFrame(asked, "subject string, quorum int"), spark.createDataFrame(rows, "subject string, seq int, principal string, verdict string"), rows=n)
+    assert got.schema.simpleString() == "struct<subject:string,status:string,at:int,approvals:bigint,late:bigint>"
+    assert got.rdd.getNumPartitions() == -(-n // 40) > 8  # not the four of spark.sql.shuffle.partitions, nor joined to fewer
+    want = []
+    for p, q in asked:
+        mine, quorum, inf = [y for y in rows if y[0] == p and p is not None], q or 0, 99
+        first = {y[2]: min((z[1] for z in mine if z[2] == y[2] and z[3] == "approve" and z[1] is not None), default=None) for y in mine if y[3] == "approve" and y[2]}
+        timed = sorted(x for x in first.values() if x is not None)
+        met = timed[quorum - 1] if 0 < quorum <= len(timed) else inf
+        no = min((y[1] for y in mine if y[3] == "reject" and y[1] is not None), default=inf)
+        status = "admitted" if not quorum or met < no else "rejected" if no < inf else "pending"
+        at = None if status == "pending" or not quorum else min(met, no)
+        approvals = len(first) if status == "pending" else sum(at is not None and x <= at for x in timed)
+        late = 0 if status == "pending" else sum(y[1] is not None and y[1] > (-1 if at is None else at) for y in mine)
+        want.append((p, status, at, approvals, late))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert {x[1] for x in want} == {"admitted", "rejected", "pending"}
+
+
 @pytest.mark.parametrize("span", [1 << 16, 3])
 def test_keys_in_force(spark, monkeypatch, span):
     monkeypatch.setattr(timeline.running, "__defaults__", ("ref", span))
