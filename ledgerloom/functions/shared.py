@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-#: Rows that a task takes; tables with more are dealt over more tasks.
+#: Rows for each task; tables with more are dealt over more tasks.
 SHARE = 1 << 19
 
 
