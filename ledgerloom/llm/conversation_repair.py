@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,23 +207,23 @@ def _said(letter: int, role: str, text: str, state: int) -> str:
 
 
 def _whole(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.Table]:
-    """Tables of whole conversations of about so many rows or bytes at least, from rows in their order."""
-    held, n, n_bytes = [], 0, 0
+    """Tables of whole conversations of about so many rows or bytes at least, from rows in their order; each batch is looked at once."""
+    held, n, n_bytes, at, last = [], 0, 0, (0, 0), None  # the last conversation starts at this batch and row of what is held
     for batch in batches:
         if not batch.num_rows:
             continue
+        ids = batch["conv_id"]
+        other = np.flatnonzero(~np.asarray(pc.fill_null(pc.equal(ids, ids[-1]), False) if ids[-1].is_valid else ids.is_null()))
+        if len(other) or not held or ids[0].as_py() != last:
+            at = len(held), int(other[-1]) + 1 if len(other) else 0
         held.append(batch)
-        n, n_bytes = n + batch.num_rows, n_bytes + batch.nbytes
-        if n < rows and n_bytes < size:
+        n, n_bytes, last = n + batch.num_rows, n_bytes + batch.nbytes, ids[-1].as_py()
+        if (n < rows and n_bytes < size) or at == (0, 0):
             continue
-        table = pa.Table.from_batches(held)
-        ids = table["conv_id"].combine_chunks()
-        same = ids.is_null() if not ids[-1].is_valid else pa.compute.fill_null(pa.compute.equal(ids, ids[-1]), False)
-        end = int(np.flatnonzero(~np.asarray(same))[-1]) + 1 if not np.asarray(same).all() else 0
-        if end:
-            yield table.slice(0, end)
-        held = table.slice(end).to_batches()
-        n, n_bytes = (0, 0) if end else (n, n_bytes)
+        k, row = at
+        yield pa.Table.from_batches([*held[:k], held[k].slice(0, row)])
+        held, at = [held[k].slice(row), *held[k + 1 :]], (0, 0)
+        n, n_bytes = sum(x.num_rows for x in held), sum(x.nbytes for x in held)
     if held:
         yield pa.Table.from_batches(held)
 

@@ -2,9 +2,13 @@ import hashlib
 import itertools
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import conversation_repair as cr
@@ -165,3 +169,37 @@ def test_query(spark):
     rows = [tuple(x) for x in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     want = sorted((report(g, by_states) for g in grouped(rows)), key=key)
     assert sorted(map(tuple, op12_conversations(spark, sf).collect()), key=key) == want
+
+
+ALONE = """
+import sys
+import pyarrow as pa
+from ledgerloom.llm import conversation_repair as cr
+out = [x.num_rows for x in cr._short(pa.ipc.open_stream(sys.stdin.buffer))]
+print(len(out), sum(out))
+"""
+
+
+def test_more_rows_than_are_repaired_together():
+    # in a process that loads nothing else, as a new worker does
+    n = 3 * cr.ROWS
+    columns = {"conv_id": [k // 2 for k in range(n)], "gone": [False] * n, "turn": [k % 2 for k in range(n)], "role": ["user", "assistant"] * (n // 2), "text": ["Yes."] * n}
+    columns |= {"code": pa.array([2, 3] * (n // 2), pa.int32()), "blank": [False] * n, "h1": [k % 2 for k in range(n)], "h2": [0] * n}
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, (rows := pa.table(columns)).schema) as out:
+        out.write_table(rows, max_chunksize=10_000)
+    done = subprocess.run([sys.executable, "-c", ALONE], input=sink.getvalue().to_pybytes(), stdout=subprocess.PIPE, check=True, cwd=Path(__file__).resolve().parents[2], timeout=120)
+    tables, conversations = map(int, done.stdout.split())
+    assert tables > 1 and conversations == n // 2
+
+
+@pytest.mark.parametrize("rows", [1, 3, 40])
+def test_whole_conversations_however_the_rows_are_cut(rows):
+    r = random.Random(rows)
+    for _ in range(200):
+        ids = [None] * r.choice([0, 1, 5]) + sorted(r.choice(range(6)) for _ in range(r.randint(1, 40)))
+        edges = sorted({0, len(ids), *r.choices(range(len(ids)), k=r.randint(0, 12))})
+        batches = [pa.record_batch({"conv_id": pa.array(ids[a:b], pa.int64())}) for a, b in zip(edges, edges[1:])]
+        got = [t["conv_id"].to_pylist() for t in cr._whole(iter(batches), rows, 1 << 30)]
+        assert [x for t in got for x in t] == ids
+        assert all(a[-1] != b[0] for a, b in zip(got, got[1:]))
