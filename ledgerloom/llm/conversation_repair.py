@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,6 +109,12 @@ def trace(code: np.ndarray, cost: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         at, state = np.where(insert, at, at + 1), new
 
 
+def _packed(steps: Iterator[tuple[np.ndarray, ...]], size: int = 4096) -> Iterator[tuple[np.ndarray, ...]]:
+    """The steps, so many put together, as a long conversation has steps of one number each."""
+    while held := list(itertools.islice(steps, size)):
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
 def _firsts(group: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     """Whether a row's role and text are seen for the first time in its conversation."""
     order = np.lexsort((np.arange(len(group)), h2, h1, group))
@@ -172,7 +179,7 @@ class _Rows:
         """(conversations, costs, steps) of each bucket; the rows of the steps are numbers of rows of the table."""
         for some, code in self.buckets():
             cost = costs(code)
-            steps = [(some[who], letter, self.start[some[who]] + np.minimum(at, self.count[some[who]] - 1), state) for who, letter, at, state in trace(code, cost)]
+            steps = [(some[who], letter, self.start[some[who]] + np.minimum(at, self.count[some[who]] - 1), state.astype(np.int8)) for who, letter, at, state in _packed(trace(code, cost))]
             yield some, cost[0, 0], steps
 
 
@@ -243,7 +250,7 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _audits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As _short, of conversations of any length, without their texts: some 60 bytes a row are held, for the audit is one string."""
+    """As _short, of conversations of any length, without their texts: some 150 bytes a row are held, for the audit is one string."""
     for table in _whole(batches, 1, 1):
         rows = _Rows(table)
         cost, audit, _ = _solved(rows)

@@ -203,3 +203,10 @@ def test_whole_conversations_however_the_rows_are_cut(rows):
         got = [t["conv_id"].to_pylist() for t in cr._whole(iter(batches), rows, 1 << 30)]
         assert [x for t in got for x in t] == ids
         assert all(a[-1] != b[0] for a, b in zip(got, got[1:]))
+
+
+def test_steps_of_a_long_conversation_are_held_as_few_arrays():
+    n = 10_000
+    rows = pa.table({"conv_id": [7] * n, "gone": [False] * n, "turn": range(n), "code": pa.array([2, 3] * (n // 2), pa.int32()), "blank": [False] * n, "h1": range(n), "h2": [0] * n})
+    ((_, cost, steps),) = cr._Rows(rows).edits()
+    assert len(steps) < 10 and cost.tolist() == [0] and b"".join(x[1].tobytes() for x in steps) == b"K" * n
